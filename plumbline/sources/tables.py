@@ -69,7 +69,7 @@ def write_table(df: DataFrame, path: str, format: str | None = None, mode: str =
     kind = format or format_of(path)
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer.csv(path, header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        writer.csv(path, header=True)
     elif kind in ("json", "jsonl"):
         writer.json(path)
     else:

@@ -27,26 +27,23 @@ def sample_chunks(chunks: DataFrame, folder: str, n: int = 1000, seed: int = 42)
     must be shared: a chunk that is run again reads the version before it and
     overwrites its own, so a lost executor or a restart changes nothing.
     """
-    folder = folder.rstrip("/")
-    version = f"{folder}/sample/v"
+    kept = f"{folder.rstrip('/')}/sample"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         drawn = batch.withColumn(DRAW, F.rand(seed + batch_id)).orderBy(DRAW).limit(n)
         if batch_id > 0:
-            drawn = drawn.unionByName(session.read.parquet(f"{version}{batch_id - 1}"))
+            drawn = drawn.unionByName(session.read.parquet(f"{kept}/version={batch_id - 1}"))
             drawn = drawn.orderBy(DRAW).limit(n)
-        drawn.write.mode("overwrite").parquet(f"{version}{batch_id}")
+        drawn.write.mode("overwrite").parquet(f"{kept}/version={batch_id}")
 
     query = (
         chunks.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{folder}/progress")
+        .option("checkpointLocation", f"{folder.rstrip('/')}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    spark = chunks.sparkSession
-    last = query.lastProgress["batchId"] if query.lastProgress else None
-    if last is None:
-        return spark.createDataFrame([], chunks.schema)
-    return spark.read.parquet(f"{version}{last}").drop(DRAW)
+    versions = chunks.sparkSession.read.parquet(kept)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version", DRAW)
