@@ -18,7 +18,7 @@ from plumbline.functions.columns import describe_columns
 from plumbline.operators import issues as I
 from plumbline.operators import profile as P
 from plumbline.operators import rows as R
-from plumbline.plans.frequency import spelling_examples, text_summary
+from plumbline.plans.frequency import spelling_examples
 
 
 class Analysis:
@@ -49,28 +49,18 @@ class Analysis:
         return self.df.count()
 
     @cached_property
-    def _numeric(self) -> DataFrame | None:
-        infos = self._family("numeric", "boolean")
-        if not infos:
-            return None
-        return P.numeric_summary(self.df, infos, self.rows, self._excluded)
-
-    @cached_property
-    def _text(self) -> DataFrame | None:
-        infos = self._family("text")
-        return text_summary(self.df, infos, self._excluded) if infos else None
+    def _facts(self) -> DataFrame:
+        return P.column_facts(self.df, self.as_of, self._excluded, self.rows)
 
     @cached_property
     def profile(self) -> DataFrame:
         """One row per column; cached, it is as long as the schema is wide."""
-        return P.profile(
-            self.df, self.as_of, self._excluded, self.rows, self._numeric, self._text
-        ).persist()
+        return P.profile(self.df, self.as_of, self._excluded, self.rows, self._facts).persist()
 
     @cached_property
     def facts(self) -> DataFrame:
         """The profile with what the issue checks need besides."""
-        facts = self.profile
+        facts, have = self.profile, set(self._facts.columns)
         extra = {
             "valid_count": "long", "lower_bound": "double", "upper_bound": "double",
             "valid_min": "double", "valid_max": "double", "outlier_count": "long",
@@ -78,28 +68,24 @@ class Analysis:
             "inconsistent_groups": "long", "inconsistent_rows": "long",
             "spelling_examples": "array<string>",
         }
-        if self._numeric is not None:
-            numbers = I.outlier_facts(self.df, self._family("numeric"), self._numeric, self.config)
-            facts = facts.join(F.broadcast(numbers), "ordinal", "left")  # a row per column
-        if self._text is not None:
-            groups = self._text.select(
-                F.col("key").alias("ordinal"),
-                "spelling_groups",
-                "inconsistent_groups",
-                "inconsistent_rows",
+        # Every frame joined here has at most one row per column of the input.
+        if self._family("numeric"):
+            numbers = I.outlier_facts(self.df, self._family("numeric"), self._facts, self.config)
+            facts = facts.join(F.broadcast(numbers), "ordinal", "left")
+        if "spelling_groups" in have:
+            groups = self._facts.filter("spelling_groups IS NOT NULL").selectExpr(
+                "key AS ordinal", "spelling_groups", "inconsistent_groups", "inconsistent_rows"
             )
             facts = facts.join(F.broadcast(groups), "ordinal", "left")
-            hit = {r["key"] for r in self._text.filter("inconsistent_groups > 0").collect()}
+            hit = {r["ordinal"] for r in groups.filter("inconsistent_groups > 0").collect()}
             mixed = [c for c in self._family("text") if c.ordinal in hit]
             if mixed:
-                shown = spelling_examples(self.df, mixed, self._excluded).select(
-                    F.col("key").alias("ordinal"), F.col("examples").alias("spelling_examples")
+                shown = spelling_examples(self.df, mixed, self._excluded).selectExpr(
+                    "key AS ordinal", "examples AS spelling_examples"
                 )
                 facts = facts.join(F.broadcast(shown), "ordinal", "left")
-        for column, dtype in extra.items():
-            if column not in facts.columns:
-                facts = facts.withColumn(column, F.lit(None).cast(dtype))
-        return facts
+        absent = [f"cast(NULL AS {t}) AS {c}" for c, t in extra.items() if c not in facts.columns]
+        return facts.selectExpr("*", *absent)
 
     @cached_property
     def issues(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The proportion that stands in for an empty PSI cell, and the
@@ -22,41 +22,42 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")) * 100, F.lit(0.0))
 
 
-def shifted_moments(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> dict[str, Column]:
-    """Sample std, bias-corrected skewness and excess kurtosis from power sums.
+def with_shape(sums: DataFrame) -> DataFrame:
+    """Add ``mean``, sample ``std`` and bias-corrected ``skew`` and excess ``kurtosis``.
 
-    ``s1..s4`` are sums of powers of ``x - shift``. With the shift near the
-    median the mean lies within one standard deviation of it, so the
-    subtractions below do not cancel: power sums are then as accurate as an
-    online update and far cheaper, being plain additions inside codegen.
+    ``sums`` has the count ``n`` (at least 1) and ``s1..s4``, sums of powers of
+    ``x - shift``. With the shift near the median the mean lies within about one
+    standard deviation of it, so the subtractions below do not cancel: power
+    sums are then as accurate as an online update and far cheaper, being plain
+    additions inside generated code.
     """
-    cnt = n.cast("double")
-    a = F.try_divide(s1, cnt)
-    m2 = F.try_divide(s2, cnt) - a * a
-    m3 = F.try_divide(s3, cnt) - 3 * a * F.try_divide(s2, cnt) + 2 * a * a * a
-    m4 = (
-        F.try_divide(s4, cnt)
-        - 4 * a * F.try_divide(s3, cnt)
-        + 6 * a * a * F.try_divide(s2, cnt)
-        - 3 * a * a * a * a
+    central = sums.selectExpr(
+        "*", "cast(n AS double) AS c", "s1 / n AS a", "s2 / n AS p2", "s3 / n AS p3", "s4 / n AS p4"
+    ).selectExpr(
+        "*",
+        "greatest(p2 - a * a, 0D) AS m2",
+        "p3 - 3 * a * p2 + 2 * a * a * a AS m3",
+        "p4 - 4 * a * p3 + 6 * a * a * p2 - 3 * a * a * a * a AS m4",
+    )
+    constant = f"m2 * c < {CONSTANT_SS!r}D"
+    return central.selectExpr(
+        *[x for x in sums.columns if x not in ("s1", "s2", "s3", "s4", "shift")],
+        "shift + a AS mean",
+        "CASE WHEN n >= 2 THEN sqrt(try_divide(m2 * c, c - 1)) END AS std",
+        f"CASE WHEN n < 3 THEN NULL WHEN {constant} THEN 0D ELSE "
+        "try_divide(sqrt(c * (c - 1)), c - 2) * try_divide(m3, pow(m2, 1.5D)) END AS skew",
+        f"CASE WHEN n < 4 THEN NULL WHEN {constant} THEN 0D ELSE "
+        "try_divide(c - 1, (c - 2) * (c - 3)) * ((c + 1) * (try_divide(m4, m2 * m2) - 3) + 6) "
+        "END AS kurtosis",
+    )
+
+
+def lerp(low: str, high: str, t: str) -> str:
+    """SQL text of a linear interpolation, exact at both ends and when low = high."""
+    return (
+        f"CASE WHEN {t} < 0.5D THEN {low} + ({high} - {low}) * {t} "
+        f"ELSE {high} - ({high} - {low}) * (1 - {t}) END"
     )
-    m2 = F.greatest(m2, F.lit(0.0))
-    constant = m2 * cnt < CONSTANT_SS
-    g1 = F.try_divide(m3, F.pow(m2, F.lit(1.5)))
-    g2 = F.try_divide(m4, m2 * m2) - 3
-    skew = F.try_divide(F.sqrt(cnt * (cnt - 1)), cnt - 2) * g1
-    kurt = F.try_divide(cnt - 1, (cnt - 2) * (cnt - 3)) * ((cnt + 1) * g2 + 6)
-    return {
-        "std": F.when(n >= 2, F.sqrt(F.try_divide(m2 * cnt, cnt - 1))),
-        "skew": F.when(n >= 3, F.when(constant, F.lit(0.0)).otherwise(skew)),
-        "kurtosis": F.when(n >= 4, F.when(constant, F.lit(0.0)).otherwise(kurt)),
-    }
-
-
-def lerp(low: Column, high: Column, t: Column) -> Column:
-    """Linear interpolation that is exact at both ends and when low = high."""
-    step = high - low
-    return F.when(t < 0.5, low + step * t).otherwise(high - step * (1 - t))
 
 
 def entropy_bits(n: Column, sum_c_log2_c: Column) -> Column:

@@ -12,11 +12,9 @@ from plumbline.functions.columns import (
     as_double,
     clean,
     describe_columns,
-    quoted,
     schema_frame,
 )
 from plumbline.functions.stats import drift_status, ks_p_value, relative_change
-from plumbline.functions.text import compact
 from plumbline.plans.ecdf import (
     Totals,
     binned_counts,
@@ -24,6 +22,7 @@ from plumbline.plans.ecdf import (
     ks_distances,
     psi_of,
 )
+from plumbline.plans.frequency import comparable
 from plumbline.plans.orderstats import quantiles
 
 DECILES = tuple(i / 10 for i in range(11))
@@ -45,13 +44,6 @@ def _is_category(pair: Pair) -> bool:
     return not _is_number(pair) and all(c.family != "other" for c in pair)
 
 
-def _as_category(info: ColumnInfo) -> Column:
-    """Exact values as text."""
-    if info.type.typeName() == "timestamp":
-        return F.unix_micros(quoted(info.name)).cast("string")
-    return compact(clean(info).cast("string"))
-
-
 def present_totals(ref: DataFrame, cur: DataFrame, pairs: list[Pair]) -> Totals:
     """Present values of each column on both sides: one aggregate row per table."""
     left = ref.agg(*[F.count(clean(a)).alias(f"n{a.ordinal}") for a, _ in pairs]).first()
@@ -64,6 +56,7 @@ def decile_edges(ref: DataFrame, pairs: list[Pair], totals: Totals) -> dict[int,
 
     A boolean column is cut between false and true.
     """
+    pairs = [p for p in pairs if _is_number(p) and min(totals[p[0].ordinal]) > 0]
     edges = {a.ordinal: [0.0, 0.5, 1.0] for a, _ in pairs if a.family == "boolean"}
     numbers = [(a.ordinal, as_double(a)) for a, _ in pairs if a.family == "numeric"]
     if numbers:
@@ -74,42 +67,49 @@ def decile_edges(ref: DataFrame, pairs: list[Pair], totals: Totals) -> dict[int,
     return edges
 
 
-def _numeric_frames(
-    ref: DataFrame, cur: DataFrame, pairs: list[Pair], totals: Totals
+def _numeric_frame(
+    ref: DataFrame,
+    cur: DataFrame,
+    pairs: list[Pair],
+    totals: Totals,
+    edges: dict[int, list[float]],
 ) -> DataFrame | None:
     """``key, psi, ref_mean, cur_mean`` of the numeric and boolean columns."""
-    usable = [p for p in pairs if _is_number(p) and min(totals[p[0].ordinal]) > 0]
+    usable = [p for p in pairs if _is_number(p) and p[0].ordinal in edges]
     if not usable:
         return None
     entries = [(a.ordinal, as_double(a), as_double(b)) for a, b in usable]
-    # At most a dozen rows per column; kept, as both the PSI and the means read it.
-    bins = binned_counts(ref, cur, entries, decile_edges(ref, usable, totals)).persist()
-    means = bins.groupBy("key").agg(
-        F.try_divide(F.sum("sum_r"), F.sum("r")).alias("ref_mean"),
-        F.try_divide(F.sum("sum_c"), F.sum("c")).alias("cur_mean"),
-    )
-    inside = psi_of(bins.filter("bin > 0"), totals)
-    return means.join(F.broadcast(inside), "key", "left")
+    bins = binned_counts(ref, cur, entries, edges)
+    return psi_of(bins, totals, inside="bin > 0", means=True)
 
 
 def _category_frame(
     ref: DataFrame, cur: DataFrame, pairs: list[Pair], totals: Totals
 ) -> DataFrame | None:
-    usable = [p for p in pairs if _is_category(p) and min(totals[p[0].ordinal]) > 0]
-    if not usable:
-        return None
-    entries = [(a.ordinal, _as_category(a), _as_category(b)) for a, b in usable]
-    return category_psi(ref, cur, entries, totals)
+    """``key, psi`` over exact values; columns of one type are counted together."""
+    by_type: dict[str, list] = {}
+    for a, b in pairs:
+        if _is_category((a, b)) and min(totals[a.ordinal]) > 0:
+            (kind, left), (other, right) = comparable(a), comparable(b)
+            if kind != other:
+                kind, left, right = "string", left.cast("string"), right.cast("string")
+            by_type.setdefault(kind, []).append((a.ordinal, left, right))
+    parts = [category_psi(ref, cur, entries, totals) for entries in by_type.values()]
+    return reduce(DataFrame.unionAll, parts) if parts else None
 
 
 def _ks_frame(
-    ref: DataFrame, cur: DataFrame, pairs: list[Pair], totals: Totals
+    ref: DataFrame,
+    cur: DataFrame,
+    pairs: list[Pair],
+    totals: Totals,
+    edges: dict[int, list[float]] | None = None,
 ) -> DataFrame | None:
     usable = [p for p in pairs if _is_number(p) and min(totals[p[0].ordinal]) > 0]
     if not usable:
         return None
     entries = [(a.ordinal, as_double(a), as_double(b)) for a, b in usable]
-    return ks_distances(ref, cur, entries, totals).select(
+    return ks_distances(ref, cur, entries, totals, edges).select(
         "key",
         F.col("d").alias("ks_statistic"),
         ks_p_value(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
@@ -156,7 +156,8 @@ def population_stability(
     """``column, psi, drift_status`` of the columns both tables share."""
     pairs = common_columns(ref, cur, columns)
     totals = present_totals(ref, cur, pairs)
-    numbers = _numeric_frames(ref, cur, pairs, totals)
+    edges = decile_edges(ref, pairs, totals)
+    numbers = _numeric_frame(ref, cur, pairs, totals, edges)
     categories = _category_frame(ref, cur, pairs, totals)
     found = [f.select("key", "psi") for f in (numbers, categories) if f is not None]
     part = reduce(DataFrame.unionByName, found) if found else None
@@ -188,13 +189,14 @@ def drift_table(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None
     """
     pairs = common_columns(ref, cur, columns)
     totals = present_totals(ref, cur, pairs)
-    numbers = _numeric_frames(ref, cur, pairs, totals)
+    edges = decile_edges(ref, pairs, totals)
+    numbers = _numeric_frame(ref, cur, pairs, totals, edges)
     categories = _category_frame(ref, cur, pairs, totals)
     found = [f for f in (numbers, categories) if f is not None]
     part = (
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
     )
-    out = _by_column(ref, pairs, [part, _ks_frame(ref, cur, pairs, totals)])
+    out = _by_column(ref, pairs, [part, _ks_frame(ref, cur, pairs, totals, edges)])
     have = set(out.columns)
 
     def col(name: str) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions.columns import ColumnInfo, as_double
-from plumbline.functions.stats import percentage
 from plumbline.operators.profile import KEPT
 from plumbline.plans.longform import melt
 
@@ -41,21 +40,6 @@ DETAILS = (
 )
 
 
-def fences(q1: Column, q3: Column, k: float) -> tuple[Column, Column]:
-    """Lower and upper IQR fence."""
-    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-
-
-def effective_stats(numeric: DataFrame) -> DataFrame:
-    """One row per column: the summary after exclusions where there are any."""
-    chosen = F.max_by(F.struct("*"), F.col("key"))
-    return (
-        numeric.groupBy((F.col("key") % KEPT).alias("ordinal"))
-        .agg(chosen.alias("s"))
-        .select("ordinal", "s.n", "s.q1", "s.q3", "s.min", "s.max")
-    )
-
-
 def outlier_facts(
     df: DataFrame, infos: list[ColumnInfo], numeric: DataFrame, config: Config
 ) -> DataFrame:
@@ -66,23 +50,28 @@ def outlier_facts(
     is combined by value before the shuffle, and the ranking keeps five rows
     per task.
     """
-    lower, upper = fences(F.col("q1"), F.col("q3"), config.outlier_threshold)
-    stats = effective_stats(numeric).select(
-        "ordinal",
-        F.col("n").alias("valid_count"),
-        lower.alias("lower_bound"),
-        upper.alias("upper_bound"),
-        F.col("min").alias("valid_min"),
-        F.col("max").alias("valid_max"),
+    spark, k = df.sparkSession, config.outlier_threshold
+    # Key order puts a column's row without its excluded values last, so it wins.
+    picked = numeric.filter("q1 IS NOT NULL").select("key", "n", "q1", "q3", "min", "max").collect()
+    bounds = {r["key"] % KEPT: r for r in sorted(picked, key=lambda r: r["key"])}
+    known = []
+    for info in infos:
+        r = bounds.get(info.ordinal)
+        if r is not None:
+            lo, hi = r["q1"] - k * (r["q3"] - r["q1"]), r["q3"] + k * (r["q3"] - r["q1"])
+            known.append((info.ordinal, r["n"], lo, hi, r["min"], r["max"]))
+    stats = spark.createDataFrame(
+        known,
+        "ordinal int, valid_count long, lower_bound double, upper_bound double, "
+        "valid_min double, valid_max double",
     )
-    bounds = {r["ordinal"]: r for r in stats.collect()}
+    fences = {r[0]: r for r in known}
     entries = []
     for info in infos:
-        b = bounds.get(info.ordinal)
-        if info.family != "numeric" or b is None or b["valid_count"] < MIN_OUTLIER_VALUES:
+        _, n, lower, upper, *_ = fences.get(info.ordinal, (0, 0, 0, 0))
+        if n < MIN_OUTLIER_VALUES:
             continue
-        value = as_double(info)
-        lo, hi = F.lit(b["lower_bound"]), F.lit(b["upper_bound"])
+        value, lo, hi = as_double(info), F.lit(lower), F.lit(upper)
         far = F.when(value < lo, lo - value).when(value > hi, value - hi)
         skip = config.excluded(info.name)
         if skip:
@@ -118,115 +107,96 @@ def outlier_facts(
     )
 
 
-def _issue(
-    kind: str, severity: str, message: Column, count: Column, percent: Column, **details: Column
-) -> Column:
-    cells = [
-        (details[name] if name in details else F.lit(None)).cast(dtype).alias(name)
-        for name, dtype in DETAILS
-    ]
-    return F.struct(
-        F.lit(kind).alias("issue_type"),
-        F.lit(severity).alias("severity") if isinstance(severity, str) else severity.alias("severity"),
-        message.alias("message"),
-        count.cast("long").alias("affected_count"),
-        percent.cast("double").alias("affected_percentage"),
-        F.struct(*cells).alias("details"),
+def _issue(kind: str, severity: str, message: str, count: str, percent: str, **details: str) -> str:
+    """SQL text of one issue struct; absent details are typed NULLs."""
+    cells = ", ".join(
+        f"'{name}', cast({details.get(name, 'NULL')} AS {dtype})" for name, dtype in DETAILS
+    )
+    return (
+        f"named_struct('issue_type', '{kind}', 'severity', {severity}, 'message', {message}, "
+        f"'affected_count', cast({count} AS bigint), "
+        f"'affected_percentage', cast({percent} AS double), 'details', named_struct({cells}))"
     )
 
 
-def _text(kind: str, *args: Column) -> Column:
-    return F.format_string(MESSAGES[kind], *args)
+def _text(kind: str, *args: str) -> str:
+    return f"format_string('{', '.join([MESSAGES[kind] + chr(39), *args])})"
 
 
 def find_issues(facts: DataFrame, config: Config) -> DataFrame:
     """Issues from the per-column facts: the profile, outlier facts and spelling groups.
 
-    One row per column goes in; each check is a ``when`` on that row and the
-    ones that fire become rows, in a fixed order per column.
+    One row per column goes in; each check is a CASE on that row and the ones
+    that fire become rows, in a fixed order per column.
     """
-    family, rows = F.col("family"), F.col("total_count")
-    present = rows - F.col("missing_count")
-    percent = F.col("missing_percentage")
-    checked = (present > 0) & family.isin("numeric", "boolean", "text")
+    number = "family IN ('numeric', 'boolean')"
+    checked = "missing_count < total_count AND family IN ('numeric', 'boolean', 'text')"
     if config.missing_all_types:
-        checked = F.lit(True)
+        checked = "true"
+    critical, warning = config.missing_critical * 100.0, config.missing_warning * 100.0
 
-    def missing(level: str, severity: str, threshold: float) -> Column:
-        detail = F.when(family.isin("numeric", "boolean"), F.lit(threshold * 100.0))
+    def missing(severity: str, level: float) -> str:
         return _issue(
-            "missing_values", severity, _text(level, percent), F.col("missing_count"), percent,
-            threshold=detail,
-        )
-
-    critical, warning = config.missing_critical, config.missing_warning
-    checks = [
-        F.when(
-            checked & (percent > critical * 100.0), missing("missing_critical", "critical", critical)
-        ).when(checked & (percent > warning * 100.0), missing("missing_warning", "warning", warning))
-    ]
-
-    share = F.try_divide(F.col("outlier_count") * 100.0, F.col("valid_count"))
-    lower, upper = F.col("lower_bound"), F.col("upper_bound")
-    checks.append(
-        F.when(
-            F.col("outlier_count") > 0,
-            _issue(
-                "outliers",
-                F.when(share < CRITICAL_OUTLIER_PERCENT, "warning").otherwise("critical"),
-                _text("outliers", F.col("outlier_count"), lower, upper),
-                F.col("outlier_count"),
-                share,
-                lower_bound=lower,
-                upper_bound=upper,
-                min_value=F.col("valid_min"),
-                max_value=F.col("valid_max"),
-                examples=F.col("outlier_examples"),
-            ),
+            "missing_values",
+            f"'{severity}'",
+            _text(f"missing_{severity}", "missing_percentage"),
+            "missing_count",
+            "missing_percentage",
+            threshold=f"CASE WHEN {number} THEN {level!r}D END",
         )
+
+    share = "try_divide(outlier_count, valid_count) * 100"
+    outliers = _issue(
+        "outliers",
+        f"CASE WHEN {share} < {CRITICAL_OUTLIER_PERCENT}D THEN 'warning' ELSE 'critical' END",
+        _text("outliers", "outlier_count", "lower_bound", "upper_bound"),
+        "outlier_count",
+        share,
+        lower_bound="lower_bound",
+        upper_bound="upper_bound",
+        min_value="valid_min",
+        max_value="valid_max",
+        examples="outlier_examples",
     )
-    skew = F.col("skew")
-    checks.append(
-        F.when(
-            F.abs(skew) > config.skew_threshold,
-            _issue(
-                "skewed_distribution", "info", _text("skewed_distribution", skew),
-                F.lit(0), F.lit(0.0), skewness=skew,
-            ),
-        )
+    skewed = _issue(
+        "skewed_distribution", "'info'", _text("skewed_distribution", "skew"), "0", "0", skewness="skew"
     )
-    unique = F.col("unique_count")
-    ratio = F.try_divide(unique.cast("double"), rows.cast("double"))
-    checks.append(
-        F.when(
-            (family == "text") & (present > 0) & (ratio < config.unique_threshold),
-            _issue("low_cardinality", "info", _text("low_cardinality", unique, rows), unique, ratio * 100),
-        )
+    ratio = "try_divide(unique_count, total_count)"
+    narrow = _issue(
+        "low_cardinality",
+        "'info'",
+        _text("low_cardinality", "unique_count", "total_count"),
+        "unique_count",
+        f"{ratio} * 100",
     )
-    spelled = F.col("inconsistent_rows")
-    checks.append(
-        F.when(
-            F.col("inconsistent_groups") > 0,
-            _issue(
-                "inconsistent_values", "warning", F.lit(MESSAGES["inconsistent_values"]),
-                spelled, percentage(spelled, rows),
-                unique_normalized_values=F.col("spelling_groups"),
-                examples=F.col("spelling_examples"),
-            ),
-        )
+    mixed = _issue(
+        "inconsistent_values",
+        "'warning'",
+        f"'{MESSAGES['inconsistent_values']}'",
+        "inconsistent_rows",
+        "try_divide(inconsistent_rows, total_count) * 100",
+        unique_normalized_values="spelling_groups",
+        examples="spelling_examples",
     )
-    future = F.col("future_dates")
-    checks.append(
-        F.when(
-            future > 0,
-            _issue("future_dates", "warning", _text("future_dates", future), future, percentage(future, rows)),
-        )
+    future = _issue(
+        "future_dates",
+        "'warning'",
+        _text("future_dates", "future_dates"),
+        "future_dates",
+        "try_divide(future_dates, total_count) * 100",
     )
+    checks = f"""array(
+        CASE WHEN {checked} AND missing_percentage > {critical!r}D THEN {missing("critical", critical)}
+             WHEN {checked} AND missing_percentage > {warning!r}D THEN {missing("warning", warning)} END,
+        CASE WHEN outlier_count > 0 THEN {outliers} END,
+        CASE WHEN abs(skew) > {float(config.skew_threshold)!r}D THEN {skewed} END,
+        CASE WHEN family = 'text' AND missing_count < total_count
+              AND {ratio} < {float(config.unique_threshold)!r}D THEN {narrow} END,
+        CASE WHEN inconsistent_groups > 0 THEN {mixed} END,
+        CASE WHEN future_dates > 0 THEN {future} END)"""
     return (
-        facts.select("column", "ordinal", F.posexplode(F.array(*checks)).alias("check", "issue"))
-        .filter("issue IS NOT NULL")
-        .select("column", "issue.*", "ordinal", "check")
-        .drop("ordinal", "check")
+        facts.selectExpr("column", f"explode(array_compact({checks})) AS issue")
+        .select("column", "issue.*")
     )
 
 

@@ -17,9 +17,9 @@ from plumbline.functions.columns import (
     quoted,
     schema_frame,
 )
-from plumbline.functions.stats import percentage, shifted_moments
-from plumbline.plans.frequency import distinct_counts, text_summary, value_counts
-from plumbline.plans.orderstats import order_statistics
+from plumbline.functions.stats import percentage, with_shape
+from plumbline.plans.frequency import distinct_counts, long_modes, text_summary, value_counts
+from plumbline.plans.orderstats import order_statistics, proposed_statistics
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -51,34 +51,32 @@ def is_future(info: ColumnInfo, as_of=None) -> Column:
     return col.cast("timestamp_ntz") > F.localtimestamp()
 
 
-def numeric_summary(df: DataFrame, infos: list[ColumnInfo], rows: int, excluded=None) -> DataFrame:
-    """Exact moments and quartiles of the numeric and boolean columns, by ``key``.
-
-    A column with excluded values has a second row, keyed ``KEPT + ordinal``,
-    that leaves them out.
-    """
+def _numeric_entries(infos: list[ColumnInfo], excluded=None) -> list[tuple[int, Column]]:
+    """Key and value per column; a column with excluded values has a second entry
+    without them, keyed ``KEPT + ordinal``."""
     entries = []
     for info in infos:
         value = as_double(info)
         entries.append((info.ordinal, value))
         skip = (excluded or {}).get(info.name)
         if skip:
-            entries.append((KEPT + info.ordinal, F.when(~value.isin([float(x) for x in skip]), value)))
-    stats = order_statistics(df, entries, QUARTILES, rows, moments=True)
-    n, sums = F.col("n"), [F.col(s) for s in ("s1", "s2", "s3", "s4")]
-    shape = shifted_moments(n, *sums)
-    return stats.select(
-        "key",
-        "n",
-        (F.col("shift") + F.try_divide("s1", n)).alias("mean"),
-        *[c.alias(name) for name, c in shape.items()],
-        "min",
-        "max",
-        F.col("q0").alias("q1"),
-        F.col("q1").alias("median"),
-        F.col("q2").alias("q3"),
-        "zero_count",
-    )
+            kept = F.when(~value.isin([float(x) for x in skip]), value)
+            entries.append((KEPT + info.ordinal, kept))
+    return entries
+
+
+def _named(stats: DataFrame) -> DataFrame:
+    flag = ["missed"] if "missed" in stats.columns else []
+    return with_shape(stats).selectExpr(
+        "key", "n", "mean", "std", "skew", "kurtosis", "min", "max",
+        "q0 AS q1", "q1 AS median", "q2 AS q3", "zero_count", *flag,
+    )
+
+
+def numeric_summary(df: DataFrame, infos: list[ColumnInfo], rows: int, excluded=None) -> DataFrame:
+    """Exact moments and quartiles of the numeric and boolean columns, by ``key``."""
+    entries = _numeric_entries(infos, excluded)
+    return _named(order_statistics(df, entries, QUARTILES, rows, moments=True))
 
 
 def datetime_summary(df: DataFrame, infos: list[ColumnInfo], as_of=None) -> DataFrame:
@@ -114,19 +112,15 @@ def present_counts(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def profile(
-    df: DataFrame,
-    as_of=None,
-    excluded: dict[str, list] | None = None,
-    rows: int | None = None,
-    numeric: DataFrame | None = None,
-    text: DataFrame | None = None,
+def column_facts(
+    df: DataFrame, as_of=None, excluded: dict[str, list] | None = None, rows: int | None = None
 ) -> DataFrame:
-    """One row per column, in the :data:`PROFILE_COLUMNS` layout.
+    """The statistics of every column by ``key``: one query, cached, a row per column.
 
-    ``numeric`` and ``text`` pass in summaries that were computed already.
+    The families of columns are independent branches of one plan, so Spark runs
+    their stages side by side. Afterwards two rare cases are settled: a
+    quantile bracket that missed its rank, and a long text mode.
     """
-    spark = df.sparkSession
     infos = describe_columns(df)
     rows = df.count() if rows is None else rows
     by_family: dict[str, list[ColumnInfo]] = {}
@@ -135,50 +129,83 @@ def profile(
     numbers = by_family.get("numeric", []) + by_family.get("boolean", [])
     texts, dates = by_family.get("text", []), by_family.get("datetime", [])
 
-    parts = []
+    def assemble(numeric: DataFrame | None) -> DataFrame:
+        parts = [numeric] if numeric is not None else []
+        if texts:
+            parts.append(text_summary(df, texts, excluded))
+        if dates:
+            parts.append(datetime_summary(df, dates, as_of))
+        if by_family.get("other"):
+            parts.append(present_counts(df, by_family["other"]))
+        facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if numbers or dates:
+            counts = distinct_counts(df, numbers + dates).withColumnRenamed(
+                "unique_count", "n_distinct"
+            )
+            # One row per column.
+            facts = facts.join(F.broadcast(counts), "key", "left")
+        return facts.persist()
+
     if numbers:
-        if numeric is None:
-            numeric = numeric_summary(df, numbers, rows, excluded)
-        parts.append(numeric.filter(F.col("key") < KEPT))
+        entries = _numeric_entries(numbers, excluded)
+        proposed, _ = proposed_statistics(df, entries, QUARTILES, rows, moments=True)
+        facts = assemble(_named(proposed))
+        if facts.filter("missed").count():
+            facts.unpersist()
+            facts = assemble(numeric_summary(df, numbers, rows, excluded))
+    else:
+        facts = assemble(None)
     if texts:
-        if text is None:
-            text = text_summary(df, texts, excluded)
-        parts.append(
-            text.select("key", "n", "unique_count", "entropy", "most_common_count", "most_common")
-        )
-    if dates:
-        parts.append(datetime_summary(df, dates, as_of))
-    if by_family.get("other"):
-        parts.append(present_counts(df, by_family["other"]))
-    stats = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    counted = distinct_counts(df, numbers + dates).withColumnRenamed("unique_count", "n_distinct")
+        found = facts.filter("mode_long").select("key", "most_common", "most_common_count").collect()
+        if found:
+            heads = {r["key"]: (r["most_common"], r["most_common_count"]) for r in found}
+            modes = F.broadcast(long_modes(df, texts, heads))  # one row per text column
+            facts = facts.join(modes, "key", "left").withColumn(
+                "most_common", F.coalesce("long_value", "most_common")
+            )
+            facts = facts.drop("long_value").persist()
+    return facts
 
+
+def profile(
+    df: DataFrame,
+    as_of=None,
+    excluded: dict[str, list] | None = None,
+    rows: int | None = None,
+    facts: DataFrame | None = None,
+) -> DataFrame:
+    """One row per column, in the :data:`PROFILE_COLUMNS` layout.
+
+    ``facts`` passes in :func:`column_facts` computed already.
+    """
+    spark = df.sparkSession
+    infos = describe_columns(df)
+    rows = df.count() if rows is None else rows
+    if facts is None:
+        facts = column_facts(df, as_of, excluded, rows)
     # Every frame joined here has at most one row per column of the input.
     joined = (
         schema_frame(spark, infos)
-        .join(F.broadcast(stats), F.col("ordinal") == stats["key"], "left")
-        .drop("key")
-        .join(F.broadcast(counted), F.col("ordinal") == counted["key"], "left")
-        .drop("key")
+        .join(F.broadcast(facts.withColumnRenamed("key", "ordinal")), "ordinal", "left")
     )
     have = set(joined.columns)
-    n = F.coalesce("n", F.lit(0).cast("long"))
+    total, n = f"{rows}L", "coalesce(n, 0L)"
+    unique = ", ".join(c for c in ("unique_count", "n_distinct") if c in have)
     derived = {
-        "total_count": F.lit(rows).cast("long"),
-        "missing_count": F.lit(rows).cast("long") - n,
-        "missing_percentage": percentage(F.lit(rows) - n, F.lit(rows)),
-        "unique_count": F.when(
-            F.col("family") != "other",
-            F.coalesce(*[c for c in ("unique_count", "n_distinct") if c in have], F.lit(0)),
-        ).cast("long"),
-        "zero_percentage": F.try_divide(F.col("zero_count") * 100.0, n) if "zero_count" in have else None,
-        "most_common_percentage": (
-            F.try_divide(F.col("most_common_count") * 100.0, n) if "most_common_count" in have else None
-        ),
+        "total_count": total,
+        "missing_count": f"{total} - {n}",
+        "missing_percentage": f"coalesce(try_divide({total} - {n}, {total}) * 100, 0D)",
+        "unique_count": f"CASE WHEN family != 'other' THEN coalesce({unique}, 0L) END",
+        # quartiles of a boolean are not reported
+        "q1": "CASE WHEN family = 'numeric' THEN q1 END",
+        "q3": "CASE WHEN family = 'numeric' THEN q3 END",
+        "zero_percentage": f"try_divide(zero_count, {n}) * 100",
+        "most_common_percentage": f"try_divide(most_common_count, {n}) * 100",
     }
-    for quartile in ("q1", "q3"):
-        if quartile in have:  # quartiles of a boolean are not reported
-            derived[quartile] = F.when(F.col("family") == "numeric", F.col(quartile))
+    needs = {
+        "q1": "q1", "q3": "q3", "zero_percentage": "zero_count",
+        "most_common_percentage": "most_common_count",
+    }
     types = {
         "zero_count": "long", "most_common": "string", "most_common_count": "long",
         "min_date": "timestamp_ntz", "max_date": "timestamp_ntz", "date_range_days": "long",
@@ -186,11 +213,13 @@ def profile(
     }
     out = []
     for name in PROFILE_COLUMNS:
-        expr = derived.get(name)
-        if expr is None:
-            expr = F.col(name) if name in have else F.lit(None).cast(types.get(name, "double"))
-        out.append(expr.alias(name))
-    return joined.select(*out)
+        if name in derived and needs.get(name, "ordinal") in have:
+            out.append(f"{derived[name]} AS `{name}`")
+        elif name in have:
+            out.append(f"`{name}`")
+        else:
+            out.append(f"cast(NULL AS {types.get(name, 'double')}) AS `{name}`")
+    return joined.selectExpr(*out)
 
 
 def logical_bytes(df: DataFrame) -> Column:

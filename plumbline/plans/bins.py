@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def double_array(values: Sequence[float]) -> Column:
-    """A constant array of doubles, written as one SQL literal."""
+def double_array_sql(values: Sequence[float]) -> str:
+    """SQL text of a constant array of doubles."""
 
     def text(x: float) -> str:
         if math.isinf(x) or math.isnan(x):
@@ -18,8 +18,12 @@ def double_array(values: Sequence[float]) -> Column:
         return f"{float(x)!r}D"
 
     if not values:
-        return F.expr("cast(array() as array<double>)")
-    return F.expr(f"array({', '.join(text(v) for v in values)})")
+        return "cast(array() AS array<double>)"
+    return f"array({', '.join(text(v) for v in values)})"
+
+
+def double_array(values: Sequence[float]) -> Column:
+    return F.expr(double_array_sql(values))
 
 
 def with_position(df: DataFrame, value: str, edges: str, longest: int, out: str) -> DataFrame:
@@ -29,8 +33,9 @@ def with_position(df: DataFrame, value: str, edges: str, longest: int, out: str)
     generated loop; reading past the end of a shorter array gives NULL, which
     compares as "not reached".
     """
-    df = df.withColumn(out, F.lit(0))
+    df = df.selectExpr("*", f"0 AS `{out}`")
+    kept = [f"`{c}`" for c in df.columns[:-1]]
     for step in reversed([1 << s for s in range(longest.bit_length())]):
-        reached = F.get(F.col(edges), F.col(out) + (step - 1)) <= F.col(value)
-        df = df.withColumn(out, F.when(reached, F.col(out) + step).otherwise(F.col(out)))
+        reached = f"get(`{edges}`, `{out}` + {step - 1}) <= `{value}`"
+        df = df.selectExpr(*kept, f"CASE WHEN {reached} THEN `{out}` + {step} ELSE `{out}` END AS `{out}`")
     return df

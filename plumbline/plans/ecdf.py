@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import psi_term
-from plumbline.plans.bins import double_array, with_position
+from plumbline.plans.bins import double_array, double_array_sql, with_position
 from plumbline.plans.longform import melt
 from plumbline.plans.orderstats import sample_splits
 
@@ -35,30 +35,40 @@ def _paired_counts(ref: DataFrame, cur: DataFrame, entries: Entries) -> DataFram
 
 def with_totals(df: DataFrame, totals: Totals) -> DataFrame:
     """Add ``n_ref`` and ``n_cur`` by key, from literals: two numbers per column."""
-    cells = [F.lit(x) for k, pair in totals.items() for x in (k, F.array(*map(F.lit, pair)))]
-    pair = F.create_map(*cells)[F.col("key")]
-    return df.withColumn("n_ref", pair[0].cast("long")).withColumn("n_cur", pair[1].cast("long"))
+    pairs = ", ".join(f"{k}, array({r}L, {c}L)" for k, (r, c) in totals.items())
+    columns = [f"`{c}`" for c in df.columns]
+    return df.selectExpr(*columns, f"map({pairs})[key] AS pair").selectExpr(
+        *columns, "pair[0] AS n_ref", "pair[1] AS n_cur"
+    )
 
 
-def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:
+def ks_distances(
+    ref: DataFrame,
+    cur: DataFrame,
+    entries: Entries,
+    totals: Totals,
+    splits: dict[int, list[float]] | None = None,
+) -> DataFrame:
     """``key, n_ref, n_cur, d``: the largest gap between the two empirical CDFs, exact.
 
     Values are counted first, so repeats never pile up in a window. Each column
     is cut into buckets of neighbouring values; a window runs within a bucket
     and reports the extremes of its local gap, and the few bucket rows are then
-    offset by what lies below them. No task holds a whole column.
+    offset by what lies below them. No task holds a whole column. ``splits``
+    are used as bucket bounds as long as they cut finely enough.
     """
     counts = _paired_counts(ref, cur, entries)
     most = max(sum(totals[k]) for k, _, _ in entries)
     buckets = min(MAX_BUCKETS, math.ceil(most / BUCKET_ROWS))
-    if buckets > 1:
-        splits = sample_splits(ref, [(k, v) for k, v, _ in entries], most, buckets)
-        literal = F.create_map(
-            *[x for k, _, _ in entries for x in (F.lit(k), double_array(splits.get(k, [])))]
-        )
-        counts = with_position(
-            counts.withColumn("splits", literal[F.col("key")]), "value", "splits", buckets, "bucket"
-        )
+    if not splits or buckets > max(map(len, splits.values())):
+        splits = {}
+        if buckets > 1:
+            splits = sample_splits(ref, [(k, v) for k, v, _ in entries], most, buckets)
+    if splits:
+        bounds = ", ".join(f"{k}, {double_array_sql(splits.get(k, []))}" for k, _, _ in entries)
+        counts = counts.withColumn("splits", F.expr(f"map({bounds})[key]"))
+        longest = max(map(len, splits.values()))
+        counts = with_position(counts, "value", "splits", longest, "bucket").drop("splits")
     else:
         counts = counts.withColumn("bucket", F.lit(0))
     below = Window.partitionBy("key", "bucket").orderBy("value").rowsBetween(
@@ -125,10 +135,21 @@ def binned_counts(
     )
 
 
-def psi_of(counts: DataFrame, totals: Totals) -> DataFrame:
-    """``key, psi`` from cell counts ``r`` and ``c``."""
+def psi_of(
+    counts: DataFrame, totals: Totals, inside: str = "true", means: bool = False
+) -> DataFrame:
+    """``key, psi`` from the cell counts ``r`` and ``c`` of the cells ``inside``.
+
+    ``means`` adds the mean of each side, from the sums of all cells.
+    """
     term = psi_term(F.col("r"), F.col("n_ref"), F.col("c"), F.col("n_cur"))
-    return with_totals(counts, totals).groupBy("key").agg(F.sum(term).alias("psi"))
+    aggs = [F.sum(F.when(F.expr(inside), term)).alias("psi")]
+    if means:
+        aggs += [
+            F.expr("try_divide(sum(sum_r), sum(r)) AS ref_mean"),
+            F.expr("try_divide(sum(sum_c), sum(c)) AS cur_mean"),
+        ]
+    return with_totals(counts, totals).groupBy("key").agg(*aggs)
 
 
 def category_psi(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:

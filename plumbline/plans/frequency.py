@@ -20,7 +20,7 @@ from plumbline.functions.text import LONG_BYTES, compact, is_digested, normalise
 from plumbline.plans.longform import melt
 
 
-def _distinct_form(info: ColumnInfo) -> tuple[str, Column] | None:
+def comparable(info: ColumnInfo) -> tuple[str, Column] | None:
     """A type that compares values exactly, and the column in it."""
     col = clean(info)
     if isinstance(info.type, INTEGRAL):
@@ -44,7 +44,7 @@ def distinct_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
     """``key, unique_count`` for each column with a present value, exact."""
     families: dict[str, list[tuple[int, dict[str, Column]]]] = {}
     for info in infos:
-        form = _distinct_form(info)
+        form = comparable(info)
         if form:
             families.setdefault(form[0], []).append((info.ordinal, {"value": form[1]}))
     parts = [
@@ -99,13 +99,13 @@ def text_summary(
     """Per text column: count, distinct, entropy, mode and spelling groups.
 
     ``spelling_groups`` counts the normalised values, ``inconsistent_rows`` the
-    rows whose normalised value is written in more than one way. The result is
-    cached: one row per column.
+    rows whose normalised value is written in more than one way. A long mode is
+    known by its first characters only, see :func:`long_modes`.
     """
     cells = _spellings(df, infos, excluded or {})
     cnt, kept = F.col("cnt"), ~F.col("skipped")
     # Highest count first, then the smallest value. `head` orders long values;
-    # which of those sharing a head is the mode is settled in `_long_modes`.
+    # which of those sharing a head is the mode is settled in `long_modes`.
     rank = F.struct(
         (-cnt).alias("neg"),
         F.coalesce("head", "cell").alias("head"),
@@ -120,7 +120,7 @@ def text_summary(
         F.count_if(kept).alias("spellings"),
         F.sum(F.when(kept, cnt).otherwise(0)).alias("kept_rows"),
     )
-    summary = (
+    return (
         by_norm.groupBy("key")
         .agg(
             F.sum("rows").alias("n"),
@@ -140,38 +140,34 @@ def text_summary(
             entropy_bits(F.col("n"), F.col("clog")).alias("entropy"),
             (-F.col("mode.neg")).alias("most_common_count"),
             F.col("mode.long").alias("mode_long"),
-            F.col("mode.head").alias("mode_head"),
+            F.col("mode.head").alias("most_common"),
             "spelling_groups",
             "inconsistent_groups",
             "inconsistent_rows",
         )
-        .persist()
     )
-    return _with_modes(df, infos, summary)
 
 
-def _with_modes(df: DataFrame, infos: Sequence[ColumnInfo], summary: DataFrame) -> DataFrame:
-    """Add ``most_common``, reading long modes back from the table.
+def long_modes(
+    df: DataFrame, infos: Sequence[ColumnInfo], heads: dict[int, tuple[str, int]]
+) -> DataFrame:
+    """``key, long_value``: the mode of each column in ``heads`` (first characters, count).
 
     Only rows that begin like the mode are grouped by their full text.
     """
-    by_key = {i.ordinal: i for i in infos}
-    found = []
-    for row in summary.filter("mode_long").select("key", "mode_head", "most_common_count").collect():
-        col = quoted(by_key[row["key"]].name)
-        found.append(
-            df.filter(is_digested(col) & (F.substring(col, 1, LONG_BYTES) == row["mode_head"]))
-            .groupBy(col.alias("value"))
-            .count()
-            .filter(F.col("count") == row["most_common_count"])
-            .agg(F.lit(row["key"]).alias("key"), F.min("value").alias("long_value"))
-        )
-    if not found:
-        return summary.withColumn("most_common", F.col("mode_head"))
-    modes = F.broadcast(reduce(DataFrame.unionAll, found))  # one row per text column
-    return summary.join(modes, "key", "left").withColumn(
-        "most_common", F.coalesce("long_value", "mode_head")
-    ).drop("long_value").persist()
+    parts = []
+    for info in infos:
+        if info.ordinal in heads:
+            head, count = heads[info.ordinal]
+            col = quoted(info.name)
+            parts.append(
+                df.filter(is_digested(col) & (F.substring(col, 1, LONG_BYTES) == head))
+                .groupBy(col.alias("value"))
+                .count()
+                .filter(F.col("count") == count)
+                .agg(F.lit(info.ordinal).alias("key"), F.min("value").alias("long_value"))
+            )
+    return reduce(DataFrame.unionAll, parts)
 
 
 def spelling_examples(

@@ -25,9 +25,13 @@ from plumbline.plans.longform import melt
 
 INF = float("inf")
 
+# Up to this many values (rows times columns) a table is small: one aggregate does.
+DIRECT_VALUES = 1_000_000
 # Rows the proposing sample aims at, and the grid its quantiles are read on.
 SAMPLE_ROWS = 50_000
-GRID = 200
+GRID = 100
+# Accuracy of the sketch over the sample; its error widens the brackets.
+SKETCH = 2_000
 # Rows that may lie strictly inside a bracket before it is narrowed first.
 BRACKET_ROWS = 4_000_000
 # Half-width of a bracket in standard errors of a sample quantile.
@@ -84,7 +88,7 @@ def _sample_grid(
         .groupBy("key")
         .agg(
             F.count("value").alias("k"),
-            F.percentile_approx("value", grid, max(10_000, 20 * points)).alias("grid"),
+            F.percentile_approx("value", grid, max(SKETCH, 20 * points)).alias("grid"),
         )
     )
     return {r["key"]: (r["k"], r["grid"]) for r in found.collect()}
@@ -102,7 +106,7 @@ def sample_splits(
 def _propose(iv: Interval, k: int, grid: list[float], p: float, rows: float) -> None:
     """Shrink an interval holding ``rows`` rows to the grid values around quantile ``p``."""
     points = len(grid) - 1
-    error = SIGMAS * math.sqrt(max(p * (1 - p), 1 / k) / k) + 2 / k + 1e-3
+    error = SIGMAS * math.sqrt(max(p * (1 - p), 1 / k) / k) + 2 / k + 1 / SKETCH
     left, right = math.floor((p - error) * points), math.ceil((p + error) * points)
     lo, hi = max(left, 0), min(right, points)
     if left >= 0:
@@ -126,8 +130,9 @@ def _with_region(df: DataFrame, entries: list[Entry], extra: dict[int, dict[str,
     ]
     long = melt(df, wide).filter(F.col("value").isNotNull())
     long = with_position(long, "value", "ends", max(map(len, ends.values())), "pos")
-    at_end = F.get("ends", F.col("pos") - 1) == F.col("value")
-    return long.withColumn("region", F.when(at_end, 2 * F.col("pos") - 1).otherwise(2 * F.col("pos")))
+    return long.selectExpr(
+        "*", "CASE WHEN get(ends, pos - 1) = value THEN 2 * pos - 1 ELSE 2 * pos END AS region"
+    )
 
 
 def _region_bounds(brackets: list[tuple[float, float]], code: int) -> tuple[float, float]:
@@ -142,21 +147,16 @@ def _region_bounds(brackets: list[tuple[float, float]], code: int) -> tuple[floa
 def _cells(df: DataFrame, entries: list[Entry], moments: bool) -> DataFrame:
     """Rows per (key, region, value), the value kept in brackets only."""
     shifted = {e.key: {"d": e.value - F.lit(float(e.shift))} for e in entries} if moments else {}
-    aggs = [F.count(F.lit(1)).alias("cnt")]
+    aggs = ["count(1) AS cnt"]
     if moments:
-        d = F.col("d")
-        powers = (d, d * d, d * d * d, (d * d) * (d * d))
-        aggs += [F.sum(x).alias(s) for s, x in zip(POWER_SUMS, powers)]
-        aggs += [
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.count_if(F.col("value") == 0).alias("zero_count"),
-        ]
-    in_bracket = F.col("region") % 4 != 0
+        powers = ("d", "d * d", "d * d * d", "(d * d) * (d * d)")
+        aggs += [f"sum({x}) AS {s}" for s, x in zip(POWER_SUMS, powers)]
+        aggs += ["min(value) AS min", "max(value) AS max", "count_if(value = 0) AS zero_count"]
+    cell = F.expr("CASE WHEN region % 4 != 0 THEN value END").alias("cell")
     return (
         _with_region(df, entries, shifted)
-        .groupBy("key", "region", F.when(in_bracket, F.col("value")).alias("cell"))
-        .agg(*aggs)
+        .groupBy("key", "region", cell)
+        .agg(*map(F.expr, aggs))
     )
 
 
@@ -183,11 +183,11 @@ def _ranked(cells: DataFrame, probs: Sequence[float], moments: bool) -> DataFram
             here = f"{rank} < upto AND {rank} >= upto - cnt"
             aggs.append(f"max(CASE WHEN {here} THEN cell END) AS {side}")
             missed.append(f"{side} IS NULL")
-        found.append(lerp(F.col(f"lo{i}"), F.col(f"hi{i}"), F.expr(f"{h} - floor({h})")).alias(f"q{i}"))
+        found.append(f"{lerp(f'lo{i}', f'hi{i}', f'({h} - floor({h}))')} AS q{i}")
     return (
         ranked.groupBy("key")
         .agg(*map(F.expr, aggs))
-        .select(*kept, F.expr(" OR ".join(missed) or "false").alias("missed"), *found)
+        .selectExpr(*kept, f"{' OR '.join(missed) or 'false'} AS missed", *found)
     )
 
 
@@ -235,21 +235,52 @@ def _shrink(df: DataFrame, entries: list[Entry], probs: Sequence[float], seed: i
             _narrow(df, full, seed + round_no)
 
 
-def order_statistics(
+def _direct(
+    df: DataFrame, columns: Sequence[tuple[int, Column]], probs: Sequence[float], moments: bool
+) -> DataFrame:
+    """The same result for a small table: one exact aggregate per column.
+
+    ``percentile`` counts the distinct values of a column in one task, which the
+    caller has bounded.
+    """
+    aggs = ["count(value) AS n"]
+    if moments:
+        # As sums of powers about the mean, so that both paths end alike.
+        aggs += [
+            "0D AS s1",
+            "count(value) * var_pop(value) AS s2",
+            "count(value) * coalesce(skewness(value), 0D) * pow(var_pop(value), 1.5D) AS s3",
+            "count(value) * coalesce(kurtosis(value) + 3, 0D) * pow(var_pop(value), 2D) AS s4",
+            "min(value) AS min",
+            "max(value) AS max",
+            "count_if(value = 0) AS zero_count",
+            "avg(value) AS shift",
+        ]
+    wanted = ", ".join(f"{float(p)!r}D" for p in probs)
+    out = (
+        melt(df, [(k, {"value": v}) for k, v in columns])
+        .filter("value IS NOT NULL")
+        .groupBy("key")
+        .agg(*map(F.expr, aggs), F.expr(f"percentile(value, array({wanted}))").alias("q"))
+    )
+    kept = [c for c in out.columns if c != "q"]
+    return out.selectExpr(*kept, *[f"q[{i}] AS q{i}" for i in range(len(probs))])
+
+
+def proposed_statistics(
     df: DataFrame,
     columns: Sequence[tuple[int, Column]],
     probs: Sequence[float],
     rows: int,
     moments: bool = False,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles ``q0, q1, ...`` per column.
+) -> tuple[DataFrame, list[Entry]]:
+    """The statistics as a lazy frame, from brackets a sample proposes.
 
-    ``columns`` pairs a key with a double expression; ``rows`` is the row count
-    of ``df``. The result has one row per key that has any value, with the
-    count ``n`` and, if ``moments``, the sums of powers of ``x - shift``, the
-    shift, minimum, maximum and zero count. It is cached: it holds as many rows
-    as there are columns.
+    ``missed`` marks the columns where a bracket missed a rank; the others are
+    exact. The entries that come along are empty when nothing can be missed.
     """
+    if rows * len(columns) <= DIRECT_VALUES:
+        return _direct(df, columns, probs, moments).withColumn("missed", F.lit(False)), []
     entries = [Entry(k, v) for k, v in columns]
     fraction = min(1.0, 1.05 * SAMPLE_ROWS / max(rows, 1))
     grids = _sample_grid(df, list(columns), fraction, GRID, seed=17)
@@ -263,11 +294,39 @@ def order_statistics(
             for i, iv in enumerate(e.intervals):
                 _propose(iv, k, grid, probs[i // 2], k / fraction)
     _shrink(df, entries, probs, seed=100)
+    return _counted(df, entries, probs, moments), entries
+
 
+def _counted(
+    df: DataFrame, entries: list[Entry], probs: Sequence[float], moments: bool
+) -> DataFrame:
+    out = _ranked(_cells(df, entries, moments), probs, moments)
+    if moments:
+        # Keyed by column, so the literal map is as small as the schema.
+        shifts = ", ".join(f"{e.key}, {float(e.shift)!r}D" for e in entries)
+        out = out.withColumn("shift", F.expr(f"map({shifts})[key]"))
+    return out
+
+
+def order_statistics(
+    df: DataFrame,
+    columns: Sequence[tuple[int, Column]],
+    probs: Sequence[float],
+    rows: int,
+    moments: bool = False,
+) -> DataFrame:
+    """Exact linear-interpolated quantiles ``q0, q1, ...`` per column.
+
+    ``columns`` pairs a key with a double expression; ``rows`` is the row count
+    of ``df``. The result has one row per key that has any value, with the
+    count ``n`` and, if ``moments``, the sums of powers of ``x - shift``, the
+    shift, minimum, maximum and zero count. It is cached: it holds as many rows
+    as there are columns.
+    """
+    frame, pending = proposed_statistics(df, columns, probs, rows, moments)
     done: list[DataFrame] = []
-    pending = entries
     for round_no in range(MAX_ROUNDS):
-        part = _ranked(_cells(df, pending, moments), probs, moments).persist()
+        part = frame.persist()
         missed = {r["key"] for r in part.filter("missed").select("key").collect()}
         done.append(part.filter("NOT missed").drop("missed") if missed else part.drop("missed"))
         pending = [e for e in pending if e.key in missed]
@@ -275,13 +334,10 @@ def order_statistics(
             break
         _locate(df, pending, probs)
         _shrink(df, pending, probs, seed=1000 * (round_no + 1))
+        frame = _counted(df, pending, probs, moments)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    if moments:
-        # Keyed by column, so the literal map is as small as the schema.
-        shift = F.create_map(*[F.lit(x) for e in entries for x in (e.key, float(e.shift))])
-        out = out.withColumn("shift", F.try_element_at(shift, F.col("key")))
     return out
 
 
