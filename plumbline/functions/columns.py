@@ -6,7 +6,10 @@ starts from :func:`clean`, which turns NaN of float and double columns to NULL.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +53,43 @@ class ColumnInfo:
     family: str
 
 
+def ident(name: str) -> str:
+    """A column name as SQL text; survives dots and back-ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """A column reference that survives dots and back-ticks in the name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
+
+
+def literal(value: Any) -> str:
+    """A Python value as SQL text. Infinities and NaN keep a non-nullable type."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return f"{value}L" if abs(value) > 2**31 - 1 else str(value)
+    if isinstance(value, float):
+        if math.isinf(value) or math.isnan(value):
+            return f"coalesce(double('{value}'), 0D)"
+        return f"{value!r}D"
+    text = "".join(c if c.isalnum() or c in " _-.:/" else f"\\U{ord(c):08x}" for c in str(value))
+    return f"'{text}'"
+
+
+def literal_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation: no task, no Python worker.
+
+    ``schema`` is a list of ``name type`` pairs.
+    """
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = ", ".join(f"({', '.join(literal(x) for x in row)})" for row in rows)
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    typed = ", ".join(f"cast(c{i} AS {t}) AS {ident(n)}" for i, (n, t) in enumerate(fields))
+    return spark.sql(f"SELECT {typed} FROM VALUES {cells} AS t({names})")
 
 
 def describe_columns(df: DataFrame, columns: list[str] | None = None) -> list[ColumnInfo]:
@@ -66,19 +103,26 @@ def describe_columns(df: DataFrame, columns: list[str] | None = None) -> list[Co
     return [c for c in infos if c.name in set(columns)]
 
 
-def clean(info: ColumnInfo) -> Column:
-    """The column with NaN turned to NULL (floating types only)."""
-    col = quoted(info.name)
+def clean(info: ColumnInfo) -> str:
+    """SQL text of the column with NaN turned to NULL (floating types only)."""
+    name = ident(info.name)
     if isinstance(info.type, FLOATING):
-        return F.nanvl(col, F.lit(None).cast(info.type))
-    return col
+        return f"nanvl({name}, cast(NULL AS {info.dtype}))"
+    return name
 
 
-def as_double(info: ColumnInfo) -> Column:
-    """A numeric or boolean column as double, missing as NULL."""
+def as_double(info: ColumnInfo) -> str:
+    """SQL text of a numeric or boolean column as double, missing as NULL."""
     if info.family == "boolean":
-        return quoted(info.name).cast("int").cast("double")
-    return clean(info).cast("double")
+        return f"cast(cast({ident(info.name)} AS int) AS double)"
+    return f"cast({clean(info)} AS double)"
+
+
+def without(value: str, excluded: Sequence[Any]) -> str:
+    """SQL text of a double value that is NULL where it is one of ``excluded``."""
+    if not excluded:
+        return value
+    return f"CASE WHEN {value} NOT IN ({', '.join(literal(float(x)) for x in excluded)}) THEN {value} END"
 
 
 def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[ColumnInfo]:
@@ -88,7 +132,8 @@ def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[Col
 
 def schema_frame(spark: SparkSession, infos: list[ColumnInfo]) -> DataFrame:
     """One row per column: ``ordinal, column, dtype, family``."""
-    return spark.createDataFrame(
+    return literal_frame(
+        spark,
         [(c.ordinal, c.name, c.dtype, c.family) for c in infos],
         "ordinal int, column string, dtype string, family string",
     )

@@ -1,9 +1,8 @@
-"""Closed-form statistics as column expressions."""
+"""Closed-form statistics, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # The proportion that stands in for an empty PSI cell, and the
 # PSI levels of the drift status.
@@ -17,9 +16,9 @@ CONSTANT_SS = 1e-14
 
 
 
-def percentage(part: Column, whole: Column) -> Column:
+def percentage(part: str, whole: str) -> str:
     """``part / whole * 100``; 0 when there is nothing to divide by."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")) * 100, F.lit(0.0))
+    return f"coalesce(try_divide({part}, {whole}) * 100, 0D)"
 
 
 def with_shape(sums: DataFrame) -> DataFrame:
@@ -60,40 +59,37 @@ def lerp(low: str, high: str, t: str) -> str:
     )
 
 
-def entropy_bits(n: Column, sum_c_log2_c: Column) -> Column:
+def entropy_bits(n: str, sum_c_log2_c: str) -> str:
     """Shannon entropy from the row count and the sum of ``c * log2(c)``."""
-    bits = F.log2(n.cast("double")) - F.try_divide(sum_c_log2_c, n.cast("double"))
-    return F.when(n > 0, F.greatest(bits, F.lit(0.0)))
+    return f"greatest(log2({n}) - try_divide({sum_c_log2_c}, {n}), 0D)"
 
 
-def psi_term(ref_count: Column, ref_total: Column, cur_count: Column, cur_total: Column) -> Column:
-    """One cell's share of the Population Stability Index; empty cells get epsilon."""
+def psi_term(ref_share: str, cur_share: str) -> str:
+    """One cell's part of the Population Stability Index; empty cells count as epsilon."""
 
-    def share(count: Column, total: Column) -> Column:
-        p = F.try_divide(F.coalesce(count, F.lit(0)).cast("double"), total.cast("double"))
-        return F.when(p == 0, F.lit(PSI_EPSILON)).otherwise(p)
+    def positive(share: str) -> str:
+        return f"CASE WHEN {share} = 0 THEN {PSI_EPSILON!r}D ELSE {share} END"
 
-    ref, cur = share(ref_count, ref_total), share(cur_count, cur_total)
-    return (cur - ref) * F.ln(F.try_divide(cur, ref))
+    ref, cur = positive(ref_share), positive(cur_share)
+    return f"({cur} - {ref}) * ln({cur} / {ref})"
 
 
-def drift_status(psi: Column) -> Column:
+def drift_status(psi: str) -> str:
     return (
-        F.when(psi >= PSI_SIGNIFICANT, "significant")
-        .when(psi >= PSI_MODERATE, "moderate")
-        .otherwise("stable")
+        f"CASE WHEN {psi} >= {PSI_SIGNIFICANT}D THEN 'significant' "
+        f"WHEN {psi} >= {PSI_MODERATE}D THEN 'moderate' ELSE 'stable' END"
     )
 
 
-def relative_change(ref_mean: Column, cur_mean: Column) -> Column:
+def relative_change(ref_mean: str, cur_mean: str) -> str:
     """Change of the mean in percent of the signed reference mean; 0 if that is 0."""
-    return F.when(ref_mean == 0, F.lit(0.0)).otherwise(
-        F.try_divide(cur_mean - ref_mean, ref_mean) * 100
+    return (
+        f"CASE WHEN {ref_mean} = 0 THEN 0D "
+        f"ELSE try_divide({cur_mean} - {ref_mean}, {ref_mean}) * 100 END"
     )
 
 
-def ks_p_value(d: Column, n_ref: Column, n_cur: Column) -> Column:
+def ks_p_value(d: str, n_ref: str, n_cur: str) -> str:
     """Asymptotic two-sample p-value ``min(1, 2 exp(-2 lambda^2))``."""
-    n1, n2 = n_ref.cast("double"), n_cur.cast("double")
-    lam2 = d * d * F.try_divide(n1 * n2, n1 + n2)
-    return F.least(F.lit(1.0), 2 * F.exp(-2 * lam2))
+    n1, n2 = f"cast({n_ref} AS double)", f"cast({n_cur} AS double)"
+    return f"least(1D, 2 * exp(-2 * {d} * {d} * ({n1} * {n2} / ({n1} + {n2}))))"

@@ -1,10 +1,7 @@
-"""Text normalisation and compact keys for long values."""
+"""Text normalisation and compact keys for long values, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The characters Unicode-aware whitespace stripping removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -16,29 +13,22 @@ WHITESPACE = (
 LONG_BYTES = 128
 
 
-def normalise(value: Column) -> Column:
-    """Strip surrounding whitespace and lower-case: the spelling-group key."""
-    return F.lower(F.trim(value, F.lit(WHITESPACE)))
-
-
-def is_long(value: Column) -> Column:
-    return F.octet_length(value) > F.lit(LONG_BYTES)
-
-
-def digest(value: Column) -> Column:
-    """SHA-256 of the whole value, as hex text."""
-    return F.sha2(value.cast("binary"), 256)
-
-
 # Marks a digest. Plain values that begin with the mark are digested as well,
 # so a key always tells which of the two it is.
 MARK = "sha256:"
 
 
-def is_digested(value: Column) -> Column:
-    return is_long(value) | F.startswith(value, F.lit(MARK))
+def normalise(value: str) -> str:
+    """Strip surrounding whitespace and lower-case: the spelling-group key."""
+    chars = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    return f"lower(btrim({value}, '{chars}'))"
+
+
+def is_digested(value: str) -> str:
+    return f"(octet_length({value}) > {LONG_BYTES} OR startswith({value}, '{MARK}'))"
 
 
-def compact(value: Column) -> Column:
-    """The value itself, or the marked digest of it when it is long."""
-    return F.when(is_digested(value), F.concat(F.lit(MARK), digest(value))).otherwise(value)
+def compact(value: str) -> str:
+    """The value itself, or the marked digest of the whole value when it is long."""
+    digest = f"concat('{MARK}', sha2(cast({value} AS binary), 256))"
+    return f"CASE WHEN {is_digested(value)} THEN {digest} ELSE {value} END"

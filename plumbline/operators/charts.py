@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import MAX_CATEGORIES
-from plumbline.functions.columns import as_double, clean, describe_columns, numeric_columns
+from plumbline.functions.columns import as_double, clean, describe_columns, literal, literal_frame, numeric_columns
 from plumbline.functions.stats import percentage
 from plumbline.operators.issues import issues_by_severity, issues_by_type
 from plumbline.operators.profile import QUARTILES, missing_overview, numeric_summary
@@ -32,7 +32,7 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
     pattern before the shuffle.
     """
     infos = describe_columns(df, columns)
-    bits = F.concat(*[F.when(clean(c).isNull(), "1").otherwise("0") for c in infos])
+    bits = F.concat(*[F.expr(f"CASE WHEN {clean(c)} IS NULL THEN '1' ELSE '0' END") for c in infos])
     names = F.array_compact(
         F.array(
             *[
@@ -109,8 +109,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     aggs = []
     for c in infos:
         value, i = as_double(c), c.ordinal
-        aggs += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
+        aggs += [f"count({value}) AS n{i}", f"min({value}) AS lo{i}", f"max({value}) AS hi{i}"]
+    row = df.agg(*map(F.expr, aggs)).collect()[0]
     entries, bins = [], []
     for c in infos:
         n, lo, hi = row[f"n{c.ordinal}"], row[f"lo{c.ordinal}"], row[f"hi{c.ordinal}"]
@@ -122,8 +122,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         edges = [lo + i * ((hi - lo) / k) for i in range(k)] + [hi]
         entries.append((c.ordinal, {"value": as_double(c), "edges": double_array(edges)}))
         bins += [(c.ordinal, c.name, b + 1, edges[b], edges[b + 1]) for b in range(k)]
-    all_bins = df.sparkSession.createDataFrame(
-        bins, "key int, column string, bin int, lower double, upper double"
+    all_bins = literal_frame(
+        df.sparkSession, bins, "key int, column string, bin int, lower double, upper double"
     )
     if not entries:
         return all_bins.select("column", "bin", "lower", "upper", F.lit(0).cast("long").alias("cnt"))
@@ -151,9 +151,10 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     shown = [c for c in infos if c.ordinal in by_key]
     counts = df.agg(
         *[
-            F.count_if(
-                (as_double(c) < bounds[c.ordinal][0]) | (as_double(c) > bounds[c.ordinal][1])
-            ).alias(f"out{c.ordinal}")
+            F.expr(
+                f"count_if({as_double(c)} < {literal(bounds[c.ordinal][0])} "
+                f"OR {as_double(c)} > {literal(bounds[c.ordinal][1])}) AS out{c.ordinal}"
+            )
             for c in shown
         ]
     )
@@ -170,7 +171,7 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 F.lit(lo).alias("lower_bound"),
                 F.lit(hi).alias("upper_bound"),
                 out.alias("outlier_count"),
-                percentage(out, F.lit(r["n"])).alias("outlier_percentage"),
+                F.expr(percentage(f"out{c.ordinal}", str(r["n"]))).alias("outlier_percentage"),
             )
         )
     return counts.select(F.inline(F.array(*cells)))
@@ -213,5 +214,5 @@ def top_categories(df: DataFrame, columns: list[str] | None = None, limit: int =
     names = F.create_map(*[F.lit(x) for c in infos for x in (c.ordinal, c.name)])
     return (
         rolled.select(names[F.col("key")].alias("column"), "n", F.inline(rows))
-        .select("column", "category", "cnt", percentage(F.col("cnt"), F.col("n")).alias("percentage"), "is_other")
+        .select("column", "category", "cnt", F.expr(percentage("cnt", "n")).alias("percentage"), "is_other")
     )

@@ -35,7 +35,7 @@ def _checks(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> list[tuple
     for column, rule in rules.items():
         if column not in df.columns:
             continue
-        value = clean(require(df, column))
+        value = F.expr(clean(require(df, column)))
         low, high = rule.get("min"), rule.get("max")
         if low is not None or high is not None:
             bad = [value < F.lit(low)] if low is not None else []
@@ -64,7 +64,7 @@ def constraint_report(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) ->
                 F.lit(kind).alias("constraint"),
                 F.col(f"n{i}").alias("checked_count"),
                 F.col(f"bad{i}").alias("violations"),
-                percentage(F.col(f"bad{i}"), F.col(f"n{i}")).alias("violation_percentage"),
+                F.expr(percentage(f"bad{i}", f"n{i}")).alias("violation_percentage"),
             )
         )
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
@@ -89,6 +89,6 @@ def not_in_reference(df: DataFrame, column: str, allowed: DataFrame, allowed_col
 
     The join side is chosen from its size at run time; nothing is forced.
     """
-    value = clean(require(df, column))
+    value = F.expr(clean(require(df, column)))
     keys = allowed.select(F.col(allowed_column).alias("__allowed")).distinct()
     return df.filter(value.isNotNull()).join(keys, F.col(column) == F.col("__allowed"), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (
@@ -12,6 +12,7 @@ from plumbline.functions.columns import (
     as_double,
     clean,
     describe_columns,
+    literal,
     schema_frame,
 )
 from plumbline.functions.stats import drift_status, ks_p_value, relative_change
@@ -46,8 +47,8 @@ def _is_category(pair: Pair) -> bool:
 
 def present_totals(ref: DataFrame, cur: DataFrame, pairs: list[Pair]) -> Totals:
     """Present values of each column on both sides: one aggregate row per table."""
-    left = ref.agg(*[F.count(clean(a)).alias(f"n{a.ordinal}") for a, _ in pairs]).first()
-    right = cur.agg(*[F.count(clean(b)).alias(f"n{a.ordinal}") for a, b in pairs]).first()
+    left = ref.agg(*[F.expr(f"count({clean(a)}) AS n{a.ordinal}") for a, _ in pairs]).collect()[0]
+    right = cur.agg(*[F.expr(f"count({clean(b)}) AS n{a.ordinal}") for a, b in pairs]).collect()[0]
     return {a.ordinal: (left[f"n{a.ordinal}"], right[f"n{a.ordinal}"]) for a, _ in pairs}
 
 
@@ -92,7 +93,8 @@ def _category_frame(
         if _is_category((a, b)) and min(totals[a.ordinal]) > 0:
             (kind, left), (other, right) = comparable(a), comparable(b)
             if kind != other:
-                kind, left, right = "string", left.cast("string"), right.cast("string")
+                kind = "string"
+                left, right = f"cast({left} AS string)", f"cast({right} AS string)"
             by_type.setdefault(kind, []).append((a.ordinal, left, right))
     parts = [category_psi(ref, cur, entries, totals) for entries in by_type.values()]
     return reduce(DataFrame.unionAll, parts) if parts else None
@@ -109,10 +111,8 @@ def _ks_frame(
     if not usable:
         return None
     entries = [(a.ordinal, as_double(a), as_double(b)) for a, b in usable]
-    return ks_distances(ref, cur, entries, totals, edges).select(
-        "key",
-        F.col("d").alias("ks_statistic"),
-        ks_p_value(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
+    return ks_distances(ref, cur, entries, totals, edges).selectExpr(
+        "key", "d AS ks_statistic", f"{ks_p_value('d', 'n_ref', 'n_cur')} AS ks_p_value"
     )
 
 
@@ -130,24 +130,23 @@ def mean_changes(ref: DataFrame, cur: DataFrame, columns: list[str] | None = Non
     pairs = [p for p in common_columns(ref, cur, columns) if _is_number(p)]
 
     def means(df: DataFrame, side: int, name: str) -> DataFrame:
-        row = df.agg(*[F.avg(as_double(p[side])).alias(f"m{p[0].ordinal}") for p in pairs])
-        cells = [
-            F.struct(F.lit(a.name).alias("column"), F.col(f"m{a.ordinal}").alias(name))
-            for a, _ in pairs
-        ]
-        return row.select(F.inline(F.array(*cells))).filter(F.col(name).isNotNull())
+        row = df.agg(*[F.expr(f"avg({as_double(p[side])}) AS m{p[0].ordinal}") for p in pairs])
+        cells = ", ".join(
+            f"named_struct('column', {literal(a.name)}, '{name}', m{a.ordinal})" for a, _ in pairs
+        )
+        return row.selectExpr(f"inline(array({cells}))").filter(f"{name} IS NOT NULL")
 
     joined = means(ref, 0, "ref_mean").join(F.broadcast(means(cur, 1, "curr_mean")), "column")
-    change = relative_change(F.col("ref_mean"), F.col("curr_mean"))
-    return joined.select("column", "ref_mean", "curr_mean", change.alias("pct_change"))
+    change = relative_change("ref_mean", "curr_mean")
+    return joined.selectExpr("column", "ref_mean", "curr_mean", f"{change} AS pct_change")
 
 
 def compare_profiles(ref_profile: DataFrame, cur_profile: DataFrame) -> DataFrame:
     """The same comparison from two profiles, without reading the tables again."""
-    left = ref_profile.filter("mean IS NOT NULL").select("column", F.col("mean").alias("ref_mean"))
-    right = cur_profile.filter("mean IS NOT NULL").select("column", F.col("mean").alias("curr_mean"))
-    change = relative_change(F.col("ref_mean"), F.col("curr_mean"))
-    return left.join(F.broadcast(right), "column").withColumn("pct_change", change)
+    left = ref_profile.filter("mean IS NOT NULL").selectExpr("column", "mean AS ref_mean")
+    right = cur_profile.filter("mean IS NOT NULL").selectExpr("column", "mean AS curr_mean")
+    change = relative_change("ref_mean", "curr_mean")
+    return left.join(F.broadcast(right), "column").selectExpr("*", f"{change} AS pct_change")
 
 
 def population_stability(
@@ -162,8 +161,8 @@ def population_stability(
     found = [f.select("key", "psi") for f in (numbers, categories) if f is not None]
     part = reduce(DataFrame.unionByName, found) if found else None
     out = _by_column(ref, pairs, [part])
-    psi = F.coalesce("psi", F.lit(0.0)) if found else F.lit(0.0)
-    return out.select("column", psi.alias("psi"), drift_status(psi).alias("drift_status"))
+    psi = "coalesce(psi, 0D)" if found else "0D"
+    return out.selectExpr("column", f"{psi} AS psi", f"{drift_status(psi)} AS drift_status")
 
 
 def kolmogorov_smirnov(
@@ -174,11 +173,9 @@ def kolmogorov_smirnov(
     totals = present_totals(ref, cur, pairs)
     part = _ks_frame(ref, cur, pairs, totals)
     out = _by_column(ref, pairs, [part])
-    d, p = ("ks_statistic", "ks_p_value") if part is not None else (F.lit(None), F.lit(None))
-    return out.select(
-        "column",
-        F.coalesce(d, F.lit(0.0)).alias("ks_statistic"),
-        F.coalesce(p, F.lit(1.0)).alias("ks_p_value"),
+    d, p = ("ks_statistic", "ks_p_value") if part is not None else ("NULL", "NULL")
+    return out.selectExpr(
+        "column", f"coalesce({d}, 0D) AS ks_statistic", f"coalesce({p}, 1D) AS ks_p_value"
     )
 
 
@@ -198,18 +195,19 @@ def drift_table(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None
     )
     out = _by_column(ref, pairs, [part, _ks_frame(ref, cur, pairs, totals, edges)])
     have = set(out.columns)
-
-    def col(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("double")
-
-    psi = F.coalesce(col("psi"), F.lit(0.0))
-    numeric = F.col("column").isin([a.name for a, b in pairs if _is_number((a, b))])
-    return out.select(
+    psi, ref_mean, cur_mean, d, p = (
+        c if c in have else "cast(NULL AS double)"
+        for c in ("psi", "ref_mean", "cur_mean", "ks_statistic", "ks_p_value")
+    )
+    psi = f"coalesce({psi}, 0D)"
+    keys = ", ".join(["-1", *[str(a.ordinal) for a, b in pairs if _is_number((a, b))]])
+    numeric = f"ordinal IN ({keys})"
+    return out.selectExpr(
         "column",
         "dtype",
-        psi.alias("psi"),
-        drift_status(psi).alias("drift_status"),
-        relative_change(col("ref_mean"), col("cur_mean")).alias("pct_change"),
-        F.when(numeric, F.coalesce(col("ks_statistic"), F.lit(0.0))).alias("ks_statistic"),
-        F.when(numeric, F.coalesce(col("ks_p_value"), F.lit(1.0))).alias("ks_p_value"),
+        f"{psi} AS psi",
+        f"{drift_status(psi)} AS drift_status",
+        f"{relative_change(ref_mean, cur_mean)} AS pct_change",
+        f"CASE WHEN {numeric} THEN coalesce({d}, 0D) END AS ks_statistic",
+        f"CASE WHEN {numeric} THEN coalesce({p}, 1D) END AS ks_p_value",
     ).orderBy("column")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.functions.columns import ColumnInfo, as_double
+from plumbline.functions.columns import ColumnInfo, as_double, literal, literal_frame, without
 from plumbline.operators.profile import KEPT
 from plumbline.plans.longform import melt
 
@@ -50,7 +50,7 @@ def outlier_facts(
     is combined by value before the shuffle, and the ranking keeps five rows
     per task.
     """
-    spark, k = df.sparkSession, config.outlier_threshold
+    k = config.outlier_threshold
     # Key order puts a column's row without its excluded values last, so it wins.
     picked = numeric.filter("q1 IS NOT NULL").select("key", "n", "q1", "q3", "min", "max").collect()
     bounds = {r["key"] % KEPT: r for r in sorted(picked, key=lambda r: r["key"])}
@@ -60,45 +60,41 @@ def outlier_facts(
         if r is not None:
             lo, hi = r["q1"] - k * (r["q3"] - r["q1"]), r["q3"] + k * (r["q3"] - r["q1"])
             known.append((info.ordinal, r["n"], lo, hi, r["min"], r["max"]))
-    stats = spark.createDataFrame(
+    stats = literal_frame(
+        df.sparkSession,
         known,
         "ordinal int, valid_count long, lower_bound double, upper_bound double, "
         "valid_min double, valid_max double",
     )
-    fences = {r[0]: r for r in known}
     entries = []
-    for info in infos:
-        _, n, lower, upper, *_ = fences.get(info.ordinal, (0, 0, 0, 0))
-        if n < MIN_OUTLIER_VALUES:
-            continue
-        value, lo, hi = as_double(info), F.lit(lower), F.lit(upper)
-        far = F.when(value < lo, lo - value).when(value > hi, value - hi)
-        skip = config.excluded(info.name)
-        if skip:
-            far = F.when(~value.isin([float(x) for x in skip]), far)
-        entries.append((info.ordinal, {"value": value, "far": far}))
+    by_ordinal = {c.ordinal: c for c in infos}
+    for ordinal, n, lower, upper, *_ in known:
+        if n >= MIN_OUTLIER_VALUES:
+            info, lo, hi = by_ordinal[ordinal], literal(lower), literal(upper)
+            value = without(as_double(info), config.excluded(info.name))
+            entries.append((ordinal, {"value": value, "lo": lo, "hi": hi}))
     if not entries:
-        return stats.select(
+        return stats.selectExpr(
             "*",
-            F.lit(None).cast("long").alias("outlier_count"),
-            F.lit(None).cast("array<string>").alias("outlier_examples"),
+            "cast(NULL AS long) AS outlier_count",
+            "cast(NULL AS array<string>) AS outlier_examples",
         )
     beyond = (
         melt(df, entries, key="ordinal")
-        .filter("far IS NOT NULL")
-        .groupBy("ordinal", "value", "far")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .filter("value < lo OR value > hi")
+        .groupBy("ordinal", "value", F.expr("greatest(lo - value, value - hi) AS far"))
+        .agg(F.expr("count(1) AS cnt"))
     )
-    counts = beyond.groupBy("ordinal").agg(F.sum("cnt").alias("outlier_count"))
-    place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("far"), "value"))
+    counts = beyond.groupBy("ordinal").agg(F.expr("sum(cnt) AS outlier_count"))
     examples = (
-        beyond.withColumn("place", place)
-        .filter(F.col("place") <= EXAMPLES)
+        beyond.selectExpr(
+            "*", "row_number() OVER (PARTITION BY ordinal ORDER BY far DESC, value) AS place"
+        )
+        .filter(f"place <= {EXAMPLES}")
         .groupBy("ordinal")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("found"))
-        .select(
-            "ordinal",
-            F.transform("found", lambda x: x["value"].cast("string")).alias("outlier_examples"),
+        .agg(F.expr("sort_array(collect_list(struct(place, value))) AS found"))
+        .selectExpr(
+            "ordinal", "transform(found, x -> cast(x.value AS string)) AS outlier_examples"
         )
     )
     # One row per numeric column on every side.
@@ -202,9 +198,9 @@ def find_issues(facts: DataFrame, config: Config) -> DataFrame:
 
 def issues_by_severity(issues: DataFrame) -> DataFrame:
     """``severity, issues``: all three levels, zero included, from one aggregate row."""
-    row = issues.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
-    cells = [F.struct(F.lit(s).alias("severity"), F.col(s).alias("issues")) for s in SEVERITIES]
-    return row.select(F.inline(F.array(*cells)))
+    row = issues.agg(*[F.expr(f"count_if(severity = '{s}') AS {s}") for s in SEVERITIES])
+    cells = ", ".join(f"named_struct('severity', '{s}', 'issues', {s})" for s in SEVERITIES)
+    return row.selectExpr(f"inline(array({cells}))")
 
 
 def issues_by_type(issues: DataFrame) -> DataFrame:

@@ -14,8 +14,12 @@ from plumbline.functions.columns import (
     as_double,
     clean,
     describe_columns,
+    ident,
+    literal,
+    literal_frame,
     quoted,
     schema_frame,
+    without,
 )
 from plumbline.functions.stats import percentage, with_shape
 from plumbline.plans.frequency import distinct_counts, long_modes, text_summary, value_counts
@@ -41,17 +45,17 @@ FIXED_WIDTH = {
 }
 
 
-def is_future(info: ColumnInfo, as_of=None) -> Column:
+def is_future(info: ColumnInfo, as_of=None) -> str:
     """Strictly after ``as_of``, by default after now."""
-    col = quoted(info.name)
+    col = ident(info.name)
     if as_of is not None:
-        return col.cast("timestamp_ntz") > F.lit(str(as_of)).cast("timestamp_ntz")
-    if info.type.typeName() == "timestamp":
-        return col > F.current_timestamp()
-    return col.cast("timestamp_ntz") > F.localtimestamp()
+        return f"cast({col} AS timestamp_ntz) > timestamp_ntz {literal(str(as_of))}"
+    if info.dtype == "timestamp":
+        return f"{col} > current_timestamp()"
+    return f"cast({col} AS timestamp_ntz) > localtimestamp()"
 
 
-def _numeric_entries(infos: list[ColumnInfo], excluded=None) -> list[tuple[int, Column]]:
+def _numeric_entries(infos: list[ColumnInfo], excluded=None) -> list[tuple[int, str]]:
     """Key and value per column; a column with excluded values has a second entry
     without them, keyed ``KEPT + ordinal``."""
     entries = []
@@ -60,8 +64,7 @@ def _numeric_entries(infos: list[ColumnInfo], excluded=None) -> list[tuple[int,
         entries.append((info.ordinal, value))
         skip = (excluded or {}).get(info.name)
         if skip:
-            kept = F.when(~value.isin([float(x) for x in skip]), value)
-            entries.append((KEPT + info.ordinal, kept))
+            entries.append((KEPT + info.ordinal, without(value, skip)))
     return entries
 
 
@@ -79,37 +82,37 @@ def numeric_summary(df: DataFrame, infos: list[ColumnInfo], rows: int, excluded=
     return _named(order_statistics(df, entries, QUARTILES, rows, moments=True))
 
 
+def _rows(df: DataFrame, aggs: list[str], cells: list[str]) -> DataFrame:
+    """One aggregate row over ``df``, unfolded into one row per struct of ``cells``."""
+    return df.agg(*map(F.expr, aggs)).selectExpr(f"inline(array({', '.join(cells)}))")
+
+
 def datetime_summary(df: DataFrame, infos: list[ColumnInfo], as_of=None) -> DataFrame:
     """Count, range and future dates of the datetime columns, from one aggregate row."""
     aggs, cells = [], []
     for info in infos:
-        i, col = info.ordinal, quoted(info.name)
+        i, col = info.ordinal, ident(info.name)
         aggs += [
-            F.count(col).alias(f"n{i}"),
-            F.min(col).alias(f"lo{i}"),
-            F.max(col).alias(f"hi{i}"),
-            F.count_if(is_future(info, as_of)).alias(f"f{i}"),
+            f"count({col}) AS n{i}",
+            f"min({col}) AS lo{i}",
+            f"max({col}) AS hi{i}",
+            f"count_if({is_future(info, as_of)}) AS f{i}",
         ]
         cells.append(
-            F.struct(
-                F.lit(i).alias("key"),
-                F.col(f"n{i}").alias("n"),
-                F.col(f"lo{i}").cast("timestamp_ntz").alias("min_date"),
-                F.col(f"hi{i}").cast("timestamp_ntz").alias("max_date"),
-                F.timestamp_diff("DAY", F.col(f"lo{i}"), F.col(f"hi{i}")).alias("date_range_days"),
-                F.col(f"f{i}").alias("future_dates"),
-            )
+            f"named_struct('key', {i}, 'n', n{i}, 'min_date', cast(lo{i} AS timestamp_ntz), "
+            f"'max_date', cast(hi{i} AS timestamp_ntz), "
+            f"'date_range_days', timestampdiff(DAY, lo{i}, hi{i}), 'future_dates', f{i})"
         )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    return _rows(df, aggs, cells)
 
 
 def present_counts(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     """``key, n``: non-missing values per column, from one aggregate row."""
-    row = df.agg(*[F.count(clean(c)).alias(f"n{c.ordinal}") for c in infos])
-    cells = [
-        F.struct(F.lit(c.ordinal).alias("key"), F.col(f"n{c.ordinal}").alias("n")) for c in infos
-    ]
-    return row.select(F.inline(F.array(*cells)))
+    return _rows(
+        df,
+        [f"count({clean(c)}) AS n{c.ordinal}" for c in infos],
+        [f"named_struct('key', {c.ordinal}, 'n', n{c.ordinal})" for c in infos],
+    )
 
 
 def column_facts(
@@ -139,31 +142,41 @@ def column_facts(
             parts.append(present_counts(df, by_family["other"]))
         facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         if numbers or dates:
-            counts = distinct_counts(df, numbers + dates).withColumnRenamed(
-                "unique_count", "n_distinct"
-            )
+            counts = distinct_counts(df, numbers + dates).toDF("key", "n_distinct")
             # One row per column.
             facts = facts.join(F.broadcast(counts), "key", "left")
-        return facts.persist()
+        # A row per column: one partition, so that later reads are one task.
+        return facts.repartition(1).persist()
 
+    flags = ["key"]
     if numbers:
         entries = _numeric_entries(numbers, excluded)
         proposed, _ = proposed_statistics(df, entries, QUARTILES, rows, moments=True)
         facts = assemble(_named(proposed))
-        if facts.filter("missed").count():
-            facts.unpersist()
-            facts = assemble(numeric_summary(df, numbers, rows, excluded))
+        flags.append("missed")
     else:
         facts = assemble(None)
     if texts:
-        found = facts.filter("mode_long").select("key", "most_common", "most_common_count").collect()
-        if found:
-            heads = {r["key"]: (r["most_common"], r["most_common_count"]) for r in found}
+        flags += ["mode_long", "most_common", "most_common_count"]
+    found = facts.select(*flags).collect()
+    if numbers and any(r["missed"] for r in found):
+        facts.unpersist()
+        facts = assemble(numeric_summary(df, numbers, rows, excluded))
+        found = facts.select(*[f for f in flags if f != "missed"]).collect()
+    if texts:
+        heads = {r["key"]: (r["most_common"], r["most_common_count"]) for r in found if r["mode_long"]}
+        if heads:
             modes = F.broadcast(long_modes(df, texts, heads))  # one row per text column
-            facts = facts.join(modes, "key", "left").withColumn(
-                "most_common", F.coalesce("long_value", "most_common")
+            kept = [c for c in facts.columns if c not in ("key", "most_common")]
+            facts = facts.join(modes, "key", "left").selectExpr(
+                "key", *kept, "coalesce(long_value, most_common) AS most_common"
             )
-            facts = facts.drop("long_value").persist()
+            facts = facts.persist()
+    # Columns without any value have no row yet.
+    absent = sorted({c.ordinal for c in infos} - {r["key"] for r in found})
+    if absent:
+        empty = literal_frame(df.sparkSession, [(k, 0) for k in absent], "key int, n long")
+        facts = facts.unionByName(empty, allowMissingColumns=True)
     return facts
 
 
@@ -178,29 +191,31 @@ def profile(
 
     ``facts`` passes in :func:`column_facts` computed already.
     """
-    spark = df.sparkSession
     infos = describe_columns(df)
     rows = df.count() if rows is None else rows
     if facts is None:
         facts = column_facts(df, as_of, excluded, rows)
-    # Every frame joined here has at most one row per column of the input.
-    joined = (
-        schema_frame(spark, infos)
-        .join(F.broadcast(facts.withColumnRenamed("key", "ordinal")), "ordinal", "left")
+    have = set(facts.columns)
+    names = ", ".join(
+        f"{c.ordinal}, struct({literal(c.name)}, {literal(c.dtype)}, {literal(c.family)})" for c in infos
     )
-    have = set(joined.columns)
-    total, n = f"{rows}L", "coalesce(n, 0L)"
+    known = facts.filter(f"key < {KEPT}").selectExpr("*", f"map({names})[key] AS info")
+    total = f"{rows}L"
     unique = ", ".join(c for c in ("unique_count", "n_distinct") if c in have)
     derived = {
+        "column": "info.col1",
+        "ordinal": "key",
+        "dtype": "info.col2",
+        "family": "info.col3",
         "total_count": total,
-        "missing_count": f"{total} - {n}",
-        "missing_percentage": f"coalesce(try_divide({total} - {n}, {total}) * 100, 0D)",
-        "unique_count": f"CASE WHEN family != 'other' THEN coalesce({unique}, 0L) END",
+        "missing_count": f"{total} - n",
+        "missing_percentage": percentage(f"({total} - n)", total),
+        "unique_count": f"CASE WHEN info.col3 != 'other' THEN coalesce({unique + ', ' if unique else ''}0L) END",
         # quartiles of a boolean are not reported
-        "q1": "CASE WHEN family = 'numeric' THEN q1 END",
-        "q3": "CASE WHEN family = 'numeric' THEN q3 END",
-        "zero_percentage": f"try_divide(zero_count, {n}) * 100",
-        "most_common_percentage": f"try_divide(most_common_count, {n}) * 100",
+        "q1": "CASE WHEN info.col3 = 'numeric' THEN q1 END",
+        "q3": "CASE WHEN info.col3 = 'numeric' THEN q3 END",
+        "zero_percentage": "try_divide(zero_count, n) * 100",
+        "most_common_percentage": "try_divide(most_common_count, n) * 100",
     }
     needs = {
         "q1": "q1", "q3": "q3", "zero_percentage": "zero_count",
@@ -213,13 +228,13 @@ def profile(
     }
     out = []
     for name in PROFILE_COLUMNS:
-        if name in derived and needs.get(name, "ordinal") in have:
+        if name in derived and needs.get(name, "key") in have:
             out.append(f"{derived[name]} AS `{name}`")
         elif name in have:
             out.append(f"`{name}`")
         else:
             out.append(f"cast(NULL AS {types.get(name, 'double')}) AS `{name}`")
-    return joined.selectExpr(*out)
+    return known.selectExpr(*out)
 
 
 def logical_bytes(df: DataFrame) -> Column:
@@ -276,7 +291,7 @@ def type_counts(df: DataFrame) -> DataFrame:
     """``category, columns``: numeric, categorical, datetime, boolean, other."""
     pairs = [(CATEGORY[c.family],) for c in describe_columns(df)]
     return (
-        df.sparkSession.createDataFrame(pairs, "category string")
+        literal_frame(df.sparkSession, pairs, "category string")
         .groupBy("category")
         .agg(F.count(F.lit(1)).alias("columns"))
     )
@@ -285,22 +300,14 @@ def type_counts(df: DataFrame) -> DataFrame:
 def missing_counts(df: DataFrame) -> DataFrame:
     """``column, ordinal, total_count, missing_count, missing_percentage`` in one pass."""
     infos = describe_columns(df)
-    row = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count(clean(c)).alias(f"n{c.ordinal}") for c in infos],
-    )
+    aggs = ["count(1) AS total"] + [f"count({clean(c)}) AS n{c.ordinal}" for c in infos]
     cells = [
-        F.struct(
-            F.lit(c.name).alias("column"),
-            F.lit(c.ordinal).alias("ordinal"),
-            F.col("total").alias("total_count"),
-            (F.col("total") - F.col(f"n{c.ordinal}")).alias("missing_count"),
-        )
+        f"named_struct('column', {literal(c.name)}, 'ordinal', {c.ordinal}, 'total_count', total, "
+        f"'missing_count', total - n{c.ordinal})"
         for c in infos
     ]
-    return row.select(F.inline(F.array(*cells))).withColumn(
-        "missing_percentage", percentage(F.col("missing_count"), F.col("total_count"))
-    )
+    share = percentage("missing_count", "total_count")
+    return _rows(df, aggs, cells).selectExpr("*", f"{share} AS missing_percentage")
 
 
 def missing_totals(missing: DataFrame) -> DataFrame:
@@ -308,10 +315,11 @@ def missing_totals(missing: DataFrame) -> DataFrame:
 
     Takes :func:`missing_counts` or a profile; both have one row per column.
     """
+    share = percentage("sum(missing_count)", "sum(total_count)")
     return missing.agg(
-        F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"),
-        F.sum("missing_count").alias("total_missing_cells"),
-        percentage(F.sum("missing_count"), F.sum("total_count")).alias("total_missing_percentage"),
+        F.expr("count_if(missing_count > 0) AS columns_with_missing"),
+        F.expr("sum(missing_count) AS total_missing_cells"),
+        F.expr(f"{share} AS total_missing_percentage"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.functions.columns import as_double, clean, numeric_columns, require
+from plumbline.functions.columns import as_double, literal, numeric_columns, require
 from plumbline.operators.rows import column_fences
 from plumbline.plans.orderstats import quantiles
 
@@ -23,7 +23,7 @@ def fit_medians(ref: DataFrame, columns: list[str]) -> dict[str, float]:
 def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     """Fill missing values; the columns become double."""
     filled = {
-        name: F.coalesce(clean(require(df, name)).cast("double"), F.lit(float(median)))
+        name: F.expr(f"coalesce({as_double(require(df, name))}, {literal(float(median))})")
         for name, median in medians.items()
     }
     return df.withColumns(filled)
@@ -40,7 +40,7 @@ def clip(df: DataFrame, fences: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Limit values to the fences; missing ones stay missing. The columns become double."""
     clipped = {}
     for name, (lo, hi) in fences.items():
-        value = clean(require(df, name)).cast("double")
-        limited = F.greatest(F.lit(lo), F.least(F.lit(hi), value))
-        clipped[name] = F.when(value.isNotNull(), limited)
+        value = as_double(require(df, name))
+        limited = f"greatest({literal(float(lo))}, least({literal(float(hi))}, {value}))"
+        clipped[name] = F.expr(f"CASE WHEN {value} IS NOT NULL THEN {limited} END")
     return df.withColumns(clipped)

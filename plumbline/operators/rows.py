@@ -9,8 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
-from plumbline.functions.columns import ColumnInfo, as_double, clean, describe_columns, quoted, require
-from plumbline.functions.columns import FLOATING
+from plumbline.functions.columns import (
+    FLOATING,
+    ColumnInfo,
+    as_double,
+    describe_columns,
+    quoted,
+    require,
+    without,
+)
 from plumbline.plans.orderstats import quantiles
 
 KINDS = ("missing_values", "outliers", "all")
@@ -31,11 +38,7 @@ def column_fences(
         return {}
     entries = []
     for info in infos:
-        value = as_double(info)
-        skip = config.excluded(info.name)
-        if skip:
-            value = F.when(~value.isin([float(x) for x in skip]), value)
-        entries.append((info.ordinal, value))
+        entries.append((info.ordinal, without(as_double(info), config.excluded(info.name))))
     rows = df.count() if rows is None else rows
     k = config.outlier_threshold
     found = quantiles(df, entries, (0.25, 0.75), rows)

@@ -13,6 +13,8 @@ from plumbline.functions.columns import (
     ColumnInfo,
     as_double,
     describe_columns,
+    literal,
+    literal_frame,
     numeric_columns,
     quoted,
     schema_frame,
@@ -89,12 +91,13 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     if len(infos) < 2:
         return spark.createDataFrame([], "col1 string, col2 string, r double")
-    means = df.agg(*[F.avg(as_double(c)).alias(f"m{c.ordinal}") for c in infos]).first()
-    centred = {c.ordinal: as_double(c) - F.lit(means[f"m{c.ordinal}"] or 0.0) for c in infos}
-    base = df.select(*[centred[c.ordinal].alias(f"x{c.ordinal}") for c in infos])
+    means = df.agg(*[F.expr(f"avg({as_double(c)}) AS m{c.ordinal}") for c in infos]).collect()[0]
+    base = df.selectExpr(
+        *[f"{as_double(c)} - {literal(means[f'm{c.ordinal}'] or 0.0)} AS x{c.ordinal}" for c in infos]
+    )
     pairs = list(combinations(infos, 2))
     entries = [
-        (i, {"x": F.col(f"x{a.ordinal}"), "y": F.col(f"x{b.ordinal}")})
+        (i, {"x": f"x{a.ordinal}", "y": f"x{b.ordinal}"})
         for i, (a, b) in enumerate(pairs)
     ]
     sums = (
@@ -102,16 +105,18 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         .filter("x IS NOT NULL AND y IS NOT NULL")
         .groupBy("key")
         .agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum("x").alias("sx"),
-            F.sum("y").alias("sy"),
+            F.expr("cast(count(1) AS double) AS n"),
+            F.expr("sum(x) AS sx"),
+            F.expr("sum(y) AS sy"),
             F.expr("sum(x * x)").alias("sxx"),
             F.expr("sum(y * y)").alias("syy"),
             F.expr("sum(x * y)").alias("sxy"),
         )
     )
-    names = spark.createDataFrame(
-        [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)], "key int, col1 string, col2 string"
+    names = literal_frame(
+        spark,
+        [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)],
+        "key int, col1 string, col2 string",
     )
     r = F.expr(
         "try_divide(n * sxy - sx * sy, "
@@ -127,18 +132,16 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     pairs = correlation_pairs(df, columns)
     if len(infos) < 2:
         return pairs
-    spread = df.agg(*[F.stddev_samp(as_double(c)).alias(f"s{c.ordinal}") for c in infos])
-    cells = [
-        F.struct(
-            F.lit(c.name).alias("col1"),
-            F.lit(c.name).alias("col2"),
-            F.when(F.col(f"s{c.ordinal}") > 0, F.lit(1.0)).alias("r"),
-        )
+    spread = df.agg(*[F.expr(f"stddev_samp({as_double(c)}) AS s{c.ordinal}") for c in infos])
+    cells = ", ".join(
+        f"named_struct('col1', {literal(c.name)}, 'col2', {literal(c.name)}, "
+        f"'r', CASE WHEN s{c.ordinal} > 0 THEN 1D END)"
         for c in infos
-    ]
-    diagonal = spread.select(F.inline(F.array(*cells)))
-    mirrored = pairs.select(
-        F.inline(F.array(F.struct("col1", "col2", "r"), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r")))
+    )
+    diagonal = spread.selectExpr(f"inline(array({cells}))")
+    mirrored = pairs.selectExpr(
+        "inline(array(named_struct('col1', col1, 'col2', col2, 'r', r), "
+        "named_struct('col1', col2, 'col2', col1, 'r', r)))"
     )
     return mirrored.unionByName(diagonal)
 
@@ -171,7 +174,7 @@ def duplicate_columns(df: DataFrame, threshold: float = 0.95) -> list[list[str]]
 def duplicate_column_table(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``group_id, column`` of :func:`duplicate_columns`."""
     rows = [(g, c) for g, group in enumerate(duplicate_columns(df, threshold)) for c in group]
-    return df.sparkSession.createDataFrame(rows, "group_id int, column string")
+    return literal_frame(df.sparkSession, rows, "group_id int, column string")
 
 
 def parse_date(info: ColumnInfo, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from plumbline.functions.columns import ident, literal
 
-def double_array_sql(values: Sequence[float]) -> str:
-    """SQL text of a constant array of doubles."""
-
-    def text(x: float) -> str:
-        if math.isinf(x) or math.isnan(x):
-            return f"coalesce(double('{x}'), 0D)"  # the coalesce makes it non-nullable
-        return f"{float(x)!r}D"
 
+def double_array(values: Sequence[float]) -> str:
+    """SQL text of a constant array of doubles."""
     if not values:
         return "cast(array() AS array<double>)"
-    return f"array({', '.join(text(v) for v in values)})"
-
-
-def double_array(values: Sequence[float]) -> Column:
-    return F.expr(double_array_sql(values))
+    return f"array({', '.join(literal(float(v)) for v in values)})"
 
 
 def with_position(df: DataFrame, value: str, edges: str, longest: int, out: str) -> DataFrame:
     """Add ``out``: how many of the row's ascending ``edges`` are <= ``value``.
 
     A binary search unrolled into ``log2(longest)`` projections of one
-    generated loop; reading past the end of a shorter array gives NULL, which
-    compares as "not reached".
+    generated loop, each an alias of the one before. Reading past the end of a
+    shorter array gives NULL, which compares as "not reached".
     """
-    df = df.selectExpr("*", f"0 AS `{out}`")
-    kept = [f"`{c}`" for c in df.columns[:-1]]
-    for step in reversed([1 << s for s in range(longest.bit_length())]):
-        reached = f"get(`{edges}`, `{out}` + {step - 1}) <= `{value}`"
-        df = df.selectExpr(*kept, f"CASE WHEN {reached} THEN `{out}` + {step} ELSE `{out}` END AS `{out}`")
-    return df
+    steps, last = [], "0"
+    for s in reversed(range(longest.bit_length())):
+        reached = f"get({edges}, {last} + {(1 << s) - 1}) <= {value}"
+        name = f"__at{s}"
+        steps.append(f"CASE WHEN {reached} THEN {last} + {1 << s} ELSE {last} END AS {name}")
+        last = name
+    kept = [ident(c) for c in df.columns]
+    return df.selectExpr(*kept, *steps).selectExpr(*kept, f"{last} AS {ident(out)}")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import psi_term
-from plumbline.plans.bins import double_array, double_array_sql, with_position
+from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
 from plumbline.plans.orderstats import sample_splits
 
@@ -16,30 +16,34 @@ from plumbline.plans.orderstats import sample_splits
 BUCKET_ROWS = 4_000_000
 MAX_BUCKETS = 4096
 
-Entries = list[tuple[int, Column, Column]]  # key, reference value, current value
+IN_BUCKET = (
+    "PARTITION BY key, bucket ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+)
+BUCKETS_BELOW = (
+    "PARTITION BY key ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+)
+
+Entries = list[tuple[int, str, str]]  # key, reference value, current value (SQL text)
 Totals = dict[int, tuple[int, int]]  # key -> present values per side
 
 
 def _paired_counts(ref: DataFrame, cur: DataFrame, entries: Entries) -> DataFrame:
     """``key, value, r, c``: occurrences of each value on both sides, one shuffle."""
-    one, zero = F.lit(1), F.lit(0)
-    left = melt(ref, [(k, {"value": v, "r": one, "c": zero}) for k, v, _ in entries])
-    right = melt(cur, [(k, {"value": v, "r": zero, "c": one}) for k, _, v in entries])
+    left = melt(ref, [(k, {"value": v, "r": "1", "c": "0"}) for k, v, _ in entries])
+    right = melt(cur, [(k, {"value": v, "r": "0", "c": "1"}) for k, _, v in entries])
     return (
         left.unionAll(right)
         .filter("value IS NOT NULL")
         .groupBy("key", "value")
-        .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+        .agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))
     )
 
 
 def with_totals(df: DataFrame, totals: Totals) -> DataFrame:
     """Add ``n_ref`` and ``n_cur`` by key, from literals: two numbers per column."""
     pairs = ", ".join(f"{k}, array({r}L, {c}L)" for k, (r, c) in totals.items())
-    columns = [f"`{c}`" for c in df.columns]
-    return df.selectExpr(*columns, f"map({pairs})[key] AS pair").selectExpr(
-        *columns, "pair[0] AS n_ref", "pair[1] AS n_cur"
-    )
+    pair = f"map({pairs})[key]"
+    return df.selectExpr("*", f"{pair}[0] AS n_ref", f"{pair}[1] AS n_cur")
 
 
 def ks_distances(
@@ -65,41 +69,33 @@ def ks_distances(
         if buckets > 1:
             splits = sample_splits(ref, [(k, v) for k, v, _ in entries], most, buckets)
     if splits:
-        bounds = ", ".join(f"{k}, {double_array_sql(splits.get(k, []))}" for k, _, _ in entries)
-        counts = counts.withColumn("splits", F.expr(f"map({bounds})[key]"))
+        bounds = ", ".join(f"{k}, {double_array(splits.get(k, []))}" for k, _, _ in entries)
+        counts = counts.selectExpr("*", f"map({bounds})[key] AS splits")
         longest = max(map(len, splits.values()))
         counts = with_position(counts, "value", "splits", longest, "bucket").drop("splits")
     else:
-        counts = counts.withColumn("bucket", F.lit(0))
-    below = Window.partitionBy("key", "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    gap = F.col("cr") / F.col("n_ref") - F.col("cc") / F.col("n_cur")
+        counts = counts.selectExpr("*", "0 AS bucket")
     local = with_totals(
-        counts.withColumn("cr", F.sum("r").over(below)).withColumn("cc", F.sum("c").over(below)),
+        counts.selectExpr(
+            "*", f"sum(r) OVER ({IN_BUCKET}) AS cr", f"sum(c) OVER ({IN_BUCKET}) AS cc"
+        ),
         totals,
     )
-    per_bucket = local.groupBy("key", "bucket", "n_ref", "n_cur").agg(
-        F.sum("r").alias("r"),
-        F.sum("c").alias("c"),
-        F.max(gap).alias("highest"),
-        F.min(gap).alias("lowest"),
-    )
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("r").over(before), F.lit(0)) / F.col("n_ref") - F.coalesce(
-        F.sum("c").over(before), F.lit(0)
-    ) / F.col("n_cur")
     return (
-        per_bucket.withColumn("offset", offset)
-        .groupBy("key", "n_ref", "n_cur")
+        local.groupBy("key", "bucket", "n_ref", "n_cur")
         .agg(
-            F.max(
-                F.greatest(
-                    F.abs(F.col("offset") + F.col("highest")),
-                    F.abs(F.col("offset") + F.col("lowest")),
-                )
-            ).alias("d")
+            F.expr("sum(r) AS r"),
+            F.expr("sum(c) AS c"),
+            F.expr("max(cr / n_ref - cc / n_cur) AS highest"),
+            F.expr("min(cr / n_ref - cc / n_cur) AS lowest"),
+        )
+        .selectExpr(
+            "*",
+            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) / n_ref "
+            f"- coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) / n_cur AS offset",
         )
+        .groupBy("key", "n_ref", "n_cur")
+        .agg(F.expr("max(greatest(abs(offset + highest), abs(offset + lowest))) AS d"))
     )
 
 
@@ -118,20 +114,19 @@ def binned_counts(
             for e in entries
             if e[0] in edges
         ]
-        return melt(df, cells).select("*", F.lit(r).alias("r"), F.lit(c).alias("c"))
+        return melt(df, cells).selectExpr("*", f"{r} AS r", f"{c} AS c")
 
     both = side(ref, 1, 1, 0).unionAll(side(cur, 2, 0, 1)).filter("value IS NOT NULL")
     both = with_position(both, "value", "edges", max(map(len, edges.values())), "pos")
-    last = F.size("edges")
-    at_top = F.element_at("edges", -1) == F.col("value")
-    position = (
-        F.when(F.col("pos") < last, F.col("pos")).when(at_top, last - 1).otherwise(F.lit(0))
+    place = F.expr(
+        "CASE WHEN pos < size(edges) THEN pos "
+        "WHEN element_at(edges, -1) = value THEN size(edges) - 1 ELSE 0 END AS bin"
     )
-    return both.groupBy("key", position.alias("bin")).agg(
-        F.sum("r").alias("r"),
-        F.sum("c").alias("c"),
-        F.sum(F.when(F.col("r") == 1, F.col("value"))).alias("sum_r"),
-        F.sum(F.when(F.col("c") == 1, F.col("value"))).alias("sum_c"),
+    return both.groupBy("key", place).agg(
+        F.expr("sum(r) AS r"),
+        F.expr("sum(c) AS c"),
+        F.expr("sum(CASE WHEN r = 1 THEN value END) AS sum_r"),
+        F.expr("sum(CASE WHEN c = 1 THEN value END) AS sum_c"),
     )
 
 
@@ -142,14 +137,14 @@ def psi_of(
 
     ``means`` adds the mean of each side, from the sums of all cells.
     """
-    term = psi_term(F.col("r"), F.col("n_ref"), F.col("c"), F.col("n_cur"))
-    aggs = [F.sum(F.when(F.expr(inside), term)).alias("psi")]
+    term = psi_term("(r / n_ref)", "(c / n_cur)")
+    aggs = [f"sum(CASE WHEN {inside} THEN {term} END) AS psi"]
     if means:
         aggs += [
-            F.expr("try_divide(sum(sum_r), sum(r)) AS ref_mean"),
-            F.expr("try_divide(sum(sum_c), sum(c)) AS cur_mean"),
+            "try_divide(sum(sum_r), sum(r)) AS ref_mean",
+            "try_divide(sum(sum_c), sum(c)) AS cur_mean",
         ]
-    return with_totals(counts, totals).groupBy("key").agg(*aggs)
+    return with_totals(counts, totals).groupBy("key").agg(*map(F.expr, aggs))
 
 
 def category_psi(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:

@@ -10,50 +10,54 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import FLOATING, INTEGRAL, ColumnInfo, clean, quoted
+from plumbline.functions.columns import FLOATING, INTEGRAL, ColumnInfo, clean, ident, literal
 from plumbline.functions.stats import entropy_bits
 from plumbline.functions.text import LONG_BYTES, compact, is_digested, normalise
 from plumbline.plans.longform import melt
 
 
-def comparable(info: ColumnInfo) -> tuple[str, Column] | None:
-    """A type that compares values exactly, and the column in it."""
+def comparable(info: ColumnInfo) -> tuple[str, str] | None:
+    """A type that compares values exactly, and SQL text of the column in it."""
     col = clean(info)
     if isinstance(info.type, INTEGRAL):
-        return "bigint", col.cast("bigint")
+        return "bigint", f"cast({col} AS bigint)"
     if isinstance(info.type, FLOATING):
-        return "double", col.cast("double")
+        return "double", f"cast({col} AS double)"
     if isinstance(info.type, T.BooleanType):
-        return "bigint", col.cast("int").cast("bigint")
+        return "bigint", f"cast(cast({col} AS int) AS bigint)"
     if isinstance(info.type, T.DecimalType):
-        return "string", col.cast("string")
+        return "string", f"cast({col} AS string)"
     if isinstance(info.type, T.TimestampType):
         return "timestamp", col
     if info.family == "datetime":
-        return "timestamp_ntz", col.cast("timestamp_ntz")
+        return "timestamp_ntz", f"cast({col} AS timestamp_ntz)"
     if info.family == "text":
-        return "string", compact(col)
+        return "string", compact(f"cast({col} AS string)")
     return None
 
 
 def distinct_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
     """``key, unique_count`` for each column with a present value, exact."""
-    families: dict[str, list[tuple[int, dict[str, Column]]]] = {}
+    families: dict[str, list[tuple[int, dict[str, str]]]] = {}
     for info in infos:
         form = comparable(info)
         if form:
             families.setdefault(form[0], []).append((info.ordinal, {"value": form[1]}))
     parts = [
-        melt(df, entries).filter("value IS NOT NULL").distinct().groupBy("key").count()
+        melt(df, entries)
+        .filter("value IS NOT NULL")
+        .distinct()
+        .groupBy("key")
+        .agg(F.expr("count(1) AS unique_count"))
         for entries in families.values()
     ]
     if not parts:
         return df.sparkSession.createDataFrame([], "key int, unique_count long")
-    return reduce(DataFrame.unionAll, parts).withColumnRenamed("count", "unique_count")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def value_counts(df: DataFrame, infos: Sequence[ColumnInfo], value: str = "value") -> DataFrame:
@@ -61,9 +65,9 @@ def value_counts(df: DataFrame, infos: Sequence[ColumnInfo], value: str = "value
     entries = [(i.ordinal, {value: clean(i)}) for i in infos]
     return (
         melt(df, entries)
-        .filter(F.col(value).isNotNull())
+        .filter(f"{value} IS NOT NULL")
         .groupBy("key", value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.expr("count(1) AS cnt"))
     )
 
 
@@ -71,26 +75,27 @@ def _spellings(df: DataFrame, infos: Sequence[ColumnInfo], excluded: dict[str, l
     """``key, cell, head, norm, skipped, cnt`` per distinct value."""
     entries = []
     for info in infos:
-        col = clean(info).cast("string")
-        skip = excluded.get(info.name)
-        flag = col.isin(list(map(str, skip))) if skip else F.lit(False)
-        entries.append((info.ordinal, {"value": col, "skipped": F.coalesce(flag, F.lit(False))}))
-    value = F.col("value")
-    long = is_digested(value)
+        col = f"cast({clean(info)} AS string)"
+        skip = ", ".join(literal(str(x)) for x in excluded.get(info.name, ()))
+        flag = f"coalesce({col} IN ({skip}), false)" if skip else "false"
+        entries.append((info.ordinal, {"value": col, "skipped": flag}))
     return (
         melt(df, entries)
-        .filter(value.isNotNull())
-        .select(
+        .filter("value IS NOT NULL")
+        .selectExpr(
             "key",
             "skipped",
-            compact(value).alias("cell"),
-            F.when(long, F.substring(value, 1, LONG_BYTES)).alias("head"),
-            F.when(long, compact(normalise(value))).alias("long_norm"),
+            f"{compact('value')} AS cell",
+            f"CASE WHEN {is_digested('value')} THEN substring(value, 1, {LONG_BYTES}) END AS head",
+            f"CASE WHEN {is_digested('value')} THEN {compact(normalise('value'))} END AS long_norm",
         )
         .groupBy("key", "skipped", "cell", "head", "long_norm")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("norm", F.coalesce("long_norm", compact(normalise(F.col("cell")))))
-    )
+        .agg(F.expr("count(1) AS cnt"))
+        .selectExpr(
+            "key", "skipped", "cell", "head", "cnt",
+            f"coalesce(long_norm, {compact(normalise('cell'))}) AS norm",
+        )
+    )
 
 
 def text_summary(
@@ -102,50 +107,42 @@ def text_summary(
     rows whose normalised value is written in more than one way. A long mode is
     known by its first characters only, see :func:`long_modes`.
     """
-    cells = _spellings(df, infos, excluded or {})
-    cnt, kept = F.col("cnt"), ~F.col("skipped")
     # Highest count first, then the smallest value. `head` orders long values;
     # which of those sharing a head is the mode is settled in `long_modes`.
-    rank = F.struct(
-        (-cnt).alias("neg"),
-        F.coalesce("head", "cell").alias("head"),
-        F.col("head").isNotNull().alias("long"),
-        F.col("cell").alias("cell"),
+    rank = (
+        "named_struct('neg', -cnt, 'head', coalesce(head, cell), 'long', head IS NOT NULL, "
+        "'cell', cell)"
     )
-    by_norm = cells.groupBy("key", "norm").agg(
-        F.sum("cnt").alias("rows"),
-        F.count(F.lit(1)).alias("values"),
-        F.sum(cnt * F.log2(cnt)).alias("clog"),
-        F.min(rank).alias("mode"),
-        F.count_if(kept).alias("spellings"),
-        F.sum(F.when(kept, cnt).otherwise(0)).alias("kept_rows"),
+    by_norm = (
+        "sum(cnt) AS rows",
+        "count(1) AS values",
+        "sum(cnt * log2(cnt)) AS clog",
+        f"min({rank}) AS mode",
+        "count_if(NOT skipped) AS spellings",
+        "sum(CASE WHEN skipped THEN 0 ELSE cnt END) AS kept_rows",
+    )
+    by_column = (
+        "sum(rows) AS n",
+        "sum(values) AS unique_count",
+        "sum(clog) AS clog",
+        "min(mode) AS mode",
+        "count_if(spellings > 0) AS spelling_groups",
+        "count_if(spellings > 1) AS inconsistent_groups",
+        "sum(CASE WHEN spellings > 1 THEN kept_rows ELSE 0 END) AS inconsistent_rows",
     )
     return (
-        by_norm.groupBy("key")
-        .agg(
-            F.sum("rows").alias("n"),
-            F.sum("values").alias("unique_count"),
-            F.sum("clog").alias("clog"),
-            F.min("mode").alias("mode"),
-            F.count_if(F.col("spellings") > 0).alias("spelling_groups"),
-            F.count_if(F.col("spellings") > 1).alias("inconsistent_groups"),
-            F.sum(F.when(F.col("spellings") > 1, F.col("kept_rows")).otherwise(0)).alias(
-                "inconsistent_rows"
-            ),
-        )
-        .select(
-            "key",
-            "n",
-            "unique_count",
-            entropy_bits(F.col("n"), F.col("clog")).alias("entropy"),
-            (-F.col("mode.neg")).alias("most_common_count"),
-            F.col("mode.long").alias("mode_long"),
-            F.col("mode.head").alias("most_common"),
-            "spelling_groups",
-            "inconsistent_groups",
+        _spellings(df, infos, excluded or {})
+        .groupBy("key", "norm")
+        .agg(*map(F.expr, by_norm))
+        .groupBy("key")
+        .agg(*map(F.expr, by_column))
+        .selectExpr(
+            "key", "n", "unique_count", f"{entropy_bits('n', 'clog')} AS entropy",
+            "-mode.neg AS most_common_count", "mode.long AS mode_long",
+            "mode.head AS most_common", "spelling_groups", "inconsistent_groups",
             "inconsistent_rows",
         )
-    )
+    )
 
 
 def long_modes(
@@ -159,13 +156,14 @@ def long_modes(
     for info in infos:
         if info.ordinal in heads:
             head, count = heads[info.ordinal]
-            col = quoted(info.name)
+            col = ident(info.name)
+            begins = f"substring({col}, 1, {LONG_BYTES}) = {literal(head)}"
             parts.append(
-                df.filter(is_digested(col) & (F.substring(col, 1, LONG_BYTES) == head))
-                .groupBy(col.alias("value"))
-                .count()
-                .filter(F.col("count") == count)
-                .agg(F.lit(info.ordinal).alias("key"), F.min("value").alias("long_value"))
+                df.filter(f"{is_digested(col)} AND {begins}")
+                .groupBy(F.expr(f"{col} AS value"))
+                .agg(F.expr("count(1) AS cnt"))
+                .filter(f"cnt = {count}")
+                .agg(F.expr(f"{info.ordinal} AS key"), F.expr("min(value) AS long_value"))
             )
     return reduce(DataFrame.unionAll, parts)
 
@@ -182,40 +180,27 @@ def spelling_examples(
     Ranking keeps the top groups and spellings only, cut down in each task
     before the shuffle, so no column or group is gathered in one place.
     """
-    cells = _spellings(df, infos, excluded or {}).filter(~F.col("skipped"))
-    by_norm = (
+    cells = _spellings(df, infos, excluded or {}).filter("NOT skipped")
+    top = (
         cells.groupBy("key", "norm")
-        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("cnt").alias("rows"))
+        .agg(F.expr("count(1) AS spellings"), F.expr("sum(cnt) AS rows"))
         .filter("spellings > 1")
-    )
-    top = (
-        by_norm.withColumn(
-            "place",
-            F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rows"), "norm")),
+        .selectExpr(
+            "key", "norm", "row_number() OVER (PARTITION BY key ORDER BY rows DESC, norm) AS place"
         )
-        .filter(F.col("place") <= groups)
-        .select("key", "norm", "place")
+        .filter(f"place <= {groups}")
     )
-    shown = F.when(F.col("head").isNotNull(), F.concat("head", F.lit("...")))
-    by_group = Window.partitionBy("key", "norm").orderBy(F.desc("cnt"), "cell")
     listed = (
         cells.join(F.broadcast(top), ["key", "norm"])  # at most `groups` rows per column
-        .withColumn("seat", F.row_number().over(by_group))
-        .filter(F.col("seat") <= spellings)
-        .groupBy("key", "norm", "place")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("seat", F.coalesce(shown, "cell").alias("text")))
-            ).alias("texts")
+        .selectExpr(
+            "key", "norm", "place", "coalesce(concat(head, '...'), cell) AS text",
+            "row_number() OVER (PARTITION BY key, norm ORDER BY cnt DESC, cell) AS seat",
         )
-        .select(
-            "key",
-            "place",
-            F.concat_ws(" | ", F.transform("texts", lambda t: t["text"])).alias("example"),
-        )
-    )
+        .filter(f"seat <= {spellings}")
+        .groupBy("key", "norm", "place")
+        .agg(F.expr("sort_array(collect_list(struct(seat, text))) AS texts"))
+        .selectExpr("key", "place", "array_join(transform(texts, t -> t.text), ' | ') AS example")
+    )
     return listed.groupBy("key").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("place", "example"))), lambda e: e["example"]
-        ).alias("examples")
+        F.expr("transform(sort_array(collect_list(struct(place, example))), e -> e.example) AS examples")
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Columns per generated stack. A wider table becomes a union of scans, each of
 # which reads only its own columns, so generated code stays within JIT limits.
@@ -15,10 +14,10 @@ BATCH = 40
 
 def melt(
     df: DataFrame,
-    entries: Sequence[tuple[int, dict[str, Column]]],
+    entries: Sequence[tuple[int, dict[str, str]]],
     key: str = "key",
 ) -> DataFrame:
-    """Turn each entry ``(key, {name: expression})`` into its own row per input row.
+    """Turn each entry ``(key, {name: SQL text})`` into its own row per input row.
 
     All entries carry the same names and types. The expressions are evaluated
     on the wide row, so literals of one column never need a join.
@@ -27,9 +26,6 @@ def melt(
     parts = []
     for start in range(0, len(entries), BATCH):
         batch = entries[start : start + BATCH]
-        cells = [F.lit(len(batch))]
-        for ident, exprs in batch:
-            cells.append(F.lit(ident))
-            cells.extend(exprs[n] for n in names)
-        parts.append(df.select(F.stack(*cells).alias(key, *names)))
+        cells = ", ".join(f"{ident}, {', '.join(e[n] for n in names)}" for ident, e in batch)
+        parts.append(df.selectExpr(f"stack({len(batch)}, {cells}) AS ({key}, {', '.join(names)})"))
     return reduce(DataFrame.unionAll, parts)

@@ -16,9 +16,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import literal
 from plumbline.functions.stats import lerp
 from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
@@ -58,10 +59,10 @@ class Interval:
 
 @dataclass
 class Entry:
-    """One column to rank: a double expression, NULL where there is no value."""
+    """One column to rank: SQL text of a double, NULL where there is no value."""
 
     key: int
-    value: Column
+    value: str
     shift: float = 0.0
     intervals: list[Interval] = field(default_factory=list)
 
@@ -77,25 +78,25 @@ class Entry:
 
 
 def _sample_grid(
-    df: DataFrame, probes: list[tuple[int, Column]], fraction: float, points: int, seed: int
+    df: DataFrame, probes: list[tuple[int, str]], fraction: float, points: int, seed: int
 ) -> dict[int, tuple[int, list[float]]]:
     """Size of the sample and its quantile grid, per probe."""
     source = df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
-    grid = [i / points for i in range(points + 1)]
+    grid = double_array([i / points for i in range(points + 1)])
     found = (
         melt(source, [(k, {"value": v}) for k, v in probes])
-        .filter(F.col("value").isNotNull())
+        .filter("value IS NOT NULL")
         .groupBy("key")
         .agg(
-            F.count("value").alias("k"),
-            F.percentile_approx("value", grid, max(SKETCH, 20 * points)).alias("grid"),
+            F.expr("count(value) AS k"),
+            F.expr(f"percentile_approx(value, {grid}, {max(SKETCH, 20 * points)}) AS grid"),
         )
     )
     return {r["key"]: (r["k"], r["grid"]) for r in found.collect()}
 
 
 def sample_splits(
-    df: DataFrame, entries: Sequence[tuple[int, Column]], rows: int, points: int
+    df: DataFrame, entries: Sequence[tuple[int, str]], rows: int, points: int
 ) -> dict[int, list[float]]:
     """Roughly equi-depth split points per column, fewer than ``points``, ascending."""
     fraction = min(1.0, 1.05 * max(SAMPLE_ROWS, 50 * points) / max(rows, 1))
@@ -116,7 +117,7 @@ def _propose(iv: Interval, k: int, grid: list[float], p: float, rows: float) ->
     iv.interior = rows * (hi - lo) / points
 
 
-def _with_region(df: DataFrame, entries: list[Entry], extra: dict[int, dict[str, Column]]) -> DataFrame:
+def _with_region(df: DataFrame, entries: list[Entry], extra: dict[int, dict[str, str]]) -> DataFrame:
     """Long form of the present values with their region code.
 
     Code 4b is the gap before bracket b; 4b+1, 4b+2 and 4b+3 are its low end,
@@ -128,7 +129,7 @@ def _with_region(df: DataFrame, entries: list[Entry], extra: dict[int, dict[str,
         (e.key, {"value": e.value, "ends": double_array(ends[e.key])} | extra.get(e.key, {}))
         for e in entries
     ]
-    long = melt(df, wide).filter(F.col("value").isNotNull())
+    long = melt(df, wide).filter("value IS NOT NULL")
     long = with_position(long, "value", "ends", max(map(len, ends.values())), "pos")
     return long.selectExpr(
         "*", "CASE WHEN get(ends, pos - 1) = value THEN 2 * pos - 1 ELSE 2 * pos END AS region"
@@ -146,7 +147,9 @@ def _region_bounds(brackets: list[tuple[float, float]], code: int) -> tuple[floa
 
 def _cells(df: DataFrame, entries: list[Entry], moments: bool) -> DataFrame:
     """Rows per (key, region, value), the value kept in brackets only."""
-    shifted = {e.key: {"d": e.value - F.lit(float(e.shift))} for e in entries} if moments else {}
+    shifted = (
+        {e.key: {"d": f"{e.value} - {literal(float(e.shift))}"} for e in entries} if moments else {}
+    )
     aggs = ["count(1) AS cnt"]
     if moments:
         powers = ("d", "d * d", "d * d * d", "(d * d) * (d * d)")
@@ -216,8 +219,8 @@ def _narrow(df: DataFrame, entries: list[Entry], seed: int) -> None:
     owners = [e for e in entries for iv in e.intervals if iv.too_full]
     probes = []
     for j, (e, iv) in enumerate(zip(owners, slots)):
-        inside = (e.value > iv.lo) & (e.value < iv.hi)
-        probes.append((j, F.when(inside, e.value)))
+        inside = f"{e.value} > {literal(iv.lo)} AND {e.value} < {literal(iv.hi)}"
+        probes.append((j, f"CASE WHEN {inside} THEN {e.value} END"))
     fraction = min(1.0, 1.05 * SAMPLE_ROWS / min(iv.interior for iv in slots))
     for j, (k, grid) in _sample_grid(df, probes, fraction, GRID, seed).items():
         _propose(slots[j], k, grid, slots[j].position, slots[j].interior)
@@ -236,7 +239,7 @@ def _shrink(df: DataFrame, entries: list[Entry], probs: Sequence[float], seed: i
 
 
 def _direct(
-    df: DataFrame, columns: Sequence[tuple[int, Column]], probs: Sequence[float], moments: bool
+    df: DataFrame, columns: Sequence[tuple[int, str]], probs: Sequence[float], moments: bool
 ) -> DataFrame:
     """The same result for a small table: one exact aggregate per column.
 
@@ -269,7 +272,7 @@ def _direct(
 
 def proposed_statistics(
     df: DataFrame,
-    columns: Sequence[tuple[int, Column]],
+    columns: Sequence[tuple[int, str]],
     probs: Sequence[float],
     rows: int,
     moments: bool = False,
@@ -280,7 +283,7 @@ def proposed_statistics(
     exact. The entries that come along are empty when nothing can be missed.
     """
     if rows * len(columns) <= DIRECT_VALUES:
-        return _direct(df, columns, probs, moments).withColumn("missed", F.lit(False)), []
+        return _direct(df, columns, probs, moments).selectExpr("*", "false AS missed"), []
     entries = [Entry(k, v) for k, v in columns]
     fraction = min(1.0, 1.05 * SAMPLE_ROWS / max(rows, 1))
     grids = _sample_grid(df, list(columns), fraction, GRID, seed=17)
@@ -303,21 +306,21 @@ def _counted(
     out = _ranked(_cells(df, entries, moments), probs, moments)
     if moments:
         # Keyed by column, so the literal map is as small as the schema.
-        shifts = ", ".join(f"{e.key}, {float(e.shift)!r}D" for e in entries)
+        shifts = ", ".join(f"{e.key}, {literal(float(e.shift))}" for e in entries)
         out = out.withColumn("shift", F.expr(f"map({shifts})[key]"))
     return out
 
 
 def order_statistics(
     df: DataFrame,
-    columns: Sequence[tuple[int, Column]],
+    columns: Sequence[tuple[int, str]],
     probs: Sequence[float],
     rows: int,
     moments: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles ``q0, q1, ...`` per column.
 
-    ``columns`` pairs a key with a double expression; ``rows`` is the row count
+    ``columns`` pairs a key with the SQL text of a double; ``rows`` is the row count
     of ``df``. The result has one row per key that has any value, with the
     count ``n`` and, if ``moments``, the sums of powers of ``x - shift``, the
     shift, minimum, maximum and zero count. It is cached: it holds as many rows
@@ -342,7 +345,7 @@ def order_statistics(
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[tuple[int, Column]], probs: Sequence[float], rows: int
+    df: DataFrame, columns: Sequence[tuple[int, str]], probs: Sequence[float], rows: int
 ) -> dict[int, list[float]]:
     """The same as driver values, for use as literals (fences, edges, medians)."""
     found = order_statistics(df, columns, probs, rows).collect()
