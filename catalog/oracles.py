@@ -8,7 +8,7 @@ STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
 
 def _r(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0e0"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6) + 0.0e0"
 
 
 def _rel(name: str) -> str:

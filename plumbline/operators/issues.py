@@ -17,15 +17,16 @@ MIN_OUTLIER_VALUES = 10
 CRITICAL_OUTLIER_PERCENT = 10.0
 EXAMPLES = 5
 
-# The message formats of the issues.
+# The message formats of the issues. Percentages have one decimal,
+# other fractions two.
 MESSAGES = {
-    "missing_critical": "High percentage of missing values (%.1f%%)",
-    "missing_warning": "Moderate percentage of missing values (%.1f%%)",
-    "outliers": "Found %d outliers outside range [%.2f, %.2f]",
-    "skewed_distribution": "Distribution is skewed (skewness = %.2f)",
-    "low_cardinality": "Low cardinality: %d unique values for %d rows",
+    "missing_critical": "High percentage of missing values (%s%%)",
+    "missing_warning": "Moderate percentage of missing values (%s%%)",
+    "outliers": "Found %s outliers outside range [%s, %s]",
+    "skewed_distribution": "Distribution is skewed (skewness = %s)",
+    "low_cardinality": "Low cardinality: %s unique values for %s rows",
     "inconsistent_values": "Potential inconsistent values (different casing/spacing)",
-    "future_dates": "Found %d future dates",
+    "future_dates": "Found %s future dates",
 }
 
 DETAILS = (
@@ -119,6 +120,11 @@ def _text(kind: str, *args: str) -> str:
     return f"format_string('{', '.join([MESSAGES[kind] + chr(39), *args])})"
 
 
+def _decimals(value: str, places: int) -> str:
+    """Fixed decimals, rounded by the exact binary value; `format_string` would not."""
+    return f"format_number({value}, '0.{'0' * places}')"
+
+
 def find_issues(facts: DataFrame, config: Config) -> DataFrame:
     """Issues from the per-column facts: the profile, outlier facts and spelling groups.
 
@@ -135,7 +141,7 @@ def find_issues(facts: DataFrame, config: Config) -> DataFrame:
         return _issue(
             "missing_values",
             f"'{severity}'",
-            _text(f"missing_{severity}", "missing_percentage"),
+            _text(f"missing_{severity}", _decimals("missing_percentage", 1)),
             "missing_count",
             "missing_percentage",
             threshold=f"CASE WHEN {number} THEN {level!r}D END",
@@ -145,7 +151,7 @@ def find_issues(facts: DataFrame, config: Config) -> DataFrame:
     outliers = _issue(
         "outliers",
         f"CASE WHEN {share} < {CRITICAL_OUTLIER_PERCENT}D THEN 'warning' ELSE 'critical' END",
-        _text("outliers", "outlier_count", "lower_bound", "upper_bound"),
+        _text("outliers", "outlier_count", _decimals("lower_bound", 2), _decimals("upper_bound", 2)),
         "outlier_count",
         share,
         lower_bound="lower_bound",
@@ -155,7 +161,7 @@ def find_issues(facts: DataFrame, config: Config) -> DataFrame:
         examples="outlier_examples",
     )
     skewed = _issue(
-        "skewed_distribution", "'info'", _text("skewed_distribution", "skew"), "0", "0", skewness="skew"
+        "skewed_distribution", "'info'", _text("skewed_distribution", _decimals("skew", 2)), "0", "0", skewness="skew"
     )
     ratio = "try_divide(unique_count, total_count)"
     narrow = _issue(
