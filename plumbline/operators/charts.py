@@ -111,7 +111,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         value, i = as_double(c), c.ordinal
         aggs += [f"count({value}) AS n{i}", f"min({value}) AS lo{i}", f"max({value}) AS hi{i}"]
     row = df.agg(*map(F.expr, aggs)).collect()[0]
-    entries, bins = [], []
+    entries, bounds, bins = [], {}, []
     for c in infos:
         n, lo, hi = row[f"n{c.ordinal}"], row[f"lo{c.ordinal}"], row[f"hi{c.ordinal}"]
         if not n:
@@ -120,14 +120,15 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             lo, hi = lo - 0.5, hi + 0.5
         k = max(MIN_BINS, min(MAX_BINS, n // VALUES_PER_BIN))
         edges = [lo + i * ((hi - lo) / k) for i in range(k)] + [hi]
-        entries.append((c.ordinal, {"value": as_double(c), "edges": double_array(edges)}))
+        entries.append((c.ordinal, as_double(c)))
+        bounds[c.ordinal] = double_array(edges)
         bins += [(c.ordinal, c.name, b + 1, edges[b], edges[b + 1]) for b in range(k)]
     all_bins = literal_frame(
         df.sparkSession, bins, "key int, column string, bin int, lower double, upper double"
     )
     if not entries:
         return all_bins.select("column", "bin", "lower", "upper", F.lit(0).cast("long").alias("cnt"))
-    long = melt(df, entries).filter("value IS NOT NULL")
+    long = melt(df, entries, {"edges": bounds}).filter("value IS NOT NULL")
     placed = with_position(long, "value", "edges", MAX_BINS + 1, "pos")
     counts = placed.groupBy(
         "key", F.least(F.col("pos"), F.size("edges") - 1).alias("bin")

@@ -67,13 +67,13 @@ def outlier_facts(
         "ordinal int, valid_count long, lower_bound double, upper_bound double, "
         "valid_min double, valid_max double",
     )
-    entries = []
     by_ordinal = {c.ordinal: c for c in infos}
+    entries, lows, highs = [], {}, {}
     for ordinal, n, lower, upper, *_ in known:
         if n >= MIN_OUTLIER_VALUES:
-            info, lo, hi = by_ordinal[ordinal], literal(lower), literal(upper)
-            value = without(as_double(info), config.excluded(info.name))
-            entries.append((ordinal, {"value": value, "lo": lo, "hi": hi}))
+            info = by_ordinal[ordinal]
+            entries.append((ordinal, without(as_double(info), config.excluded(info.name))))
+            lows[ordinal], highs[ordinal] = literal(lower), literal(upper)
     if not entries:
         return stats.selectExpr(
             "*",
@@ -81,7 +81,7 @@ def outlier_facts(
             "cast(NULL AS array<string>) AS outlier_examples",
         )
     beyond = (
-        melt(df, entries, key="ordinal")
+        melt(df, entries, {"lo": lows, "hi": highs}, key="ordinal")
         .filter("value < lo OR value > hi")
         .groupBy("ordinal", "value", F.expr("greatest(lo - value, value - hi) AS far"))
         .agg(F.expr("count(1) AS cnt"))

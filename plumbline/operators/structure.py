@@ -20,7 +20,6 @@ from plumbline.functions.columns import (
     schema_frame,
 )
 from plumbline.plans.frequency import distinct_counts
-from plumbline.plans.longform import melt
 
 # The name parts of identifier columns and the uniqueness they need.
 ID_NAME_PARTS = ("id", "code", "num", "no", "key", "index", "ref")
@@ -92,30 +91,28 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if len(infos) < 2:
         return spark.createDataFrame([], "col1 string, col2 string, r double")
     means = df.agg(*[F.expr(f"avg({as_double(c)}) AS m{c.ordinal}") for c in infos]).collect()[0]
-    base = df.selectExpr(
-        *[f"{as_double(c)} - {literal(means[f'm{c.ordinal}'] or 0.0)} AS x{c.ordinal}" for c in infos]
-    )
-    pairs = list(combinations(infos, 2))
-    entries = [
-        (i, {"x": f"x{a.ordinal}", "y": f"x{b.ordinal}"})
-        for i, (a, b) in enumerate(pairs)
-    ]
+    centred = ", ".join(f"{as_double(c)} - {literal(means[f'm{c.ordinal}'] or 0.0)}" for c in infos)
+    pairs = list(combinations(range(len(infos)), 2))
+    left, right = (", ".join(str(p[side]) for p in pairs) for side in (0, 1))
+    # One array per row; a pair picks its two values by position.
     sums = (
-        melt(base, entries)
+        df.selectExpr(f"array({centred}) AS v")
+        .selectExpr("v", f"posexplode(array({left})) AS (key, a)")
+        .selectExpr("key", "get(v, a) AS x", f"get(v, get(array({right}), key)) AS y")
         .filter("x IS NOT NULL AND y IS NOT NULL")
         .groupBy("key")
         .agg(
             F.expr("cast(count(1) AS double) AS n"),
             F.expr("sum(x) AS sx"),
             F.expr("sum(y) AS sy"),
-            F.expr("sum(x * x)").alias("sxx"),
-            F.expr("sum(y * y)").alias("syy"),
-            F.expr("sum(x * y)").alias("sxy"),
+            F.expr("sum(x * x) AS sxx"),
+            F.expr("sum(y * y) AS syy"),
+            F.expr("sum(x * y) AS sxy"),
         )
     )
     names = literal_frame(
         spark,
-        [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)],
+        [(i, infos[a].name, infos[b].name) for i, (a, b) in enumerate(pairs)],
         "key int, col1 string, col2 string",
     )
     r = F.expr(

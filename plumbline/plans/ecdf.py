@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ Totals = dict[int, tuple[int, int]]  # key -> present values per side
 
 def _paired_counts(ref: DataFrame, cur: DataFrame, entries: Entries) -> DataFrame:
     """``key, value, r, c``: occurrences of each value on both sides, one shuffle."""
-    left = melt(ref, [(k, {"value": v, "r": "1", "c": "0"}) for k, v, _ in entries])
-    right = melt(cur, [(k, {"value": v, "r": "0", "c": "1"}) for k, _, v in entries])
+    left = melt(ref, [(k, v) for k, v, _ in entries]).selectExpr("*", "1 AS r", "0 AS c")
+    right = melt(cur, [(k, v) for k, _, v in entries]).selectExpr("*", "0 AS r", "1 AS c")
     return (
         left.unionAll(right)
         .filter("value IS NOT NULL")
@@ -39,11 +40,16 @@ def _paired_counts(ref: DataFrame, cur: DataFrame, entries: Entries) -> DataFram
     )
 
 
-def with_totals(df: DataFrame, totals: Totals) -> DataFrame:
-    """Add ``n_ref`` and ``n_cur`` by key, from literals: two numbers per column."""
-    pairs = ", ".join(f"{k}, array({r}L, {c}L)" for k, (r, c) in totals.items())
-    pair = f"map({pairs})[key]"
-    return df.selectExpr("*", f"{pair}[0] AS n_ref", f"{pair}[1] AS n_cur")
+def by_key(values: Mapping[int, str]) -> str:
+    """SQL text that looks up a literal by ``key``: one per column of the input."""
+    cells = ", ".join(values.get(k, "NULL") for k in range(max(values) + 1))
+    return f"get(array({cells}), key)"
+
+
+def _sizes(totals: Totals) -> tuple[str, str]:
+    """SQL text of the present values per side, by ``key``."""
+    ref = by_key({k: f"{pair[0]}L" for k, pair in totals.items()})
+    return ref, by_key({k: f"{pair[1]}L" for k, pair in totals.items()})
 
 
 def ks_distances(
@@ -69,33 +75,38 @@ def ks_distances(
         if buckets > 1:
             splits = sample_splits(ref, [(k, v) for k, v, _ in entries], most, buckets)
     if splits:
-        bounds = ", ".join(f"{k}, {double_array(splits.get(k, []))}" for k, _, _ in entries)
-        counts = counts.selectExpr("*", f"map({bounds})[key] AS splits")
+        bounds = {k: double_array(splits.get(k, [])) for k, _, _ in entries}
+        counts = counts.selectExpr("*", f"{by_key(bounds)} AS splits")
         longest = max(map(len, splits.values()))
         counts = with_position(counts, "value", "splits", longest, "bucket").drop("splits")
     else:
         counts = counts.selectExpr("*", "0 AS bucket")
-    local = with_totals(
-        counts.selectExpr(
-            "*", f"sum(r) OVER ({IN_BUCKET}) AS cr", f"sum(c) OVER ({IN_BUCKET}) AS cc"
-        ),
-        totals,
-    )
+    n_ref, n_cur = _sizes(totals)
+    gap = f"cr / {n_ref} - cc / {n_cur}"
     return (
-        local.groupBy("key", "bucket", "n_ref", "n_cur")
+        counts.selectExpr(
+            "key",
+            "bucket",
+            "r",
+            "c",
+            f"sum(r) OVER ({IN_BUCKET}) AS cr",
+            f"sum(c) OVER ({IN_BUCKET}) AS cc",
+        )
+        .groupBy("key", "bucket")
         .agg(
             F.expr("sum(r) AS r"),
             F.expr("sum(c) AS c"),
-            F.expr("max(cr / n_ref - cc / n_cur) AS highest"),
-            F.expr("min(cr / n_ref - cc / n_cur) AS lowest"),
+            F.expr(f"max({gap}) AS highest"),
+            F.expr(f"min({gap}) AS lowest"),
         )
         .selectExpr(
             "*",
-            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) / n_ref "
-            f"- coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) / n_cur AS offset",
+            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) / {n_ref} "
+            f"- coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) / {n_cur} AS offset",
         )
-        .groupBy("key", "n_ref", "n_cur")
+        .groupBy("key")
         .agg(F.expr("max(greatest(abs(offset + highest), abs(offset + lowest))) AS d"))
+        .selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
     )
 
 
@@ -109,12 +120,9 @@ def binned_counts(
     """
 
     def side(df: DataFrame, pick: int, r: int, c: int) -> DataFrame:
-        cells = [
-            (e[0], {"value": e[pick], "edges": double_array(edges[e[0]])})
-            for e in entries
-            if e[0] in edges
-        ]
-        return melt(df, cells).selectExpr("*", f"{r} AS r", f"{c} AS c")
+        cells = [(e[0], e[pick]) for e in entries if e[0] in edges]
+        bounds = {k: double_array(x) for k, x in edges.items()}
+        return melt(df, cells, {"edges": bounds}).selectExpr("*", f"{r} AS r", f"{c} AS c")
 
     both = side(ref, 1, 1, 0).unionAll(side(cur, 2, 0, 1)).filter("value IS NOT NULL")
     both = with_position(both, "value", "edges", max(map(len, edges.values())), "pos")
@@ -137,14 +145,15 @@ def psi_of(
 
     ``means`` adds the mean of each side, from the sums of all cells.
     """
-    term = psi_term("(r / n_ref)", "(c / n_cur)")
+    n_ref, n_cur = _sizes(totals)
+    term = psi_term(f"(r / {n_ref})", f"(c / {n_cur})")
     aggs = [f"sum(CASE WHEN {inside} THEN {term} END) AS psi"]
     if means:
         aggs += [
             "try_divide(sum(sum_r), sum(r)) AS ref_mean",
             "try_divide(sum(sum_c), sum(c)) AS cur_mean",
         ]
-    return with_totals(counts, totals).groupBy("key").agg(*map(F.expr, aggs))
+    return counts.groupBy("key").agg(*map(F.expr, aggs))
 
 
 def category_psi(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:

@@ -42,15 +42,16 @@ def comparable(info: ColumnInfo) -> tuple[str, str] | None:
 
 def distinct_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
     """``key, unique_count`` for each column with a present value, exact."""
-    families: dict[str, list[tuple[int, dict[str, str]]]] = {}
+    families: dict[str, list[tuple[int, str]]] = {}
     for info in infos:
         form = comparable(info)
         if form:
-            families.setdefault(form[0], []).append((info.ordinal, {"value": form[1]}))
+            families.setdefault(form[0], []).append((info.ordinal, form[1]))
     parts = [
         melt(df, entries)
         .filter("value IS NOT NULL")
-        .distinct()
+        .groupBy("key", "value")
+        .agg(F.expr("count(1) AS cnt"))  # a count keeps the fast aggregation map in use
         .groupBy("key")
         .agg(F.expr("count(1) AS unique_count"))
         for entries in families.values()
@@ -60,31 +61,29 @@ def distinct_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def value_counts(df: DataFrame, infos: Sequence[ColumnInfo], value: str = "value") -> DataFrame:
+def value_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
     """``key, value, cnt``: every present value of same-typed columns with its count."""
-    entries = [(i.ordinal, {value: clean(i)}) for i in infos]
     return (
-        melt(df, entries)
-        .filter(f"{value} IS NOT NULL")
-        .groupBy("key", value)
+        melt(df, [(i.ordinal, clean(i)) for i in infos])
+        .filter("value IS NOT NULL")
+        .groupBy("key", "value")
         .agg(F.expr("count(1) AS cnt"))
     )
 
 
 def _spellings(df: DataFrame, infos: Sequence[ColumnInfo], excluded: dict[str, list]) -> DataFrame:
     """``key, cell, head, norm, skipped, cnt`` per distinct value."""
-    entries = []
-    for info in infos:
-        col = f"cast({clean(info)} AS string)"
-        skip = ", ".join(literal(str(x)) for x in excluded.get(info.name, ()))
-        flag = f"coalesce({col} IN ({skip}), false)" if skip else "false"
-        entries.append((info.ordinal, {"value": col, "skipped": flag}))
+    skips = [
+        f"(key = {i.ordinal} AND value IN ({', '.join(literal(str(x)) for x in excluded[i.name])}))"
+        for i in infos
+        if excluded.get(i.name)
+    ]
     return (
-        melt(df, entries)
+        melt(df, [(i.ordinal, f"cast({clean(i)} AS string)") for i in infos])
         .filter("value IS NOT NULL")
         .selectExpr(
             "key",
-            "skipped",
+            f"{' OR '.join(skips) or 'false'} AS skipped",
             f"{compact('value')} AS cell",
             f"CASE WHEN {is_digested('value')} THEN substring(value, 1, {LONG_BYTES}) END AS head",
             f"CASE WHEN {is_digested('value')} THEN {compact(normalise('value'))} END AS long_norm",

@@ -84,7 +84,7 @@ def _sample_grid(
     source = df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
     grid = double_array([i / points for i in range(points + 1)])
     found = (
-        melt(source, [(k, {"value": v}) for k, v in probes])
+        melt(source, probes)
         .filter("value IS NOT NULL")
         .groupBy("key")
         .agg(
@@ -117,19 +117,19 @@ def _propose(iv: Interval, k: int, grid: list[float], p: float, rows: float) ->
     iv.interior = rows * (hi - lo) / points
 
 
-def _with_region(df: DataFrame, entries: list[Entry], extra: dict[int, dict[str, str]]) -> DataFrame:
-    """Long form of the present values with their region code.
+def _with_region(df: DataFrame, entries: list[Entry]) -> DataFrame:
+    """Long form of the present values with their region code and shift.
 
     Code 4b is the gap before bracket b; 4b+1, 4b+2 and 4b+3 are its low end,
     its inside and its high end. Counting the ends apart keeps a value that
     repeats in a third of all rows to one cell.
     """
     ends = {e.key: [x for pair in e.brackets() for x in pair] for e in entries}
-    wide = [
-        (e.key, {"value": e.value, "ends": double_array(ends[e.key])} | extra.get(e.key, {}))
-        for e in entries
-    ]
-    long = melt(df, wide).filter("value IS NOT NULL")
+    constants = {
+        "ends": {k: double_array(x) for k, x in ends.items()},
+        "shift": {e.key: literal(float(e.shift)) for e in entries},
+    }
+    long = melt(df, [(e.key, e.value) for e in entries], constants).filter("value IS NOT NULL")
     long = with_position(long, "value", "ends", max(map(len, ends.values())), "pos")
     return long.selectExpr(
         "*", "CASE WHEN get(ends, pos - 1) = value THEN 2 * pos - 1 ELSE 2 * pos END AS region"
@@ -147,17 +147,15 @@ def _region_bounds(brackets: list[tuple[float, float]], code: int) -> tuple[floa
 
 def _cells(df: DataFrame, entries: list[Entry], moments: bool) -> DataFrame:
     """Rows per (key, region, value), the value kept in brackets only."""
-    shifted = (
-        {e.key: {"d": f"{e.value} - {literal(float(e.shift))}"} for e in entries} if moments else {}
-    )
     aggs = ["count(1) AS cnt"]
     if moments:
-        powers = ("d", "d * d", "d * d * d", "(d * d) * (d * d)")
+        d = "(value - shift)"
+        powers = (d, f"{d} * {d}", f"{d} * {d} * {d}", f"({d} * {d}) * ({d} * {d})")
         aggs += [f"sum({x}) AS {s}" for s, x in zip(POWER_SUMS, powers)]
         aggs += ["min(value) AS min", "max(value) AS max", "count_if(value = 0) AS zero_count"]
     cell = F.expr("CASE WHEN region % 4 != 0 THEN value END").alias("cell")
     return (
-        _with_region(df, entries, shifted)
+        _with_region(df, entries)
         .groupBy("key", "region", cell)
         .agg(*map(F.expr, aggs))
     )
@@ -196,7 +194,7 @@ def _ranked(cells: DataFrame, probs: Sequence[float], moments: bool) -> DataFram
 
 def _locate(df: DataFrame, entries: list[Entry], probs: Sequence[float]) -> None:
     """Count rows per region exactly and move each interval to the region of its rank."""
-    rows = _with_region(df, entries, {}).groupBy("key", "region").count().collect()
+    rows = _with_region(df, entries).groupBy("key", "region").count().collect()
     for e in entries:
         counts = sorted((r["region"], r["count"]) for r in rows if r["key"] == e.key)
         last = max(sum(c for _, c in counts) - 1, 0)
@@ -261,7 +259,7 @@ def _direct(
         ]
     wanted = ", ".join(f"{float(p)!r}D" for p in probs)
     out = (
-        melt(df, [(k, {"value": v}) for k, v in columns])
+        melt(df, columns)
         .filter("value IS NOT NULL")
         .groupBy("key")
         .agg(*map(F.expr, aggs), F.expr(f"percentile(value, array({wanted}))").alias("q"))
