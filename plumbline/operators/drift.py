@@ -105,13 +105,12 @@ def _ks_frame(
     cur: DataFrame,
     pairs: list[Pair],
     totals: Totals,
-    edges: dict[int, list[float]] | None = None,
 ) -> DataFrame | None:
     usable = [p for p in pairs if _is_number(p) and min(totals[p[0].ordinal]) > 0]
     if not usable:
         return None
     entries = [(a.ordinal, as_double(a), as_double(b)) for a, b in usable]
-    return ks_distances(ref, cur, entries, totals, edges).selectExpr(
+    return ks_distances(ref, cur, entries, totals).selectExpr(
         "key", "d AS ks_statistic", f"{ks_p_value('d', 'n_ref', 'n_cur')} AS ks_p_value"
     )
 
@@ -193,7 +192,7 @@ def drift_table(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None
     part = (
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
     )
-    out = _by_column(ref, pairs, [part, _ks_frame(ref, cur, pairs, totals, edges)])
+    out = _by_column(ref, pairs, [part, _ks_frame(ref, cur, pairs, totals)])
     have = set(out.columns)
     psi, ref_mean, cur_mean, d, p = (
         c if c in have else "cast(NULL AS double)"

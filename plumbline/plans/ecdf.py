@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import psi_term
+from plumbline.plans import orderstats
 from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
-from plumbline.plans.orderstats import sample_splits
 
-# Distinct values one window may hold, and the most buckets a column is cut into.
+# Rows per bucket aimed at, and the least and most buckets a column is cut into.
 BUCKET_ROWS = 4_000_000
+MIN_BUCKETS = 256
 MAX_BUCKETS = 4096
 
+IN_COLUMN = "PARTITION BY key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 IN_BUCKET = (
     "PARTITION BY key, bucket ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 )
@@ -28,16 +30,21 @@ Entries = list[tuple[int, str, str]]  # key, reference value, current value (SQL
 Totals = dict[int, tuple[int, int]]  # key -> present values per side
 
 
-def _paired_counts(ref: DataFrame, cur: DataFrame, entries: Entries) -> DataFrame:
-    """``key, value, r, c``: occurrences of each value on both sides, one shuffle."""
-    left = melt(ref, [(k, v) for k, v, _ in entries]).selectExpr("*", "1 AS r", "0 AS c")
-    right = melt(cur, [(k, v) for k, _, v in entries]).selectExpr("*", "0 AS r", "1 AS c")
-    return (
-        left.unionAll(right)
-        .filter("value IS NOT NULL")
-        .groupBy("key", "value")
-        .agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))
-    )
+def _both_sides(
+    ref: DataFrame,
+    cur: DataFrame,
+    entries: Entries,
+    constants: Mapping[str, Mapping[int, str]] | None = None,
+) -> DataFrame:
+    """``key, value, r, c`` in long form: r or c is 1 for the side a value is from."""
+    left = melt(ref, [(k, v) for k, v, _ in entries], constants).selectExpr("*", "1 AS r", "0 AS c")
+    right = melt(cur, [(k, v) for k, _, v in entries], constants).selectExpr("*", "0 AS r", "1 AS c")
+    return left.unionAll(right).filter("value IS NOT NULL")
+
+
+def _paired_counts(long: DataFrame, *within: str) -> DataFrame:
+    """Occurrences of each value on both sides, one shuffle."""
+    return long.groupBy(*within, "value").agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))
 
 
 def by_key(values: Mapping[int, str]) -> str:
@@ -52,61 +59,79 @@ def _sizes(totals: Totals) -> tuple[str, str]:
     return ref, by_key({k: f"{pair[1]}L" for k, pair in totals.items()})
 
 
-def ks_distances(
-    ref: DataFrame,
-    cur: DataFrame,
-    entries: Entries,
-    totals: Totals,
-    splits: dict[int, list[float]] | None = None,
-) -> DataFrame:
+def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:
     """``key, n_ref, n_cur, d``: the largest gap between the two empirical CDFs, exact.
 
-    Values are counted first, so repeats never pile up in a window. Each column
-    is cut into buckets of neighbouring values; a window runs within a bucket
-    and reports the extremes of its local gap, and the few bucket rows are then
-    offset by what lies below them. No task holds a whole column. ``splits``
-    are used as bucket bounds as long as they cut finely enough.
+    A first pass counts both sides in narrow buckets of neighbouring values,
+    which combines to a row per bucket and task. It gives the gap at every
+    bucket's end, and bounds the gap inside a bucket by the rows it holds. Only
+    buckets whose bound exceeds the largest gap seen are looked at by value:
+    the bulk of the data is never shuffled, and no task holds a column. Within
+    a bucket, values are counted before they are ranked, so repeats do not pile
+    up. Small tables skip the first pass.
     """
-    counts = _paired_counts(ref, cur, entries)
+    n_ref, n_cur = _sizes(totals)
     most = max(sum(totals[k]) for k, _, _ in entries)
-    buckets = min(MAX_BUCKETS, math.ceil(most / BUCKET_ROWS))
-    if not splits or buckets > max(map(len, splits.values())):
-        splits = {}
-        if buckets > 1:
-            splits = sample_splits(ref, [(k, v) for k, v, _ in entries], most, buckets)
-    if splits:
-        bounds = {k: double_array(splits.get(k, [])) for k, _, _ in entries}
-        counts = counts.selectExpr("*", f"{by_key(bounds)} AS splits")
-        longest = max(map(len, splits.values()))
-        counts = with_position(counts, "value", "splits", longest, "bucket").drop("splits")
+    if most * len(entries) <= orderstats.DIRECT_VALUES:
+        found = (
+            _paired_counts(_both_sides(ref, cur, entries), "key")
+            .selectExpr("key", f"sum(r) OVER ({IN_COLUMN}) AS cr", f"sum(c) OVER ({IN_COLUMN}) AS cc")
+            .groupBy("key")
+            .agg(F.expr(f"max(abs(cr / {n_ref} - cc / {n_cur})) AS d"))
+        )
     else:
-        counts = counts.selectExpr("*", "0 AS bucket")
+        found = _pruned_ks(ref, cur, entries, totals, most)
+    return found.selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
+
+
+def _pruned_ks(
+    ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals, most: int
+) -> DataFrame:
     n_ref, n_cur = _sizes(totals)
-    gap = f"cr / {n_ref} - cc / {n_cur}"
-    return (
-        counts.selectExpr(
-            "key",
-            "bucket",
-            "r",
-            "c",
-            f"sum(r) OVER ({IN_BUCKET}) AS cr",
-            f"sum(c) OVER ({IN_BUCKET}) AS cc",
-        )
-        .groupBy("key", "bucket")
-        .agg(
-            F.expr("sum(r) AS r"),
-            F.expr("sum(c) AS c"),
-            F.expr(f"max({gap}) AS highest"),
-            F.expr(f"min({gap}) AS lowest"),
-        )
+    # Split points of both sides, so that no bucket holds much of either.
+    half = min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(most / BUCKET_ROWS))) // 2
+    left = orderstats.sample_splits(ref, [(k, v) for k, v, _ in entries], most, half)
+    right = orderstats.sample_splits(cur, [(k, v) for k, _, v in entries], most, half)
+    splits = {k: sorted({*left.get(k, []), *right.get(k, [])}) for k, _, _ in entries}
+    bounds = {k: double_array(x) for k, x in splits.items()}
+    long = _both_sides(ref, cur, entries, {"splits": bounds})
+    long = with_position(long, "value", "splits", max(1, *map(len, splits.values())), "bucket")
+    long = long.drop("splits")
+
+    # At most MAX_BUCKETS rows per column; cached, as it is read twice.
+    coarse = (
+        long.groupBy("key", "bucket")
+        .agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))
         .selectExpr(
             "*",
-            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) / {n_ref} "
-            f"- coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) / {n_cur} AS offset",
+            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) AS br",
+            f"coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) AS bc",
+        )
+        .selectExpr("*", f"abs((br + r) / {n_ref} - (bc + c) / {n_cur}) AS gap")
+        .selectExpr("*", "max(gap) OVER (PARTITION BY key) AS reached")
+        .persist()
+    )
+    bound = (
+        f"greatest(abs((br + r) / {n_ref} - bc / {n_cur}), abs(br / {n_ref} - (bc + c) / {n_cur}))"
+    )
+    # Bounded like `coarse`: a row per bucket of a column.
+    undecided = coarse.filter(f"{bound} > reached").select("key", "bucket", "br", "bc")
+    inside = _paired_counts(
+        long.join(F.broadcast(undecided), ["key", "bucket"]), "key", "bucket", "br", "bc"
+    )
+    fine = (
+        inside.selectExpr(
+            "*", f"sum(r) OVER ({IN_BUCKET}) AS cr", f"sum(c) OVER ({IN_BUCKET}) AS cc"
         )
         .groupBy("key")
-        .agg(F.expr("max(greatest(abs(offset + highest), abs(offset + lowest))) AS d"))
-        .selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
+        .agg(F.expr(f"max(abs((br + cr) / {n_ref} - (bc + cc) / {n_cur})) AS d"))
+    )
+    return (
+        coarse.groupBy("key")
+        .agg(F.expr("max(reached) AS d"))
+        .unionAll(fine)
+        .groupBy("key")
+        .agg(F.expr("max(d) AS d"))
     )
 
 
@@ -119,12 +144,9 @@ def binned_counts(
     shuffle: at most one row per bin and task.
     """
 
-    def side(df: DataFrame, pick: int, r: int, c: int) -> DataFrame:
-        cells = [(e[0], e[pick]) for e in entries if e[0] in edges]
-        bounds = {k: double_array(x) for k, x in edges.items()}
-        return melt(df, cells, {"edges": bounds}).selectExpr("*", f"{r} AS r", f"{c} AS c")
-
-    both = side(ref, 1, 1, 0).unionAll(side(cur, 2, 0, 1)).filter("value IS NOT NULL")
+    used = [e for e in entries if e[0] in edges]
+    bounds = {k: double_array(x) for k, x in edges.items()}
+    both = _both_sides(ref, cur, used, {"edges": bounds})
     both = with_position(both, "value", "edges", max(map(len, edges.values())), "pos")
     place = F.expr(
         "CASE WHEN pos < size(edges) THEN pos "
@@ -158,4 +180,4 @@ def psi_of(
 
 def category_psi(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:
     """``key, psi`` over the union of the values of both sides."""
-    return psi_of(_paired_counts(ref, cur, entries), totals)
+    return psi_of(_paired_counts(_both_sides(ref, cur, entries), "key"), totals)

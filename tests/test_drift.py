@@ -42,9 +42,13 @@ PAIRS = {
 
 
 @pytest.mark.parametrize("kind", PAIRS)
-@pytest.mark.parametrize("bucket_rows", (10**6, 60))
-def test_numeric_against_numpy(column, monkeypatch, kind, bucket_rows):
-    monkeypatch.setattr(ecdf, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("buckets", (0, 2, 20, 300))
+def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
+    """By value at once (0), and pruned by coarse to narrow buckets."""
+    if buckets:
+        monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
+        monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 400)
+        monkeypatch.setattr(ecdf, "MIN_BUCKETS", buckets)
     left, right = PAIRS[kind](np.random.default_rng(42))
     ref, cur = column(list(map(float, left))), column(list(map(float, right)))
     assert psi(ref, cur) == pytest.approx(numpy_psi(left, right), rel=1e-9)
@@ -58,7 +62,7 @@ def test_numeric_against_numpy(column, monkeypatch, kind, bucket_rows):
 def test_table_uses_brackets_and_buckets(column, monkeypatch):
     monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 300)
-    monkeypatch.setattr(ecdf, "BUCKET_ROWS", 250)
+    monkeypatch.setattr(ecdf, "BUCKET_ROWS", 4)
     left, right = PAIRS["heavy"](np.random.default_rng(3))
     row = drift.drift_table(column(list(map(float, left))), column(list(map(float, right)))).collect()[0]
     assert row["psi"] == pytest.approx(numpy_psi(left, right), rel=1e-9)
@@ -87,6 +91,18 @@ def test_category_seen_on_one_side_only(column):
     assert found == pytest.approx(2 * (0.5 - 1e-4) * math.log(0.5 / 1e-4))
 
 
+def test_ks_of_a_spike_and_of_disjoint_sides(column, monkeypatch):
+    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
+    monkeypatch.setattr(ecdf, "MIN_BUCKETS", 8)
+    rng = np.random.default_rng(5)
+    wide = rng.normal(0, 100, 800)
+    for other in (rng.normal(0, 0.01, 500), wide + 10_000, np.full(50, 3.0), -wide):
+        row = drift.kolmogorov_smirnov(
+            column(list(map(float, wide))), column(list(map(float, other)))
+        ).collect()[0]
+        assert row["ks_statistic"] == pytest.approx(numpy_ks(wide, other), abs=1e-12)
+
+
 def test_ks_by_hand(column):
     ref = column([10.0, 20.0, 30.0, 40.0, 50.0])
     cur = column([15.0, 25.0, 35.0, 45.0, 55.0])
