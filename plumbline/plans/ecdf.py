@@ -13,6 +13,8 @@ from plumbline.plans import orderstats
 from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
 
+# Up to this many values (rows of both sides times columns) a window per column does.
+DIRECT_VALUES = 16_000_000
 # Rows per bucket aimed at, and the least and most buckets a column is cut into.
 BUCKET_ROWS = 4_000_000
 MIN_BUCKETS = 256
@@ -72,7 +74,7 @@ def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Total
     """
     n_ref, n_cur = _sizes(totals)
     most = max(sum(totals[k]) for k, _, _ in entries)
-    if most * len(entries) <= orderstats.DIRECT_VALUES:
+    if most * len(entries) <= DIRECT_VALUES:
         found = (
             _paired_counts(_both_sides(ref, cur, entries), "key")
             .selectExpr("key", f"sum(r) OVER ({IN_COLUMN}) AS cr", f"sum(c) OVER ({IN_COLUMN}) AS cc")
