@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality
+from plumbline.llm import pseudonyms, quality, templates
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_format_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonym_rows(table(spark, sf_dir, "documents"))
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_format_preserving_pii": op3_format_preserving_pii,
+    "op5_template_decontamination": op5_template_decontamination,
 }
 
 ORACLES: dict[str, str] = {
