@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import pseudonyms, quality, templates
+from plumbline.llm import packing, pseudonyms, quality, templates, token_store
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_rows(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
@@ -20,14 +24,20 @@ def op3_format_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_format_preserving_pii": op3_format_preserving_pii,
     "op5_template_decontamination": op5_template_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
