@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, pseudonyms, quality, templates, token_store
+from plumbline.llm import packing, pseudonyms, quality, simhash, templates, token_store
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,16 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_format_preserving_pii": op3_format_preserving_pii,
     "op5_template_decontamination": op5_template_decontamination,
+    "op6_simhash_bk_trees": op6_simhash_bk_trees,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
