@@ -145,6 +145,17 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, as they are.
+
+    The verdict is taken with a row number that never changes it: a filter on
+    plain expressions would move below the projection and count everything again
+    for each rule.
+    """
+    judged = judge(docs).withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
+    return judged.filter("_kept").select(docs.columns)
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
