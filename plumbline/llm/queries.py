@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, pseudonyms, quality, simhash, templates, token_store
+from plumbline.llm import chat, packing, pseudonyms, quality, simhash, templates, token_store
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -43,8 +47,10 @@ QUERIES: dict[str, Query] = {
     "op5_template_decontamination": op5_template_decontamination,
     "op6_simhash_bk_trees": op6_simhash_bk_trees,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.QUALITY_SQL,
+    "op9_chat_snapshot_collapse": chat.RENDER_SQL,
 }
