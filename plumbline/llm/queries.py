@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, packing, pseudonyms, quality, simhash, templates, token_store
+from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, templates, token_store
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op9_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op5_template_decontamination": op5_template_decontamination,
     "op6_simhash_bk_trees": op6_simhash_bk_trees,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
 }
 
