@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, templates, token_store
+from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, templates, token_store, toxicity
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
     "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
+    "op10_gated_recurrent_toxicity": op10_gated_recurrent_toxicity,
 }
 
 ORACLES: dict[str, str] = {
