@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, templates, token_store, toxicity
+from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, substrings, templates, token_store, toxicity
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,10 +48,15 @@ def op10_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_format_preserving_pii": op3_format_preserving_pii,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_simhash_bk_trees": op6_simhash_bk_trees,
     "op7_best_fit_packing": op7_best_fit_packing,
