@@ -23,7 +23,7 @@ SAMPLE_WINDOWS = 64
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY = 20_000
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 0.1
 CHUNK = 4096
 #: Texts that are scored together, in characters.
 BUDGET = 3_000_000
@@ -141,7 +141,7 @@ class _Adam:
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.999**self.t)
-            weights[k] -= rate * m / (np.sqrt(v) + 1e-8)
+            weights[k] -= rate * (m / (np.sqrt(v) + 1e-8) + DECAY * weights[k])
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
