@@ -29,7 +29,10 @@ ANCHOR = 24
 SPAN = LENGTH - ANCHOR  # a window holds SPAN + 1 places for an anchor
 #: Bytes of text in a batch, and of text whose anchors a bucket holds on average.
 BATCH_BYTES = 4_000_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
+#: Bytes whose anchors are found at once, and contexts that share a suffix array.
+CHUNK = 1 << 18
+CONTEXTS = 20_000
 NO_DOC = np.iinfo(np.int64).max
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -65,27 +68,35 @@ class Anchors:
     def __init__(self, data: np.ndarray, sizes: np.ndarray):
         self.data = data
         self.ends = np.cumsum(sizes)
-        value = _hashes(data)
-        h = value
-        place = np.arange(len(data), dtype=np.int64)
+        parts = [self._of_windows(a, min(a + CHUNK, len(data))) for a in range(0, len(data), CHUNK)]
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        self.at, self.most, self.least, self.hash = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+        self.doc = np.searchsorted(self.ends, self.at, "right")
+
+    def _of_windows(self, begin: int, end: int):
+        """The anchors of the windows that begin in [begin, end), in order; a run that goes on is cut there."""
+        data = self.data[begin : end + LENGTH]
+        h = value = _hashes(data)
+        place = np.arange(len(data), dtype=np.int32)
         width = 1
-        while width < SPAN + 1:
+        while width < SPAN + 1 and len(value) > SPAN + 1:
             step = min(width, SPAN + 1 - width)
             less = value[step:] < value[:-step]  # the left one wins ties
             value = np.where(less, value[step:], value[:-step])
             place = np.where(less, place[step:], place[:-step])
             width += step
-        end_of = np.repeat(self.ends, sizes)[: len(place)]
-        windows = np.flatnonzero(np.arange(len(place)) + LENGTH <= end_of)
-        own = place[windows]
+        if width < SPAN + 1:
+            place = place[:0]
+        first = np.arange(begin, min(begin + len(place), end))
+        end_of = self.ends[np.searchsorted(self.ends, first, "right")] if len(first) else first
+        windows = np.flatnonzero(first + LENGTH <= end_of)
+        own = place[windows].astype(np.int64)
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (windows[1:] != windows[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(own)) - 1 if len(own) else first
-        self.at = own[first]
-        self.most, self.least = self.at - windows[first], self.at - windows[last]
-        self.hash = h[self.at] >> np.uint64(16)
-        self.doc = np.searchsorted(self.ends, self.at, "right")
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(own)) - 1 if len(own) else head
+        at = own[head]
+        return at + begin, at - windows[head], at - windows[tail], h[at] >> np.uint64(16)
 
     def distinct(self):
         """(sorted hashes, if it is in several documents, number of each anchor's hash)."""
@@ -104,8 +115,8 @@ class Anchors:
         out[:, 6], out[:, 7] = most, least
         padded = np.concatenate([self.data, np.zeros(LENGTH, np.uint8)])
         k = np.arange(-SPAN, LENGTH)
-        for a in range(0, len(own), 100_000):
-            cut = slice(a, a + 100_000)
+        for a in range(0, len(own), 10_000):
+            cut = slice(a, a + 10_000)
             inside = (k >= -most[cut, None]) & (k < LENGTH - least[cut, None])
             out[cut, 8:] = np.where(inside, padded[np.maximum(at[cut, None] + k, 0)], 0)
         return out
@@ -153,6 +164,19 @@ def least_documents(records: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_hash(records: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """``least_documents`` of records sorted by hash, some ``CONTEXTS`` at a time; those of one hash stay together."""
+    out = np.empty((len(records), SPAN + 1), np.int64)
+    begin = 0
+    while begin < len(records):
+        end = min(begin + CONTEXTS, len(records))
+        while end < len(records) and (records[end, :6] == records[end - 1, :6]).all():
+            end += 1
+        out[begin:end] = least_documents(records[begin:end], docs[begin:end])
+        begin = end
+    return out
+
+
 def _packed(array: np.ndarray) -> bytes:
     import zstandard
 
@@ -321,7 +345,7 @@ def _answers(pdf):
     shared[1:] |= same
     shared[:-1] |= same
     own = np.flatnonzero(shared)
-    windows = least_documents(distinct[own], low[own]) if len(own) else np.zeros((0, SPAN + 1), np.int64)
+    windows = _by_hash(distinct[own], low[own])
     a = np.arange(SPAN + 1)
     live = (a <= distinct[own, 6:7]) & (a >= distinct[own, 7:8])
     lowest = np.where(live, windows, NO_DOC).min(axis=1) if len(own) else np.zeros(0, np.int64)
@@ -340,7 +364,7 @@ def _answers(pdf):
 
 def _covered(row, found: Anchors) -> np.ndarray:
     """Which bytes of a batch go."""
-    cover = np.zeros(len(found.data) + 1, np.int64)
+    cover = np.zeros(len(found.data) + 1, np.int32)
     own = _marked(row, found)
     if len(own):
         _, _, number = _distinct_contexts(row, found, own)
