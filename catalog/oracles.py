@@ -439,9 +439,6 @@ UNION ALL SELECT 'label', 'numeric', count(*), count(*) - count(label), count(DI
     "summary_statistics": f"""SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns, count(*) * 5 AS total_cells,
   {_CUSTOMER_SIZE} AS size_bytes, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS column_names,
   '{{"bigint":1,"double":1,"int":1,"string":2}}' AS dtypes_count FROM customer""",
-    "dtype_counts": """SELECT CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS dtype,
-  count(*) AS columns FROM (SELECT unnest(['BIGINT','BIGINT','BIGINT','INTEGER','DOUBLE','DOUBLE','DOUBLE','DOUBLE','VARCHAR','VARCHAR','TIMESTAMP']) AS data_type) GROUP BY 1""",
-    "type_counts": """SELECT category, count(*) AS columns FROM (SELECT unnest(['numeric','datetime','numeric','categorical','numeric','boolean','categorical']) AS category) GROUP BY 1""",
     "value_counts": """SELECT 'source' AS "column", source AS value, count(*) AS cnt FROM documents WHERE source IS NOT NULL GROUP BY 2""",
     "dataset_summary": f"""SELECT 'orders' AS dataset, t.rows, CAST(6 AS BIGINT) AS columns, t.rows * 6 AS total_cells, t.size_bytes,
   s.critical, s.warning, s.info,
@@ -600,10 +597,27 @@ FROM ({_MISSING}) WHERE missing_count > 0""",
     "clip_fences": f"SELECT event_id, {_r('CASE WHEN value IS NOT NULL THEN greatest(lo, least(hi, value)) END')} AS value FROM {_rel('dirty_events')} t, {_fences(_REF, 'value')} f",
     "roundtrip_csv": _CUSTOMER.format(_r("c_acctbal")),
     "roundtrip_csv_inferred": f"""SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {_r('l_quantity')} AS l_quantity,
-  {_r('l_extendedprice')} AS l_extendedprice, {_r('l_discount')} AS l_discount, {_r('l_tax')} AS l_tax, l_returnflag, l_linestatus FROM lineitem""",
+  {_r('l_extendedprice')} AS l_extendedprice, {_r('l_discount')} AS l_discount, {_r('l_tax')} AS l_tax, l_returnflag, l_linestatus,
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem""",
+    "roundtrip_json": _CUSTOMER.format(_r("c_acctbal")),
+    "roundtrip_json_array": _CUSTOMER.format(_r("c_acctbal")),
+    "roundtrip_csv_text": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "profile_csv_markers": f"""SELECT "column", dtype, missing_count, unique_count, {_r('mean')} AS mean, {_r('median')} AS median FROM (
+  SELECT 'o_orderkey' AS "column", 'bigint' AS dtype, count(*) - count(o_orderkey) AS missing_count, count(DISTINCT o_orderkey) AS unique_count, avg(o_orderkey) AS mean, median(o_orderkey) AS median FROM orders
+  UNION ALL SELECT 'o_custkey', 'bigint', count(*) - count(o_custkey), count(DISTINCT o_custkey), avg(o_custkey), median(o_custkey) FROM orders
+  UNION ALL SELECT 'o_orderstatus', 'string', count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus), NULL, NULL FROM orders
+  UNION ALL SELECT 'o_totalprice', 'double', count(*) - count(x), count(DISTINCT x), avg(x), median(x) FROM (SELECT CASE WHEN o_orderkey % 7 NOT IN (0, 3) THEN o_totalprice END AS x FROM orders)
+  UNION ALL SELECT 'o_orderdate', 'string', count(*) - count(o_orderdate), count(DISTINCT o_orderdate), NULL, NULL FROM orders
+  UNION ALL SELECT 'o_orderpriority', 'string', count(*) - count(x), count(DISTINCT x), NULL, NULL FROM (SELECT CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority END AS x FROM orders))""",
+    "view_by_name": """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS cnt FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 2""",
+    "issues_thresholds": _union([_missing_issue("dirty_orders", c, 0.3, 0.2) for c in _ORDER_COLUMNS]),
+    "constraints_from_table": _union(
+        [_constraint(c, "range", bad) for c, bad in _RANGE.items()]
+        + [_constraint(c, "allowed", bad) for c, bad in _ALLOWED.items()]
+    ),
     "roundtrip_jsonl": _CUSTOMER.format(_r("c_acctbal")),
     "roundtrip_parquet": _CUSTOMER.format(_r("c_acctbal")),
     "roundtrip_orc": _CUSTOMER.format(_r("c_acctbal")),
-    "export_bad_rows": f"SELECT doc_id, lang, source, n_chars FROM documents, {_fences('documents', 'n_chars')} f WHERE n_chars < lo OR n_chars > hi",
+    "export_bad_rows": f"SELECT doc_id, text, lang, source, n_chars FROM documents, {_fences('documents', 'n_chars')} f WHERE n_chars < lo OR n_chars > hi",
     "export_results": EVENT_ISSUES,
 }

@@ -19,11 +19,12 @@ from catalog.inputs import (
     order_pair,
     table,
 )
-from plumbline import Config, analyze, quick_check
+from plumbline import Config, analyze, quick_check, validate_thresholds
 from plumbline.functions.columns import describe_columns
 from plumbline.operators import charts, constraints, drift, issues, profile, repair, report, rows
 from plumbline.operators import sampling, structure
 from plumbline.sources.tables import (
+    as_frame,
     export_analysis,
     load_table,
     sample_large_file,
@@ -165,16 +166,6 @@ def summary_statistics(spark, sf):
     )
 
 
-@query
-def dtype_counts(spark, sf):
-    return profile.dtype_counts(table(spark, sf, "lineitem"))
-
-
-@query
-def type_counts(spark, sf):
-    return profile.type_counts(dirty_events(spark, sf))
-
-
 @query
 def value_counts(spark, sf):
     return profile.column_value_counts(table(spark, sf, "documents"), "source")
@@ -601,10 +592,79 @@ def roundtrip_csv(spark, sf):
 @query
 def roundtrip_csv_inferred(spark, sf):
     path = f"{_scratch(spark, 'lineitem')}.CSV"
-    write_table(table(spark, sf, "lineitem").drop("l_shipdate"), path)
+    line = table(spark, sf, "lineitem")
+    write_table(line.withColumn("l_shipdate", F.date_format("l_shipdate", STAMP[:19])), path)
     return plain(load_table(spark, path))
 
 
+@query
+def roundtrip_json(spark, sf):
+    return _roundtrip(spark, sf, ".json")
+
+
+@query
+def roundtrip_json_array(spark, sf):
+    """Files that hold one array of records each."""
+    path = f"{_scratch(spark, 'customer')}.json"
+    df = table(spark, sf, "customer")
+    array = df.groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    array.select("value").write.text(path)
+    return plain(load_table(spark, path, schema=df.schema))
+
+
+@query
+def roundtrip_csv_text(spark, sf):
+    """Whole texts with line breaks, quotes and commas; an empty text is not a missing one."""
+    path = f"{_scratch(spark, 'documents')}.csv"
+    df = table(spark, sf, "documents")
+    write_table(df, path)
+    return plain(load_table(spark, path, schema=df.schema, missing=()))
+
+
+@query
+def profile_csv_markers(spark, sf):
+    """A CSV file whose gaps are written as markers; dates stay text."""
+    path = f"{_scratch(spark, 'orders')}.csv"
+    orders = table(spark, sf, "orders")
+    marked = orders.selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        "CASE o_orderkey % 7 WHEN 0 THEN 'NA' WHEN 3 THEN 'N/A' ELSE cast(o_totalprice AS string) END AS o_totalprice",
+        "cast(o_orderdate AS string) AS o_orderdate",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN '' ELSE o_orderpriority END AS o_orderpriority",
+    )
+    write_table(marked, path)
+    found = analyze(load_table(spark, path), "orders").profile
+    return plain(found.select("column", "dtype", "missing_count", "unique_count", "mean", "median"))
+
+
+@query
+def view_by_name(spark, sf):
+    """An upstream table given by its name in the catalog."""
+    name = f"orders_{uuid.uuid4().hex}"
+    table(spark, sf, "orders").createOrReplaceTempView(name)
+    return plain(profile.column_value_counts(as_frame(spark, name), "o_orderstatus"))
+
+
+@query
+def issues_thresholds(spark, sf):
+    """Thresholds merged over the defaults; one out of range warns and keeps its default."""
+    merged = validate_thresholds({"missing_warning": 0.2, "missing_critical": 1.5, "unknown": 3})
+    return _issues(dirty_orders(spark, sf), "missing_values", config=merged)
+
+
+@query
+def constraints_from_table(spark, sf):
+    """The same rules, read from a rules table."""
+    line = [
+        (c, kind, [str(x) for x in (v if kind == "allowed" else [v])])
+        for c, rule in RULES.items()
+        for kind, v in rule.items()
+    ]
+    rules = spark.createDataFrame(line, "column string, kind string, args array<string>")
+    found = constraints.constraint_report(table(spark, sf, "lineitem"), constraints.rules_from_table(rules))
+    return plain(found)
+
+
 @query
 def roundtrip_jsonl(spark, sf):
     return _roundtrip(spark, sf, ".jsonl")
@@ -624,9 +684,8 @@ def roundtrip_orc(spark, sf):
 def export_bad_rows(spark, sf):
     path = f"{_scratch(spark, 'bad')}.csv"
     found = rows.problem_rows(table(spark, sf, "documents"), "n_chars", "outliers")
-    kept = found.select("doc_id", "lang", "source", "n_chars")
-    write_table(kept, path)
-    return plain(load_table(spark, path, schema=kept.schema))
+    write_table(found, path)
+    return plain(load_table(spark, path, schema=found.schema, missing=()))
 
 
 @query

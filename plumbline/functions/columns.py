@@ -6,6 +6,7 @@ starts from :func:`clean`, which turns NaN of float and double columns to NULL.
 
 from __future__ import annotations
 
+import decimal
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -120,9 +121,21 @@ def as_double(info: ColumnInfo) -> str:
 
 def without(value: str, excluded: Sequence[Any]) -> str:
     """SQL text of a double value that is NULL where it is one of ``excluded``."""
-    if not excluded:
+    numbers = numeric_values(excluded)
+    if not numbers:
         return value
-    return f"CASE WHEN {value} NOT IN ({', '.join(literal(float(x)) for x in excluded)}) THEN {value} END"
+    return f"CASE WHEN {value} NOT IN ({', '.join(literal(float(x)) for x in numbers)}) THEN {value} END"
+
+
+def numeric_values(excluded: Sequence[Any]) -> list[Any]:
+    """The entries of a list of mixed kinds that a numeric column can hold."""
+    kinds = (int, float, decimal.Decimal)
+    return [x for x in excluded if isinstance(x, kinds) and not isinstance(x, bool) and x == x]
+
+
+def text_values(excluded: Sequence[Any]) -> list[str]:
+    """The entries of a list of mixed kinds that a text column can hold."""
+    return [x for x in excluded if isinstance(x, str)]
 
 
 def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[ColumnInfo]:

@@ -73,9 +73,19 @@ def issue_chart(issues: DataFrame) -> DataFrame:
     return severity.unionByName(kinds)
 
 
+def _nothing(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def distribution_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, n, bins, min, max, mean, median, skew, skew_class`` per numeric column."""
     infos = numeric_columns(df, columns)
+    if not infos:
+        return _nothing(
+            df,
+            "column string, ordinal int, n long, bins int, min double, max double, mean double, "
+            "median double, skew double, skew_class string",
+        )
     stats = numeric_summary(df, infos, df.count())
     names = F.create_map(*[F.lit(x) for c in infos for x in (c.ordinal, c.name)])
     size = F.abs("skew")
@@ -106,6 +116,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     most one row per bin and task into the shuffle.
     """
     infos = numeric_columns(df, columns)
+    if not infos:
+        return _nothing(df, "column string, bin int, lower double, upper double, cnt long")
     aggs = []
     for c in infos:
         value, i = as_double(c), c.ordinal
@@ -142,6 +154,12 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, fences and outlier counts per numeric column; no minimum row count."""
     infos = numeric_columns(df, columns)
+    schema = (
+        "column string, q1 double, median double, q3 double, iqr double, lower_bound double, "
+        "upper_bound double, outlier_count long, outlier_percentage double"
+    )
+    if not infos:
+        return _nothing(df, schema)
     entries = [(c.ordinal, as_double(c)) for c in infos]
     stats = order_statistics(df, entries, QUARTILES, df.count()).toDF("key", "n", "q1", "median", "q3")
     by_key = {r["key"]: r for r in stats.collect()}  # one row per column
@@ -150,6 +168,8 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         for k, r in by_key.items()
     }
     shown = [c for c in infos if c.ordinal in by_key]
+    if not shown:
+        return _nothing(df, schema)
     counts = df.agg(
         *[
             F.expr(

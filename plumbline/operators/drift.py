@@ -47,6 +47,8 @@ def _is_category(pair: Pair) -> bool:
 
 def present_totals(ref: DataFrame, cur: DataFrame, pairs: list[Pair]) -> Totals:
     """Present values of each column on both sides: one aggregate row per table."""
+    if not pairs:
+        return {}
     left = ref.agg(*[F.expr(f"count({clean(a)}) AS n{a.ordinal}") for a, _ in pairs]).collect()[0]
     right = cur.agg(*[F.expr(f"count({clean(b)}) AS n{a.ordinal}") for a, b in pairs]).collect()[0]
     return {a.ordinal: (left[f"n{a.ordinal}"], right[f"n{a.ordinal}"]) for a, _ in pairs}
@@ -127,6 +129,10 @@ def _by_column(ref: DataFrame, pairs: list[Pair], parts: list[DataFrame | None])
 def mean_changes(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, ref_mean, curr_mean, pct_change`` of the numeric columns both tables share."""
     pairs = [p for p in common_columns(ref, cur, columns) if _is_number(p)]
+    if not pairs:
+        return ref.sparkSession.createDataFrame(
+            [], "column string, ref_mean double, curr_mean double, pct_change double"
+        )
 
     def means(df: DataFrame, side: int, name: str) -> DataFrame:
         row = df.agg(*[F.expr(f"avg({as_double(p[side])}) AS m{p[0].ordinal}") for p in pairs])

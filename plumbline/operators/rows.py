@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Config
 from plumbline.functions.columns import (
+    numeric_values,
     FLOATING,
     ColumnInfo,
     as_double,
@@ -51,7 +52,7 @@ def is_outlier(info: ColumnInfo, bounds: tuple[float, float], config: Config) ->
     out = (col < F.lit(bounds[0])) | (col > F.lit(bounds[1]))
     if isinstance(info.type, FLOATING):
         out = out & ~F.isnan(col)
-    skip = config.excluded(info.name)
+    skip = numeric_values(config.excluded(info.name))
     return out & ~col.isin(skip) if skip else out
 
 

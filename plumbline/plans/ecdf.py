@@ -13,14 +13,11 @@ from plumbline.plans import orderstats
 from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
 
-# Up to this many values (rows of both sides times columns) a window per column does.
-DIRECT_VALUES = 16_000_000
-# Rows per bucket aimed at, and the least and most buckets a column is cut into.
+# Rows per bucket that a window may rank, and the buckets a column is cut into for each
+# square root of its rows: two samples of one distribution differ by about one over that.
 BUCKET_ROWS = 4_000_000
-MIN_BUCKETS = 256
-MAX_BUCKETS = 4096
-
-IN_COLUMN = "PARTITION BY key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BUCKETS_PER_ROOT = 4
+MIN_BUCKETS = 64
 IN_BUCKET = (
     "PARTITION BY key, bucket ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 )
@@ -70,19 +67,11 @@ def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Total
     buckets whose bound exceeds the largest gap seen are looked at by value:
     the bulk of the data is never shuffled, and no task holds a column. Within
     a bucket, values are counted before they are ranked, so repeats do not pile
-    up. Small tables skip the first pass.
+    up.
     """
     n_ref, n_cur = _sizes(totals)
     most = max(sum(totals[k]) for k, _, _ in entries)
-    if most * len(entries) <= DIRECT_VALUES:
-        found = (
-            _paired_counts(_both_sides(ref, cur, entries), "key")
-            .selectExpr("key", f"sum(r) OVER ({IN_COLUMN}) AS cr", f"sum(c) OVER ({IN_COLUMN}) AS cc")
-            .groupBy("key")
-            .agg(F.expr(f"max(abs(cr / {n_ref} - cc / {n_cur})) AS d"))
-        )
-    else:
-        found = _pruned_ks(ref, cur, entries, totals, most)
+    found = _pruned_ks(ref, cur, entries, totals, most)
     return found.selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
 
 
@@ -91,7 +80,7 @@ def _pruned_ks(
 ) -> DataFrame:
     n_ref, n_cur = _sizes(totals)
     # Split points of both sides, so that no bucket holds much of either.
-    half = min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(most / BUCKET_ROWS))) // 2
+    half = math.ceil(max(MIN_BUCKETS, BUCKETS_PER_ROOT * math.sqrt(most), most / BUCKET_ROWS) / 2)
     left = orderstats.sample_splits(ref, [(k, v) for k, v, _ in entries], most, half)
     right = orderstats.sample_splits(cur, [(k, v) for k, _, v in entries], most, half)
     splits = {k: sorted({*left.get(k, []), *right.get(k, [])}) for k, _, _ in entries}
@@ -100,7 +89,7 @@ def _pruned_ks(
     long = with_position(long, "value", "splits", max(1, *map(len, splits.values())), "bucket")
     long = long.drop("splits")
 
-    # At most MAX_BUCKETS rows per column; cached, as it is read twice.
+    # A row per bucket of a column; cached, as it is read twice.
     coarse = (
         long.groupBy("key", "bucket")
         .agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))

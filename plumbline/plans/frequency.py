@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import FLOATING, INTEGRAL, ColumnInfo, clean, ident, literal
+from plumbline.functions.columns import FLOATING, INTEGRAL, ColumnInfo, clean, ident, literal, text_values
 from plumbline.functions.stats import entropy_bits
 from plumbline.functions.text import LONG_BYTES, compact, is_digested, normalise
 from plumbline.plans.longform import melt
@@ -74,9 +74,9 @@ def value_counts(df: DataFrame, infos: Sequence[ColumnInfo]) -> DataFrame:
 def _spellings(df: DataFrame, infos: Sequence[ColumnInfo], excluded: dict[str, list]) -> DataFrame:
     """``key, cell, head, norm, skipped, cnt`` per distinct value."""
     skips = [
-        f"(key = {i.ordinal} AND value IN ({', '.join(literal(str(x)) for x in excluded[i.name])}))"
+        f"(key = {i.ordinal} AND value IN ({', '.join(map(literal, text_values(excluded[i.name])))}))"
         for i in infos
-        if excluded.get(i.name)
+        if text_values(excluded.get(i.name) or [])
     ]
     return (
         melt(df, [(i.ordinal, f"cast({clean(i)} AS string)") for i in infos])
@@ -172,12 +172,12 @@ def spelling_examples(
     infos: Sequence[ColumnInfo],
     excluded: dict[str, list] | None = None,
     groups: int = 5,
-    spellings: int = 10,
+    spellings: int | None = None,
 ) -> DataFrame:
     """``key, examples``: the biggest spelling groups of each column, as text.
 
-    Ranking keeps the top groups and spellings only, cut down in each task
-    before the shuffle, so no column or group is gathered in one place.
+    All spellings of a shown group are listed, or the most frequent ``spellings``
+    of them, which are then cut down in each task before the shuffle.
     """
     cells = _spellings(df, infos, excluded or {}).filter("NOT skipped")
     top = (
@@ -195,7 +195,7 @@ def spelling_examples(
             "key", "norm", "place", "coalesce(concat(head, '...'), cell) AS text",
             "row_number() OVER (PARTITION BY key, norm ORDER BY cnt DESC, cell) AS seat",
         )
-        .filter(f"seat <= {spellings}")
+        .filter("true" if spellings is None else f"seat <= {spellings}")
         .groupBy("key", "norm", "place")
         .agg(F.expr("sort_array(collect_list(struct(seat, text))) AS texts"))
         .selectExpr("key", "place", "array_join(transform(texts, t -> t.text), ' | ') AS example")

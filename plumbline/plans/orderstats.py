@@ -26,8 +26,6 @@ from plumbline.plans.longform import melt
 
 INF = float("inf")
 
-# Up to this many values (rows times columns) a table is small: one aggregate does.
-DIRECT_VALUES = 1_000_000
 # Rows the proposing sample aims at, and the grid its quantiles are read on.
 SAMPLE_ROWS = 50_000
 GRID = 100
@@ -37,7 +35,7 @@ SKETCH = 2_000
 BRACKET_ROWS = 4_000_000
 # Half-width of a bracket in standard errors of a sample quantile.
 SIGMAS = 5.0
-# Narrowing rounds; past them the answer is still exact, its window just larger.
+# Rounds after which narrowing or recounting fails: the input differs between scans.
 MAX_ROUNDS = 12
 
 POWER_SUMS = ("s1", "s2", "s3", "s4")
@@ -234,38 +232,8 @@ def _shrink(df: DataFrame, entries: list[Entry], probs: Sequence[float], seed: i
         full = [e for e in full if any(iv.too_full for iv in e.intervals)]
         if full:
             _narrow(df, full, seed + round_no)
-
-
-def _direct(
-    df: DataFrame, columns: Sequence[tuple[int, str]], probs: Sequence[float], moments: bool
-) -> DataFrame:
-    """The same result for a small table: one exact aggregate per column.
-
-    ``percentile`` counts the distinct values of a column in one task, which the
-    caller has bounded.
-    """
-    aggs = ["count(value) AS n"]
-    if moments:
-        # As sums of powers about the mean, so that both paths end alike.
-        aggs += [
-            "0D AS s1",
-            "count(value) * var_pop(value) AS s2",
-            "count(value) * coalesce(skewness(value), 0D) * pow(var_pop(value), 1.5D) AS s3",
-            "count(value) * coalesce(kurtosis(value) + 3, 0D) * pow(var_pop(value), 2D) AS s4",
-            "min(value) AS min",
-            "max(value) AS max",
-            "count_if(value = 0) AS zero_count",
-            "avg(value) AS shift",
-        ]
-    wanted = ", ".join(f"{float(p)!r}D" for p in probs)
-    out = (
-        melt(df, columns)
-        .filter("value IS NOT NULL")
-        .groupBy("key")
-        .agg(*map(F.expr, aggs), F.expr(f"percentile(value, array({wanted}))").alias("q"))
-    )
-    kept = [c for c in out.columns if c != "q"]
-    return out.selectExpr(*kept, *[f"q[{i}] AS q{i}" for i in range(len(probs))])
+    if any(iv.too_full for e in entries for iv in e.intervals):
+        raise RuntimeError("the intervals cannot be narrowed: does the table differ between scans?")
 
 
 def proposed_statistics(
@@ -278,10 +246,8 @@ def proposed_statistics(
     """The statistics as a lazy frame, from brackets a sample proposes.
 
     ``missed`` marks the columns where a bracket missed a rank; the others are
-    exact. The entries that come along are empty when nothing can be missed.
+    exact.
     """
-    if rows * len(columns) <= DIRECT_VALUES:
-        return _direct(df, columns, probs, moments).selectExpr("*", "false AS missed"), []
     entries = [Entry(k, v) for k, v in columns]
     fraction = min(1.0, 1.05 * SAMPLE_ROWS / max(rows, 1))
     grids = _sample_grid(df, list(columns), fraction, GRID, seed=17)
@@ -333,6 +299,8 @@ def order_statistics(
         pending = [e for e in pending if e.key in missed]
         if not pending:
             break
+        if round_no + 1 == MAX_ROUNDS:
+            raise RuntimeError(f"{len(pending)} columns keep missing a rank: does the table differ between scans?")
         _locate(df, pending, probs)
         _shrink(df, pending, probs, seed=1000 * (round_no + 1))
         frame = _counted(df, pending, probs, moments)

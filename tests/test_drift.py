@@ -46,10 +46,9 @@ PAIRS = {
 def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
     """By value at once (0), and pruned by coarse to narrow buckets."""
     if buckets:
-        monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
-        monkeypatch.setattr(ecdf, "DIRECT_VALUES", 0)
         monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 400)
         monkeypatch.setattr(ecdf, "MIN_BUCKETS", buckets)
+        monkeypatch.setattr(ecdf, "BUCKETS_PER_ROOT", 0)
     left, right = PAIRS[kind](np.random.default_rng(42))
     ref, cur = column(list(map(float, left))), column(list(map(float, right)))
     assert psi(ref, cur) == pytest.approx(numpy_psi(left, right), rel=1e-9)
@@ -61,9 +60,7 @@ def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
 
 
 def test_table_uses_brackets_and_buckets(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 300)
-    monkeypatch.setattr(ecdf, "DIRECT_VALUES", 0)
     monkeypatch.setattr(ecdf, "BUCKET_ROWS", 4)
     left, right = PAIRS["heavy"](np.random.default_rng(3))
     row = drift.drift_table(column(list(map(float, left))), column(list(map(float, right)))).collect()[0]
@@ -94,9 +91,8 @@ def test_category_seen_on_one_side_only(column):
 
 
 def test_ks_of_a_spike_and_of_disjoint_sides(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
-    monkeypatch.setattr(ecdf, "DIRECT_VALUES", 0)
     monkeypatch.setattr(ecdf, "MIN_BUCKETS", 8)
+    monkeypatch.setattr(ecdf, "BUCKETS_PER_ROOT", 0)
     rng = np.random.default_rng(5)
     wide = rng.normal(0, 100, 800)
     for other in (rng.normal(0, 0.01, 500), wide + 10_000, np.full(50, 3.0), -wide):

@@ -129,7 +129,7 @@ def test_json_array_and_inferred_csv(spark, tmp_path):
     assert load_table(spark, str(tmp_path / "a.json")).count() == 2
     (tmp_path / "b.CSV").write_text("id,v\n1,2.5\n2,\n")
     df = load_table(spark, str(tmp_path / "b.CSV"))
-    assert [f.dataType.simpleString() for f in df.schema] == ["int", "double"]
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "double"]
     with pytest.warns(UserWarning):
         assert format_of("data.unknown") == "csv"
     with pytest.raises(ValueError):

@@ -41,7 +41,6 @@ def test_small_table(column, kind):
 
 @pytest.mark.parametrize("kind", KINDS)
 def test_brackets(column, monkeypatch, kind):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 800)
     check(column, data(kind))
 
@@ -49,17 +48,14 @@ def test_brackets(column, monkeypatch, kind):
 @pytest.mark.parametrize("kind", ("heavy", "hot"))
 def test_narrowing_and_misses(column, monkeypatch, kind):
     """Brackets that miss their rank or hold too much still end exact."""
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 300)
     monkeypatch.setattr(orderstats, "BRACKET_ROWS", 30)
     monkeypatch.setattr(orderstats, "SIGMAS", 0.02)
     check(column, data(kind), moments=False)
 
 
-@pytest.mark.parametrize("direct", (0, 10**9))
 @pytest.mark.parametrize("kind", KINDS)
-def test_moments_match_pandas(column, monkeypatch, kind, direct):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", direct)
+def test_moments_match_pandas(column, kind):
     values = pd.Series(data(kind))
     df = column(list(map(float, values)))
     stats = orderstats.order_statistics(df, [(0, "x")], (0.5,), len(values), True)
@@ -74,7 +70,6 @@ def test_moments_match_pandas(column, monkeypatch, kind, direct):
 
 
 def test_large_offset_keeps_precision(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     values = pd.Series(1e9 + np.random.default_rng(1).normal(0, 1, 2000))
     stats = orderstats.order_statistics(column(list(map(float, values))), [(0, "x")], (0.5,), 2000, True)
     row = with_shape(stats).collect()[0]
@@ -82,7 +77,6 @@ def test_large_offset_keeps_precision(column, monkeypatch):
 
 
 def test_result_does_not_depend_on_partitioning(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 500)
     values = list(map(float, data("heavy")))
     found = [
@@ -92,7 +86,6 @@ def test_result_does_not_depend_on_partitioning(column, monkeypatch):
 
 
 def test_sparse_column_unseen_by_the_sample(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 50)
     df = column([None] * 5000 + [1.0, 2.0, 4.0])
     assert orderstats.quantiles(df, [(0, "x")], (0.5,), 5003) == {0: [2.0]}

@@ -50,7 +50,6 @@ def test_column_subsets_prune_the_scan(line):
 
 def test_rows_combine_before_the_shuffle(line, monkeypatch):
     """Outside the brackets a column reaches the shuffle as a handful of rows."""
-    monkeypatch.setattr(orderstats, "DIRECT_VALUES", 0)
     frame, entries = orderstats.proposed_statistics(line, [(0, "l_extendedprice")], (0.5,), 60_000)
     cells = orderstats._cells(line, entries, False)
     assert cells.count() < 60_000 * 0.06
