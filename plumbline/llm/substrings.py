@@ -33,6 +33,8 @@ BUCKET_BYTES = 8_000_000
 #: Bytes whose anchors are found at once, and contexts that share a suffix array.
 CHUNK = 1 << 18
 CONTEXTS = 20_000
+#: Contexts of a bucket that are looked at together.
+RANGE = 50_000
 NO_DOC = np.iinfo(np.int64).max
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -190,7 +192,7 @@ def _unpacked(data: bytes, kind, width: int | None = None) -> np.ndarray:
     return out if width is None else out.reshape(-1, width)
 
 
-def _batches(docs: DataFrame) -> DataFrame:
+def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     """The texts in batches, as a table bucketed by batch."""
 
     def gathered(batches):
@@ -212,7 +214,7 @@ def _batches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if keys and held + len(raw) > BATCH_BYTES:
+                if keys and held + len(raw) > batch_bytes:
                     yield closed()
                     number, held, keys, parts = number + 1, 0, [], []
                 keys.append(key)
@@ -311,9 +313,7 @@ def _contexts(buckets: int):
             for row in batch.to_pylist():
                 found = _anchors_of(row)
                 records, low, _ = _distinct_contexts(row, found, _marked(row, found))
-                hashes = np.zeros((len(records), 8), np.uint8)
-                hashes[:, 2:] = records[:, :6]
-                bucket = bucket_of(hashes.view(">u8").reshape(-1).astype(np.uint64), buckets)
+                bucket = bucket_of(_hash_of(records), buckets)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edges))
                 yield pa.record_batch(
@@ -328,13 +328,14 @@ def _contexts(buckets: int):
     return cut
 
 
-def _answers(pdf):
-    """Of one bucket: for each batch's contexts the least doc_id of all their windows, or of each where they differ."""
-    import pandas as pd
+def _hash_of(records: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(records), 8), np.uint8)
+    wide[:, 2:] = records[:, :6]
+    return wide.view(">u8").reshape(-1).astype(np.uint64)
 
-    parts = [_unpacked(x, np.uint8, _RECORD) for x in pdf["records"]]
-    docs = np.concatenate([_unpacked(x, np.int64) for x in pdf["docs"]])
-    records = np.concatenate(parts)
+
+def _least_by_window(records: np.ndarray, docs: np.ndarray):
+    """Per record the least doc_id of all its windows, a row number where they differ, and those rows."""
     view = np.ascontiguousarray(records).view(f"V{_RECORD}").reshape(-1)
     _, first, number = np.unique(view, return_index=True, return_inverse=True)
     low = np.full(len(first), NO_DOC)
@@ -348,18 +349,53 @@ def _answers(pdf):
     windows = _by_hash(distinct[own], low[own])
     a = np.arange(SPAN + 1)
     live = (a <= distinct[own, 6:7]) & (a >= distinct[own, 7:8])
-    lowest = np.where(live, windows, NO_DOC).min(axis=1) if len(own) else np.zeros(0, np.int64)
-    differ = np.any(live & (windows != lowest[:, None]), axis=1) if len(own) else np.zeros(0, bool)
+    lowest = np.where(live, windows, NO_DOC).min(axis=1, initial=NO_DOC)
+    differ = np.any(live & (windows != lowest[:, None]), axis=1)
     low[own] = lowest
     row_of = np.full(len(distinct), -1)
-    row_of[own[differ]] = np.flatnonzero(differ)
-    out = {"batch": pdf["batch"], "bucket": pdf["bucket"], "low": [], "where": [], "windows": []}
-    for part in np.split(number, np.cumsum([len(p) for p in parts])[:-1]):
-        at = np.flatnonzero(row_of[part] >= 0)
-        out["low"].append(_packed(low[part]))
-        out["where"].append(_packed(at.astype(np.int32)))
-        out["windows"].append(_packed(windows[row_of[part[at]]]))
-    return pd.DataFrame(out)
+    row_of[own[differ]] = np.arange(int(differ.sum()))
+    return low[number], row_of[number], windows[differ]
+
+
+def _answers(pdf):
+    """Of one bucket: for each batch's contexts the least doc_id of all their windows, or of each where they differ.
+
+    A batch's contexts come sorted by hash, so the bucket is gone through in ranges of some ``RANGE`` contexts.
+    """
+    import pandas as pd
+
+    parts = [_unpacked(x, np.uint8, _RECORD) for x in pdf["records"]]
+    docs = [_unpacked(x, np.int64) for x in pdf["docs"]]
+    hashes = [_hash_of(p) for p in parts]
+    every = np.sort(np.concatenate(hashes))
+    cuts = np.unique(every[RANGE::RANGE])
+    edges = [np.concatenate([[0], np.searchsorted(h, cuts), [len(h)]]).astype(np.int64) for h in hashes]
+    low = [np.empty(len(h), np.int64) for h in hashes]
+    where: list[list] = [[] for _ in parts]
+    windows: list[list] = [[] for _ in parts]
+    for k in range(len(cuts) + 1):
+        spans = [(e[k], e[k + 1]) for e in edges]
+        least, row, rows = _least_by_window(
+            np.concatenate([p[i:j] for p, (i, j) in zip(parts, spans, strict=True)]),
+            np.concatenate([d[i:j] for d, (i, j) in zip(docs, spans, strict=True)]),
+        )
+        at = 0
+        for n, (i, j) in enumerate(spans):
+            own = row[at : at + j - i]
+            low[n][i:j] = least[at : at + j - i]
+            mixed = np.flatnonzero(own >= 0)
+            where[n].append((mixed + i).astype(np.int32))
+            windows[n].append(rows[own[mixed]])
+            at += j - i
+    return pd.DataFrame(
+        {
+            "batch": pdf["batch"],
+            "bucket": pdf["bucket"],
+            "low": [_packed(x) for x in low],
+            "where": [_packed(np.concatenate(x)) for x in where],
+            "windows": [_packed(np.concatenate(x)) for x in windows],
+        }
+    )
 
 
 def _covered(row, found: Anchors) -> np.ndarray:
@@ -419,7 +455,7 @@ def _results(batches):
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: its bytes without those of ``LENGTH``-byte strings that a smaller doc_id has too.
 
     Columns: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``,
@@ -431,10 +467,10 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    texts = _batches(docs)
+    texts = _batches(docs, batch_bytes)
     total = texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, -(-total // BUCKET_BYTES))
+    buckets = max(n, -(-total // bucket_bytes))
     hashes = texts.mapInArrow(_by_bucket(buckets), "bucket int, batch bigint, hashes binary, several binary")
     flags = hashes.groupBy("bucket").applyInPandas(_repeated, "batch bigint, bucket int, n int, flags binary")
     flags = written(

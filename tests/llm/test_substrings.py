@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from edges import empty_documents, odd_documents
@@ -59,10 +60,30 @@ def test_against_brute_force(spark, alphabet):
     compare(spark, made(1, alphabet))
 
 
-def test_small_batches(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "BATCH_BYTES", 600)
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1000)
-    compare(spark, made(2, "abcdefghij "), parts=2)
+def test_small_batches(spark):
+    rows = made(2, "abcdefghij ")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = substrings.remove_repeated(docs, batch_bytes=600, bucket_bytes=100).drop("kept", "spans")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
+
+
+def test_ranges_and_shared_arrays(monkeypatch):
+    """A bucket gives the same answers in one piece and in many."""
+    parts = []
+    for k, rows in enumerate((made(3, "abcdef "), made(4, "abcdef "), made(3, "abcdef "))):
+        raw = [t.encode() for _, t in rows]
+        row = {"doc_ids": [i for i, _ in rows], "sizes": [len(r) for r in raw], "data": b"".join(raw)}
+        anchors = substrings._anchors_of(row)
+        records, low, _ = substrings._distinct_contexts(row, anchors, np.arange(len(anchors.at)))
+        parts.append((k, 0, substrings._packed(records), substrings._packed(low)))
+    pdf = pd.DataFrame(parts, columns=["batch", "bucket", "records", "docs"])
+    whole = substrings._answers(pdf)
+    monkeypatch.setattr(substrings, "RANGE", 7)
+    monkeypatch.setattr(substrings, "CONTEXTS", 3)
+    pieces = substrings._answers(pdf)
+    assert substrings._unpacked(whole["where"][0], np.int32).size > 0
+    for name in ("low", "where", "windows"):
+        assert whole[name].tolist() == pieces[name].tolist()
 
 
 def test_lengths_at_the_limit(spark):
