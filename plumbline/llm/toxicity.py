@@ -149,7 +149,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     words, y = Words(texts), np.array(labels, np.float32)
     owner = np.repeat(np.arange(len(texts)), words.counts)
-    codes, place = np.unique(words.code, return_inverse=True)
+    codes, some, place = np.unique(words.code, return_index=True, return_inverse=True)
     pairs = np.unique(place.astype(np.int64) * (len(texts) + 1) + owner)
     of, held = pairs // (len(texts) + 1), pairs % (len(texts) + 1)
     toxic = np.bincount(of, y[held], len(codes)) if len(of) else np.zeros(0)
@@ -176,13 +176,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     }
     weights["char"][0] = 0
     model = Model(codes[known], weights)
-    if not n1 or not n0:
+    if not n1 or not n0 or not len(place):
         weights["out"][:] = 0
-        weights["out_bias"][0] = 4.0 if n1 else -4.0
+        weights["out_bias"][0] = 4.0 if n1 and not n0 else -4.0
         return model
-    numbers = model.numbers(words.code)
-    chars = characters(words, np.arange(len(words.code)))
-    signal = np.concatenate([[0], np.cumsum(np.where(numbers > 0, word[numbers, 0], 0))])
+    numbers, chars = model.numbers(codes), characters(words, some)  # of each distinct word
+    signal = np.concatenate([[0], np.cumsum(word[numbers, 0][place])])
     text, begin, size = windows_of(words.counts, words.first[:-1])
     order = rng.permutation(len(text))
     order = order[np.argsort(text[order], kind="stable")]
@@ -193,8 +192,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     first = np.searchsorted(text, np.arange(len(texts) + 1))
 
     def gathered(own: np.ndarray):
-        at = np.minimum(begin[own, None] + np.arange(WINDOW), max(0, len(numbers) - 1))
-        flat = at.reshape(-1)
+        at = np.minimum(begin[own, None] + np.arange(WINDOW), len(place) - 1)
+        flat = place[at.reshape(-1)]
         return flat, model.inputs(numbers[flat], chars[flat]).reshape(len(own), WINDOW, 2, 3 * HIDDEN)
 
     adam = _Adam(weights)
@@ -232,10 +231,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     """The score of each whole text: the highest of all its overlapping windows."""
     words = Words(texts)
-    codes, place = np.unique(words.code, return_inverse=True)
-    sample = np.zeros(len(codes), np.int64)
-    sample[place] = np.arange(len(place))
-    gates = model.inputs(model.numbers(codes), characters(words, sample)) if len(codes) else np.zeros((1, 2, 3 * HIDDEN))
+    codes, some, place = np.unique(words.code, return_index=True, return_inverse=True)
+    gates = model.inputs(model.numbers(codes), characters(words, some)) if len(codes) else np.zeros((1, 2, 3 * HIDDEN))
     gates = gates.astype(np.float32)
     place = place if len(place) else np.zeros(1, np.int64)
     text, begin, size = windows_of(words.counts, words.first[:-1])
