@@ -1,22 +1,52 @@
 """Seeded samples of an exact size.
 
-Every row draws a uniform number from the seed. A threshold slightly above the
-wanted share drops all other rows in the scan; the smallest draws are the
-sample. Copies of one row draw on their own, so a row that fills a third of the
-table fills about a third of the sample. The same seed on the same files gives
-the same rows.
+Every row draws a number that depends on the seed and the row alone, not on how
+the table is split: rows of files by their file and place in it, other rows by
+their content, copies numbered. A threshold slightly above the wanted share drops
+all other rows in the scan; the smallest draws are the sample, which is kept.
+Copies of one row draw on their own, so a row that fills a third of the table
+fills about a third of the sample.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import ident
+
 DRAW = "__draw"
 STRATUM = "__stratum"
 
-# Strata that may be broadcast; more of them are joined by shuffle.
-MAX_BROADCAST_STRATA = 100_000
+
+def with_draw(df: DataFrame, seed: int) -> DataFrame:
+    """``df`` with a draw in [0, 1) per row that stays when the table is split differently.
+
+    Parquet files number their rows, which costs nothing. For other tables the
+    copies of a row are numbered, which shuffles the table once: write it to
+    Parquet first to spare that.
+    """
+    uniform = lambda h: F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    place = F.xxhash64(F.lit(seed), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    if _has_places(df):
+        return df.select("*", uniform(place).alias(DRAW))
+    row = F.xxhash64(F.lit(seed), *[F.to_json(F.struct(F.col(ident(c)))) for c in df.columns])
+    copy = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    numbered = df.select("*", row.alias("__row")).select("*", copy.alias("__copy"))
+    return numbered.select("*", uniform(F.xxhash64(F.lit(seed), "__row", "__copy")).alias(DRAW)).drop("__row", "__copy")
+
+
+def _has_places(df: DataFrame) -> bool:
+    """True if all rows come from one scan of files that number their rows."""
+    names = [p.lower().rsplit(".", 1)[-1] for p in df.inputFiles()[:1]]
+    if names != ["parquet"]:
+        return False
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
 
 
 def _enough(k: float) -> float:
@@ -37,13 +67,7 @@ def sample_rows(
     if stratify_by and stratify_by in df.columns:
         return sample_stratified(df, stratify_by, n, seed, rows)
     share = min(1.0, _enough(n) / rows)
-    return (
-        df.withColumn(DRAW, F.rand(seed))
-        .filter(F.col(DRAW) < share)
-        .orderBy(DRAW)
-        .limit(n)
-        .drop(DRAW)
-    )
+    return with_draw(df, seed).filter(F.col(DRAW) < share).orderBy(DRAW).limit(n).drop(DRAW).persist()
 
 
 def sample_stratified(df: DataFrame, by: str, n: int, seed: int = 42, rows: int | None = None) -> DataFrame:
@@ -64,10 +88,8 @@ def sample_stratified(df: DataFrame, by: str, n: int, seed: int = 42, rows: int
     wanted = strata.filter("__take > 0")
     enough = F.col("__take") + 10 * F.sqrt("__take") + 50
     wanted = wanted.select(STRATUM, "__take", (enough / F.col("__size")).alias("__share"))
-    few = strata.count() <= MAX_BROADCAST_STRATA
-    drawn = df.withColumn(DRAW, F.rand(seed)).join(
-        F.broadcast(wanted) if few else wanted, F.col(by) == F.col(STRATUM)
-    )
+    # The side with a row per stratum is chosen, and a large stratum split, at run time.
+    drawn = with_draw(df, seed).join(wanted, F.col(by) == F.col(STRATUM))
     seat = F.row_number().over(Window.partitionBy(STRATUM).orderBy(DRAW))
     return (
         drawn.filter(F.col(DRAW) < F.col("__share"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,9 @@ def sample_chunks(chunks: DataFrame, folder: str, n: int = 1000, seed: int = 42)
         .start()
     )
     query.awaitTermination()
-    versions = chunks.sparkSession.read.parquet(kept)
+    try:
+        versions = chunks.sparkSession.read.parquet(kept)
+    except AnalysisException:  # no chunk came
+        return chunks.sparkSession.createDataFrame([], chunks.schema)
     last = versions.agg(F.max("version")).first()[0]
     return versions.filter(F.col("version") == last).drop("version", DRAW)

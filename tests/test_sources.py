@@ -96,3 +96,30 @@ def test_ranks_that_keep_missing_fail(spark, monkeypatch):
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 20)
     with pytest.raises(RuntimeError, match="differ between scans"):
         orderstats.order_statistics(df, [(0, "x")], (0.5,), 4000).collect()
+
+
+def test_samples_do_not_depend_on_the_split(spark, tmp_path):
+    from plumbline import sample_rows
+
+    frames = [spark.range(5000).selectExpr("id % 2500 AS id", "'x' AS c")]
+    path = str(tmp_path / "s.parquet")
+    frames[0].repartition(3).write.parquet(path)
+    frames.append(spark.read.parquet(path))
+    for df in frames:
+        draw = lambda d: sorted(r["id"] for r in sample_rows(d, 500, seed=7).collect())
+        assert draw(df) == draw(df.repartition(7)) and len(draw(df)) == 500
+        assert sorted(r["id"] for r in sample_rows(df, 500, seed=8).collect()) != draw(df)
+    hot = spark.createDataFrame([(1 if i % 3 else i,) for i in range(6000)], "id long").repartition(4)
+    share = sample_rows(hot, 900).filter("id = 1").count() / 900
+    assert abs(share - 2 / 3) < 0.08
+    strata = sample_rows(frames[1].selectExpr("id", "id % 3 AS g"), 300, stratify_by="g")
+    again = sample_rows(frames[1].repartition(5).selectExpr("id", "id % 3 AS g"), 300, stratify_by="g")
+    assert rows(strata) == rows(again)
+
+
+def test_no_chunks(spark, tmp_path):
+    from plumbline.streaming.chunks import read_chunks, sample_chunks
+
+    (tmp_path / "in").mkdir()
+    found = sample_chunks(read_chunks(spark, str(tmp_path / "in"), "a long"), str(tmp_path / "out"), 5)
+    assert found.count() == 0 and found.columns == ["a"]
