@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import literal
 from plumbline.functions.stats import psi_term
-from plumbline.plans import orderstats
 from plumbline.plans.bins import double_array, with_position
 from plumbline.plans.longform import melt
 
-# Rows per bucket that a window may rank, and the buckets a column is cut into for each
-# square root of its rows: two samples of one distribution differ by about one over that.
-BUCKET_ROWS = 4_000_000
-BUCKETS_PER_ROOT = 4
-MIN_BUCKETS = 64
-IN_BUCKET = (
-    "PARTITION BY key, bucket ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-)
-BUCKETS_BELOW = (
-    "PARTITION BY key ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+# Buckets of equal width a column is cut into, and parts an undecided one is cut into again.
+BUCKETS = 1 << 14
+PARTS = 1 << 6
+
+# A column whose ends are so many interquartile ranges away is laid out in roots, at most so often.
+LONG_TAIL = 64
+MAX_ROOTS = 6
+ROOTS = "CASE roots WHEN 0 THEN abs(d) " + " ".join(
+    f"WHEN {k} THEN {'sqrt(' * k}abs(d){')' * k}" for k in range(1, MAX_ROOTS + 1)
+) + " END"
+
+IN_PART = (
+    "PARTITION BY key, bucket, part ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 )
 
 Entries = list[tuple[int, str, str]]  # key, reference value, current value (SQL text)
@@ -58,71 +62,130 @@ def _sizes(totals: Totals) -> tuple[str, str]:
     return ref, by_key({k: f"{pair[1]}L" for k, pair in totals.items()})
 
 
+@dataclass(frozen=True)
+class Scale:
+    """How a column is laid out before it is cut into buckets of equal width.
+
+    ``roots`` square roots of the distance to ``mid`` draw long tails in. Each step
+    is rounded correctly and so never changes the order of two values.
+    """
+
+    mid: float = 0.0
+    roots: int = 0
+    lo: float = 0.0
+    scale: float = 0.0
+
+    @classmethod
+    def of(cls, lo: float, hi: float, q1: float, mid: float, q3: float) -> Scale:
+        spread = max(hi - mid, mid - lo)
+        usual = max(q3 - q1, spread * 1e-300, 1e-300)
+        roots = 0
+        while roots < MAX_ROOTS and (spread / usual) ** (0.5**roots) > LONG_TAIL:
+            roots += 1
+
+        def laid(x: float) -> float:
+            out = abs(x - mid)
+            for _ in range(roots):
+                out = math.sqrt(out)
+            return math.copysign(out, x - mid)
+
+        width = laid(hi) - laid(lo)
+        good = 0 < width < math.inf and BUCKETS / width < math.inf
+        return cls(mid, roots, laid(lo), BUCKETS / width if good else 0.0)
+
+
 def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals) -> DataFrame:
     """``key, n_ref, n_cur, d``: the largest gap between the two empirical CDFs, exact.
 
-    A first pass counts both sides in narrow buckets of neighbouring values,
-    which combines to a row per bucket and task. It gives the gap at every
-    bucket's end, and bounds the gap inside a bucket by the rows it holds. Only
-    buckets whose bound exceeds the largest gap seen are looked at by value:
-    the bulk of the data is never shuffled, and no task holds a column. Within
-    a bucket, values are counted before they are ranked, so repeats do not pile
-    up.
+    A first pass counts both sides in buckets, of equal width or, where the tails
+    are long, of equal width in a root of the distance to the median; that combines
+    to a row per bucket and task. It gives the gap at every bucket's end, and bounds
+    the gap inside a bucket by the rows it holds. Buckets whose bound exceeds the
+    largest gap seen are cut again between the least and the largest value they
+    hold, and only what is still undecided then is looked at by value: the bulk
+    of the data is never shuffled, and no task holds a column. Values are counted
+    before they are ranked, so repeats do not pile up, and a bucket of one value
+    is decided.
     """
     n_ref, n_cur = _sizes(totals)
-    most = max(sum(totals[k]) for k, _, _ in entries)
-    found = _pruned_ks(ref, cur, entries, totals, most)
+    shapes = (
+        _both_sides(ref, cur, entries)
+        .filter("abs(value) < double('infinity')")
+        .groupBy("key")
+        .agg(
+            F.expr("min(value) AS lo"),
+            F.expr("max(value) AS hi"),
+            F.expr("percentile_approx(value, array(0.25D, 0.5D, 0.75D), 100) AS q"),
+        )
+        .collect()  # one row per column
+    )
+    scales = {r["key"]: Scale.of(r["lo"], r["hi"], *r["q"]) for r in shapes}
+    scales = {k: scales.get(k, Scale()) for k, _, _ in entries}
+    constants = {
+        name: {k: literal(getattr(x, name)) for k, x in scales.items()} for name in ("mid", "roots", "lo", "scale")
+    }
+    long = _both_sides(ref, cur, entries, constants)
+    long = long.selectExpr("key", "value", "r", "c", "lo", "scale", "roots", "value - mid AS d")
+    long = long.selectExpr("key", "value", "r", "c", "lo", "scale", f"signum(d) * ({ROOTS}) AS u")
+    long = long.selectExpr("key", "value", "r", "c", f"{_place('u', 'lo', 'scale', BUCKETS)} AS bucket")
+    coarse = _gaps(long, "key", "bucket", "0", "0", n_ref, n_cur)
+    coarse = coarse.selectExpr("*", "max(gap) OVER (PARTITION BY key) AS reached").persist()
+    # At most BUCKETS rows per column.
+    undecided = _undecided(coarse).selectExpr(
+        "key", "bucket", "br AS start_r", "bc AS start_c", "low", f"{_width('low', 'high', PARTS)} AS fine", "reached"
+    )
+    inside = long.join(F.broadcast(undecided), ["key", "bucket"]).selectExpr(
+        "*", f"{_place('value', 'low', 'fine', PARTS)} AS part"
+    )
+    parts = _gaps(inside, "key, bucket, start_r, start_c, reached", "part", "start_r", "start_c", n_ref, n_cur)
+    parts = parts.selectExpr("* EXCEPT (reached)", "greatest(reached, max(gap) OVER (PARTITION BY key)) AS reached").persist()
+    # At most PARTS rows per undecided bucket.
+    open_parts = _undecided(parts).select("key", "bucket", "part", "br", "bc")
+    counted = _paired_counts(
+        inside.select("key", "bucket", "part", "value", "r", "c").join(F.broadcast(open_parts), ["key", "bucket", "part"]),
+        "key", "bucket", "part", "br", "bc",
+    )
+    fine = counted.selectExpr(
+        "*", f"sum(r) OVER ({IN_PART}) AS cr", f"sum(c) OVER ({IN_PART}) AS cc"
+    ).selectExpr("key", f"abs((br + cr) / {n_ref} - (bc + cc) / {n_cur}) AS d")
+    found = coarse.selectExpr("key", "gap AS d").unionAll(parts.selectExpr("key", "gap AS d")).unionAll(fine)
+    found = found.groupBy("key").agg(F.expr("max(d) AS d"))
     return found.selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
 
 
-def _pruned_ks(
-    ref: DataFrame, cur: DataFrame, entries: Entries, totals: Totals, most: int
-) -> DataFrame:
-    n_ref, n_cur = _sizes(totals)
-    # Split points of both sides, so that no bucket holds much of either.
-    half = math.ceil(max(MIN_BUCKETS, BUCKETS_PER_ROOT * math.sqrt(most), most / BUCKET_ROWS) / 2)
-    left = orderstats.sample_splits(ref, [(k, v) for k, v, _ in entries], most, half)
-    right = orderstats.sample_splits(cur, [(k, v) for k, _, v in entries], most, half)
-    splits = {k: sorted({*left.get(k, []), *right.get(k, [])}) for k, _, _ in entries}
-    bounds = {k: double_array(x) for k, x in splits.items()}
-    long = _both_sides(ref, cur, entries, {"splits": bounds})
-    long = with_position(long, "value", "splits", max(1, *map(len, splits.values())), "bucket")
-    long = long.drop("splits")
-
-    # A row per bucket of a column; cached, as it is read twice.
-    coarse = (
-        long.groupBy("key", "bucket")
-        .agg(F.expr("sum(r) AS r"), F.expr("sum(c) AS c"))
+def _width(lo: str, hi: str, parts: int) -> str:
+    inside = f"{hi} - {lo} > 0 AND {hi} - {lo} < double('infinity') AND {parts} / ({hi} - {lo}) < double('infinity')"
+    return f"CASE WHEN {inside} THEN {parts} / ({hi} - {lo}) ELSE 0D END"
+
+
+def _place(x: str, lo: str, scale: str, parts: int) -> str:
+    """SQL text of the part a value is in: never falls as the value grows; infinities are parts of their own."""
+    inner = f"cast(least({parts - 1}D, greatest(0D, floor(({x} - {lo}) * {scale}))) AS int)"
+    return (
+        f"CASE WHEN value = double('infinity') THEN {parts} WHEN value = double('-infinity') THEN -1 ELSE {inner} END"
+    )
+
+
+def _gaps(long: DataFrame, within: str, part: str, start_r: str, start_c: str, n_ref: str, n_cur: str) -> DataFrame:
+    """Per part the rows before it, its rows, its least and largest value, and the gap at its end."""
+    groups = [*within.split(", "), part]
+    below = f"PARTITION BY {within} ORDER BY {part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return (
+        long.groupBy(*groups)
+        .agg(*map(F.expr, ("sum(r) AS r", "sum(c) AS c", "min(value) AS low", "max(value) AS high")))
         .selectExpr(
             "*",
-            f"coalesce(sum(r) OVER ({BUCKETS_BELOW}), 0) AS br",
-            f"coalesce(sum(c) OVER ({BUCKETS_BELOW}), 0) AS bc",
+            f"{start_r} + coalesce(sum(r) OVER ({below}), 0) AS br",
+            f"{start_c} + coalesce(sum(c) OVER ({below}), 0) AS bc",
         )
-        .selectExpr("*", f"abs((br + r) / {n_ref} - (bc + c) / {n_cur}) AS gap")
-        .selectExpr("*", "max(gap) OVER (PARTITION BY key) AS reached")
-        .persist()
-    )
-    bound = (
-        f"greatest(abs((br + r) / {n_ref} - bc / {n_cur}), abs(br / {n_ref} - (bc + c) / {n_cur}))"
+        .selectExpr("*", f"abs((br + r) / {n_ref} - (bc + c) / {n_cur}) AS gap", f"{n_ref} AS nr", f"{n_cur} AS nc")
     )
-    # Bounded like `coarse`: a row per bucket of a column.
-    undecided = coarse.filter(f"{bound} > reached").select("key", "bucket", "br", "bc")
-    inside = _paired_counts(
-        long.join(F.broadcast(undecided), ["key", "bucket"]), "key", "bucket", "br", "bc"
-    )
-    fine = (
-        inside.selectExpr(
-            "*", f"sum(r) OVER ({IN_BUCKET}) AS cr", f"sum(c) OVER ({IN_BUCKET}) AS cc"
-        )
-        .groupBy("key")
-        .agg(F.expr(f"max(abs((br + cr) / {n_ref} - (bc + cc) / {n_cur})) AS d"))
-    )
-    return (
-        coarse.groupBy("key")
-        .agg(F.expr("max(reached) AS d"))
-        .unionAll(fine)
-        .groupBy("key")
-        .agg(F.expr("max(d) AS d"))
+
+
+def _undecided(parts: DataFrame) -> DataFrame:
+    """Parts of several values within which the gap may exceed the largest one seen."""
+    return parts.filter(
+        "low < high AND greatest(abs((br + r) / nr - bc / nc), abs(br / nr - (bc + c) / nc)) > reached"
     )
 
 

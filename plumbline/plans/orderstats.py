@@ -93,15 +93,6 @@ def _sample_grid(
     return {r["key"]: (r["k"], r["grid"]) for r in found.collect()}
 
 
-def sample_splits(
-    df: DataFrame, entries: Sequence[tuple[int, str]], rows: int, points: int
-) -> dict[int, list[float]]:
-    """Roughly equi-depth split points per column, fewer than ``points``, ascending."""
-    fraction = min(1.0, 1.05 * max(SAMPLE_ROWS, 50 * points) / max(rows, 1))
-    grids = _sample_grid(df, list(entries), fraction, points, seed=17)
-    return {k: sorted(set(grid[1:-1])) for k, (_, grid) in grids.items()}
-
-
 def _propose(iv: Interval, k: int, grid: list[float], p: float, rows: float) -> None:
     """Shrink an interval holding ``rows`` rows to the grid values around quantile ``p``."""
     points = len(grid) - 1

@@ -47,8 +47,7 @@ def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
     """By value at once (0), and pruned by coarse to narrow buckets."""
     if buckets:
         monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 400)
-        monkeypatch.setattr(ecdf, "MIN_BUCKETS", buckets)
-        monkeypatch.setattr(ecdf, "BUCKETS_PER_ROOT", 0)
+        monkeypatch.setattr(ecdf, "BUCKETS", buckets)
     left, right = PAIRS[kind](np.random.default_rng(42))
     ref, cur = column(list(map(float, left))), column(list(map(float, right)))
     assert psi(ref, cur) == pytest.approx(numpy_psi(left, right), rel=1e-9)
@@ -61,7 +60,7 @@ def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
 
 def test_table_uses_brackets_and_buckets(column, monkeypatch):
     monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 300)
-    monkeypatch.setattr(ecdf, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(ecdf, "PARTS", 2)
     left, right = PAIRS["heavy"](np.random.default_rng(3))
     row = drift.drift_table(column(list(map(float, left))), column(list(map(float, right)))).collect()[0]
     assert row["psi"] == pytest.approx(numpy_psi(left, right), rel=1e-9)
@@ -91,8 +90,7 @@ def test_category_seen_on_one_side_only(column):
 
 
 def test_ks_of_a_spike_and_of_disjoint_sides(column, monkeypatch):
-    monkeypatch.setattr(ecdf, "MIN_BUCKETS", 8)
-    monkeypatch.setattr(ecdf, "BUCKETS_PER_ROOT", 0)
+    monkeypatch.setattr(ecdf, "BUCKETS", 8)
     rng = np.random.default_rng(5)
     wide = rng.normal(0, 100, 800)
     for other in (rng.normal(0, 0.01, 500), wide + 10_000, np.full(50, 3.0), -wide):
@@ -151,3 +149,28 @@ def test_mixed_types_are_compared_as_text(spark):
     ref = spark.createDataFrame([(1,), (2,)], "k int")
     cur = spark.createDataFrame([("1",), ("2",)], "k string")
     assert psi(ref, cur) == 0.0
+
+
+@pytest.mark.parametrize("kind", ["uniform", "tails", "ties"])
+def test_ks_looks_at_few_values(spark, monkeypatch, kind):
+    """Without drift, buckets decide all but a few rows; no more than a tenth is looked at by value."""
+    rng = np.random.default_rng(8)
+    make = {
+        "uniform": lambda: rng.random(40_000),
+        "tails": lambda: np.exp(10 * rng.normal(size=40_000)) * rng.choice([-1, 1], 40_000),
+        "ties": lambda: np.round(rng.normal(0, 3, 40_000)),
+    }[kind]
+    left, right = make(), make()
+    frames = [spark.createDataFrame([(float(x),) for x in v], "x double") for v in (left, right)]
+    seen, count = [], ecdf._paired_counts
+    monkeypatch.setattr(ecdf, "_paired_counts", lambda long, *w: seen.append(long) or count(long, *w))
+    found = ecdf.ks_distances(*frames, [(0, "x", "x")], {0: (40_000, 40_000)}).collect()[0]["d"]
+    assert found == pytest.approx(numpy_ks(left, right), abs=1e-12)
+    assert seen[-1].count() < 8_000
+
+
+def test_ks_with_infinities_and_extremes(column):
+    inf, big = float("inf"), 1.7e308
+    left, right = [-inf, -big, 0.0, 5e-324, 1.0, big, inf, inf], [-inf, -inf, -1.0, 0.0, 2.0, big, inf]
+    row = drift.kolmogorov_smirnov(column(left), column(right)).collect()[0]
+    assert row["ks_statistic"] == pytest.approx(numpy_ks(np.array(left), np.array(right)), abs=1e-12)
