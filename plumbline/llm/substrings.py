@@ -98,7 +98,10 @@ class Anchors:
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(own)) - 1 if len(own) else head
         at = own[head]
-        return at + begin, at - windows[head], at - windows[tail], h[at] >> np.uint64(16)
+        # The hashes of anchors are small, being least ones; mixed again they fill their range evenly.
+        even = h[at] * _MIX
+        even = (even ^ (even >> np.uint64(32))) * _BASE
+        return at + begin, at - windows[head], at - windows[tail], even >> np.uint64(16)
 
     def distinct(self):
         """(sorted hashes, if it is in several documents, number of each anchor's hash)."""
