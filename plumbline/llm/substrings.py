@@ -46,11 +46,11 @@ _RECORD = 6 + 2 + _CONTEXT
 def _hashes(data: np.ndarray) -> np.ndarray:
     """A mixed polynomial hash of the ``ANCHOR`` bytes at each place, those at the end being of fewer bytes."""
     padded = np.concatenate([data, np.zeros(ANCHOR, np.uint8)]).astype(np.uint64) + np.uint64(1)
-    power, width, parts = _BASE, 1, {1: padded}
+    width, parts = 1, {1: padded}
     while 2 * width <= ANCHOR:
-        h = parts[width]
+        h, power = parts[width], np.uint64(pow(int(_BASE), width, 1 << 64))
         parts[2 * width] = h[:-width] * power + h[width:]
-        power, width = power * power, 2 * width
+        width *= 2
     out, done = parts[width], width
     while done < ANCHOR:
         width //= 2
