@@ -52,11 +52,8 @@ def with_shape(sums: DataFrame) -> DataFrame:
 
 
 def lerp(low: str, high: str, t: str) -> str:
-    """SQL text of a linear interpolation, exact at both ends and when low = high."""
-    return (
-        f"CASE WHEN {t} < 0.5D THEN {low} + ({high} - {low}) * {t} "
-        f"ELSE {high} - ({high} - {low}) * (1 - {t}) END"
-    )
+    """SQL text of a linear interpolation as a weighted mean, exact at both ends and when low = high."""
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE (1 - {t}) * {low} + {t} * {high} END"
 
 
 def entropy_bits(n: str, sum_c_log2_c: str) -> str:
