@@ -32,18 +32,18 @@ SMALL_SHARD = 24
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shingles(text: str | None) -> list[bytes]:
-    """The shingles of a text, repeats included; all its words if they are fewer, none if it has none."""
+def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
+    """The shingles of ``size`` words, repeats included; all words if they are fewer, none if there are none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [b" ".join(words)] if words else []
     joined = b" ".join(words)
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
-    begins = [0, *(e + 1 for e in ends[: -SHINGLE])]
-    return [joined[a:b] for a, b in zip(begins, ends[SHINGLE - 1 :], strict=True)]
+    begins = [0, *(e + 1 for e in ends[:-size])]
+    return [joined[a:b] for a, b in zip(begins, ends[size - 1 :], strict=True)]
 
 
 def fingerprint(text: str | None) -> int:
