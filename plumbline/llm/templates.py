@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so a question whose
-parameters were changed has the template of the original. Windows of template
+parameters were changed has the template of the original; a run of one type is one
+placeholder, so a value may change its number of words. Windows of template
 words of the documents are hash-joined with those of the benchmark; along each
 alignment the slot values must map consistently (the same value of the item
 always meets the same value of the document). Built-in expressions only.
@@ -9,7 +10,7 @@ always meets the same value of the document). Built-in expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import bind, written
@@ -18,8 +19,10 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: Aligned windows that make a passage of the item even if the item is longer: 13 words in a row.
 PASSAGE = 13 - WINDOW + 1
-#: A window must have so many words that are not slots.
+#: A window with fewer words that are not slots must agree in its slot values too.
 LITERALS = 3
+#: Alignments that differ by at most so many words belong to one passage.
+NEAR = WINDOW
 #: Rows of benchmark windows that may be broadcast (some 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -56,94 +59,177 @@ def _slot(token: Column) -> Column:
     )
 
 
-def _windows(size: int) -> Column:
-    """(template hash, slot values) of each window of ``size`` words of the column ``_tokens``."""
-    tokens = F.col("_tokens")
-    pairs = F.transform(
-        tokens, lambda t: bind(_slot(t), lambda s: F.struct(F.coalesce(s, F.lower(t)).alias("t"), s.alias("s")))
-    )
-    n = F.size(tokens)
-
-    def cut(ps: Column) -> Column:
-        hashes = F.transform(ps, lambda p: F.xxhash64(p["t"]))
-        values = F.zip_with(ps, tokens, lambda p, t: F.when(p["s"].isNotNull(), F.lower(t)))
-        none = F.size(F.filter(ps, lambda p: p["s"].isNotNull())) == 0
-        return bind(
-            F.struct(hashes.alias("h"), values.alias("v"), none.alias("none")),
-            lambda b: F.transform(
-                F.sequence(F.lit(1), n - (size - 1)),
-                lambda i: F.struct(
-                    F.xxhash64(F.slice(b["h"], i, size)).alias("hash"),
-                    F.when(b["none"], F.lit("")).otherwise(F.array_join(F.slice(b["v"], i, size), _SEP)).alias("slots"),
-                ),
-            ),
+def _pairs(tokens: Column) -> Column:
+    """(template word, slot value) of the tokens, the value null for literal words; a run of one slot type is one."""
+    typed = F.transform(tokens, _slot)
+
+    def joined(ss: Column) -> Column:
+        n = F.size(ss)
+        begins = F.filter(
+            F.transform(ss, lambda s, i: F.when(s.isNull() | (i == 0) | ~s.eqNullSafe(F.get(ss, i - 1)), i + 1)),
+            lambda i: i.isNotNull(),
         )
 
-    return F.when(n >= size, bind(pairs, cut))
+        def pair(i: Column, end: Column) -> Column:
+            s, t = F.get(ss, i - 1), F.lower(F.get(tokens, i - 1))
+            return F.struct(
+                F.coalesce(s, t).alias("t"),
+                F.when(s.isNotNull(), F.when(end - i == 1, t).otherwise(F.lower(F.array_join(F.slice(tokens, i, end - i), " ")))).alias("v"),
+            )
+
+        return bind(begins, lambda bs: F.transform(bs, lambda i, k: pair(i, F.coalesce(F.get(bs, k + 1), n + 1))))
+
+    return bind(typed, joined)
+
+
+def _windows(size: int) -> Column:
+    """(template hash, slot values, rich) of each window of ``size`` words of the column ``_pairs``.
+
+    The hash of a window that is rich in slots is over their values too.
+    """
+    ps = F.col("_pairs")
+
+    def window(h: Column, v: Column, i: Column) -> Column:
+        slots = F.array_join(F.slice(v, i, size), _SEP)
+
+        def told(x: Column) -> Column:
+            literals = size - F.when(x == "", 0).otherwise(F.length(x) - F.length(F.translate(x, _SEP, "")) + 1)
+            rich = literals < min(LITERALS, size)
+            plain = F.xxhash64(F.slice(h, i, size))
+            return F.struct(
+                F.when(rich, F.xxhash64(plain, x)).otherwise(plain).alias("hash"), x.alias("slots"),
+                rich.alias("rich"), (literals == 0).alias("bare"),
+            )
 
+        return bind(slots, told)
 
-def _exploded(rows: DataFrame, id_name: str, size: int, prefix: str) -> DataFrame:
-    return rows.select(id_name, F.posexplode(_windows(size)).alias(f"{prefix}_at", "w")).select(
-        id_name, f"{prefix}_at", F.col("w.hash").alias("hash"), F.col("w.slots").alias(f"{prefix}_slots")
+    def literal(h: Column, i: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.slice(h, i, size)).alias("hash"), F.lit("").alias("slots"),
+            F.lit(False).alias("rich"), F.lit(False).alias("bare"),
+        )
+
+    parts = F.struct(
+        F.transform(ps, lambda p: F.xxhash64(p["t"])).alias("h"),
+        F.transform(ps, lambda p: p["v"]).alias("v"),
+        (F.size(F.filter(ps, lambda p: p["v"].isNotNull())) == 0).alias("none"),
+    )
+    places = F.sequence(F.lit(1), F.size(ps) - (size - 1))
+    cut = lambda b: F.transform(
+        places, lambda i: F.when(b["none"], literal(b["h"], i)).otherwise(window(b["h"], b["v"], i))
     )
+    return F.when(F.size(ps) >= size, bind(parts, cut))
 
 
-def _item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Windows of the items that use ``size``: all as long as a window, and one of an item that is shorter.
+def _exploded(rows: DataFrame, id_name: str, size: int, prefix: str, *more: str) -> DataFrame:
+    return rows.select(id_name, F.posexplode(_windows(size)).alias(f"{prefix}_at", "w"), *more).select(
+        id_name, f"{prefix}_at", F.col("w.hash").alias("hash"), F.col("w.slots").alias(f"{prefix}_slots"),
+        F.col("w.rich").alias(f"{prefix}_rich"), F.col("w.bare").alias(f"{prefix}_bare"), *more,
+    )
+
+
+def _forms(items: DataFrame) -> DataFrame:
+    """The items' ``_pairs`` as they stand and, ``_inside``, as they look within a sentence.
 
     A capitalised first word begins a sentence here, but may follow other words in
     a document and look like a name there: its window is there in both forms.
     """
-    own = items.filter(F.size("_tokens") >= size if size == WINDOW else F.size("_tokens") == size)
     first = F.get("_tokens", F.lit(0))
-    inside = own.filter(first.rlike(r"^\p{Lu}\p{Ll}+$")).withColumn(
-        "_tokens", F.concat(F.array(F.concat(F.lit(_MARK), first)), F.slice("_tokens", 2, size))
-    )
-    every = _exploded(own, "item_id", size, "item").unionByName(
-        _exploded(inside, "item_id", size, "item").filter("item_at = 0")
-    )
-    slots = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", _SEP)))
-    return every.filter(F.lit(size) - slots >= min(LITERALS, size))
+    named = F.concat(F.array(F.concat(F.lit(_MARK), first)), F.slice("_tokens", F.lit(2), F.size("_tokens")))
+    inside = items.filter(first.rlike(r"^\p{Lu}\p{Ll}+$")).withColumn("_tokens", named).withColumn("_inside", F.lit(True))
+    both = items.withColumn("_inside", F.lit(False)).unionByName(inside)
+    return both.select("item_id", _pairs(F.col("_tokens")).alias("_pairs"), "_inside")
+
+
+def _item_windows(forms: DataFrame, size: int) -> DataFrame:
+    """Windows of the items that use ``size``: all as long as a window, and one of an item that is shorter."""
+    own = forms.filter(F.size("_pairs") >= size if size == WINDOW else F.size("_pairs") == size)
+    every = _exploded(own, "item_id", size, "item", "_inside")
+    return every.filter("(not _inside or item_at = 0) and not item_bare").drop("_inside", "item_bare")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and item whose templates share a window.
 
-    Columns: ``doc_id``, ``item_id``, ``n_windows`` (of the item), ``n_aligned``
-    (the most of them that the document has along one alignment),
-    ``n_slots``, ``n_changed`` and ``n_conflicts`` (slot values of the item, those
-    that differ, and those that meet several values), ``similarity``, ``kind``
-    (exact, changed or partial) and ``leaked``. Null texts have no windows,
-    repeated rows of a ``doc_id`` count together, an empty table on either side
-    gives no rows, and extra columns are not read. An item shorter than a window
-    is one window of its own length; an item of slots alone is never found.
+    Columns: ``doc_id``, ``item_id``, ``n_windows`` (of the item, without those rich
+    in slots unless it has no others), ``n_aligned`` (the most of them that the
+    document has along one alignment), ``n_slots``, ``n_changed`` and
+    ``n_conflicts`` (slot values of the item in all hits, those that differ, and
+    those that meet several values), ``similarity`` (the share of the windows in
+    the best passage), ``kind`` (exact, changed or partial) and ``leaked``: one
+    alignment, or one passage of neighbouring alignments, has enough of the item's
+    windows and consistent slot values. Null texts have no windows, repeated rows
+    of a ``doc_id`` count together, an empty table on either side gives no rows,
+    and extra columns are not read. An item shorter than a window is one window of
+    its own length; an item of slots alone is never found.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    items = items.select("item_id", _tokens(text).alias("_tokens"))
-    docs = docs.select("doc_id", _tokens(text).alias("_tokens"))
-    sizes = sorted(r[0] for r in items.select(F.least(F.size("_tokens"), F.lit(WINDOW))).distinct().collect() if r[0])
-    hits = None
+    forms = _forms(items.select("item_id", _tokens(text).alias("_tokens")))
+    docs = docs.select("doc_id", _tokens(text).alias("_tokens")).select("doc_id", _pairs(F.col("_tokens")).alias("_pairs"))
+    sizes = sorted(r[0] for r in forms.select(F.least(F.size("_pairs"), F.lit(WINDOW))).distinct().collect() if r[0])
+    hits = totals = None
     for size in sizes or [WINDOW]:
-        wanted = _item_windows(items, size)
+        wanted = _item_windows(forms, size)
+        own = wanted.select("item_id", "item_at", "item_rich")
+        totals = own if totals is None else totals.unionByName(own)
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        own = _exploded(docs, "doc_id", size, "doc").join(wanted, "hash")
+        own = _exploded(docs, "doc_id", size, "doc").drop("doc_rich", "doc_bare").join(wanted, "hash")
         hits = own if hits is None else hits.unionByName(own)
-    totals = None
-    for size in sizes or [WINDOW]:
-        own = _item_windows(items, size).groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-        totals = own if totals is None else totals.unionByName(own)
+    plain = F.when(~F.col("item_rich"), F.col("item_at"))
+    totals = totals.groupBy(F.col("item_id").alias("_of")).agg(
+        F.countDistinct("item_at").alias("_every"), F.size(F.collect_set(plain)).alias("_plain")
+    )
     hits = written(hits, "template-hits")
     key = ["doc_id", "item_id"]
-    aligned = (
-        hits.groupBy(*key, (F.col("doc_at") - F.col("item_at")).alias("_shift"))
-        .agg(F.countDistinct("item_at").alias("n"))
-        .groupBy(*key)
-        .agg(F.max("n").alias("n_aligned"))
+    # An alignment is one shift; the shifts of a passage follow one another in steps of NEAR at most.
+    shifts = Window.partitionBy(*key).orderBy("_shift")
+    step = F.col("_shift") - F.lag("_shift").over(shifts)
+    placed = hits.withColumn("_shift", F.col("doc_at") - F.col("item_at")).withColumn("_new", (step > NEAR).cast("int"))
+    placed = placed.withColumn("_passage", F.sum(F.coalesce("_new", F.lit(0))).over(shifts))
+    inside = Window.partitionBy(*key, "_passage")
+    single = F.min("_shift").over(inside) == F.max("_shift").over(inside)
+    groups = F.when(F.col("_single"), F.array(F.struct(F.lit(True).alias("one"), F.col("_shift").cast("long").alias("at")))).otherwise(
+        F.array(
+            F.struct(F.lit(True).alias("one"), F.col("_shift").cast("long").alias("at")),
+            F.struct(F.lit(False).alias("one"), F.col("_passage").cast("long").alias("at")),
+        )
+    )
+    values = F.when(
+        F.col("item_slots") != "",
+        F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split("doc_slots", _SEP).alias("b")),
+    )
+    judged = (
+        placed.withColumn("_single", single)
+        .select(*key, "item_at", "item_rich", values.alias("_values"), F.explode(groups).alias("g"))
+        .groupBy(*key, "g")
+        .agg(
+            F.size(F.collect_set("item_at")).alias("n_every"),
+            F.size(F.collect_set(plain)).alias("n_plain"),
+            F.array_distinct(F.flatten(F.collect_set("_values"))).alias("_values"),
+        )
+    )
+    names = lambda ps: F.array_distinct(F.transform(ps, lambda p: p["a"]))
+    torn = F.filter(names(F.col("_values")), lambda a: F.size(F.filter("_values", lambda p: p["a"] == a)) > 1)
+    judged = judged.join(totals, F.col("item_id").eqNullSafe(F.col("_of"))).withColumns(
+        {
+            "n_own": F.when(F.col("_plain") > 0, F.col("n_plain")).otherwise(F.col("n_every")),
+            "n_windows": F.when(F.col("_plain") > 0, F.col("_plain").cast("long")).otherwise(F.col("_every")),
+            "whole": ((F.col("_plain") > 0) & (F.col("n_plain") >= SIMILARITY * F.col("_plain")))
+            | (F.col("n_every") >= SIMILARITY * F.col("_every")),
+            "consistent": F.size(torn) * 5 <= F.size(names(F.col("_values"))),
+            "same": F.size(F.filter("_values", lambda p: p["a"] != p["b"])) == 0,
+        }
     )
-    pairs = hits.filter("item_slots <> ''").select(
-        *key, F.explode(F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split("doc_slots", _SEP).alias("b"))).alias("p")
+    aligned = judged.groupBy(*key).agg(
+        F.first("n_windows").alias("n_windows"),
+        F.max(F.when(F.col("g.one"), F.col("n_own").cast("long"))).alias("n_aligned"),
+        F.max("n_own").alias("_best"),
+        F.bool_or("whole").alias("whole"),
+        F.bool_or(F.col("whole") & F.col("same")).alias("same"),
+        F.bool_or((F.col("whole") | (F.col("n_every") >= PASSAGE)) & F.col("consistent")).alias("leaked"),
     )
+    pairs = hits.filter("item_slots <> ''").select(*key, F.explode(values).alias("p"))
     slots = (
         pairs.groupBy(*key, F.col("p.a").alias("a"))
         .agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
@@ -154,18 +240,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.count_if(F.col("low") != F.col("high")).alias("n_conflicts"),
         )
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item"))
-    out = aligned.join(slots, same, "left")
-    totals = totals.withColumnRenamed("item_id", "_of")
-    out = out.join(totals, F.col("item_id").eqNullSafe(F.col("_of")))
-    out = out.fillna(0, ["n_slots", "n_changed", "n_conflicts"])
-    whole = F.col("n_aligned") >= SIMILARITY * F.col("n_windows")
-    consistent = F.col("n_conflicts") * 5 <= F.col("n_slots")
+    both = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item"))
+    out = aligned.join(slots, both, "left").fillna(0, ["n_slots", "n_changed", "n_conflicts"])
     return out.select(
         *key, "n_windows", "n_aligned", "n_slots", "n_changed", "n_conflicts",
-        F.round(F.col("n_aligned") / F.col("n_windows"), 6).alias("similarity"),
-        F.when(~whole, F.lit("partial")).when(F.col("n_changed") > 0, F.lit("changed")).otherwise(F.lit("exact")).alias("kind"),
-        ((whole | (F.col("n_aligned") >= PASSAGE)) & consistent).alias("leaked"),
+        F.round(F.col("_best") / F.col("n_windows"), 6).alias("similarity"),
+        F.when(~F.col("whole"), F.lit("partial")).when(F.col("same"), F.lit("exact")).otherwise(F.lit("changed")).alias("kind"),
+        "leaked",
     )
 
 

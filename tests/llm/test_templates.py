@@ -72,3 +72,31 @@ def test_edges(spark):
     assert T.matches(docs, items.limit(0)).count() == 0
     named = docs.withColumnRenamed("text", "t").selectExpr("doc_id", "t AS text", "'x' AS item_id", "1 AS size")
     assert T.decontaminate(named, items).columns == named.columns
+
+
+def test_one_alignment_is_enough(spark):
+    one = ITEMS[0][1]
+    other = one.replace("12", "13").replace("5 of", "6 of")
+    out = found(spark, [(1, f"{one} {other}"), (2, f"{other} Then {one}")])
+    assert out[1, 1]["leaked"] and out[1, 1]["kind"] == "exact" and out[1, 1]["n_conflicts"] > 0
+    assert out[2, 1]["leaked"]
+
+
+def test_values_of_several_words(spark):
+    plain = "the quick brown fox jumps over a lazy dog while seven old wizards watch quietly from behind that tall wall near our house today".split()
+    item = "On the farm Bob sold 30 large eggs to each of his friends and kept the rest in one big wooden box for later"
+    assert len(plain) == 24
+    docs = [
+        (1, " ".join([*plain[:12], "really", *plain[12:]])),
+        (2, item.replace("Bob", "Mary Ann")),
+        (3, item.replace("30", "twenty five")),
+    ]
+    out = found(spark, docs, [(1, " ".join(plain)), (2, item)])
+    assert out[1, 1]["leaked"] and out[2, 2]["leaked"] and out[3, 2]["leaked"]
+    assert out[2, 2]["kind"] == out[3, 2]["kind"] == "changed"
+
+
+def test_items_rich_in_slots(spark):
+    items = [(1, "Two plus two"), (2, "Add 12 to 30"), (3, "12")]
+    out = found(spark, [(1, "say two plus two here"), (2, "please add 12 to 30 now"), (3, "add 13 to 31"), (4, "12 men")], items)
+    assert {k for k, r in out.items() if r["leaked"]} == {(1, 1), (2, 2)}
