@@ -30,10 +30,29 @@ PHONE = (
     r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])"
     r"[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
 )
-ABROAD = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+_OTHERS = rf"(?!{EMAIL}|{IPV4}|{DATE}|{SSN})"
+#: No 16 digits before here that only a phone's separators part; loops are not allowed in a look-behind.
+_FITS = "(?<!" + r"[ .()-]{0,3}".join(["[0-9]"] * 16) + r"\)?)"
+# At most 15 digits, and from the third group on none that begins another value.
+ABROAD = (
+    r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2}"
+    rf"(?:[ .-]?{_OTHERS}\(?[0-9]{{2,5}}\)?){{0,3}}(?![0-9A-Za-z]){_FITS}"
+)
+# A number in one of a card's usual groupings is looked for wherever a group begins, as another
+# number may stand before or behind it; any other grouping must be the whole run of digits.
+GROUPED = "|".join(
+    rf"[0-9]{{{n[0]}}}" + "".join(rf"{sep}[0-9]{{{k}}}" for k in n[1:])
+    for n in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
+    for sep in " -"
+)
+CANDIDATE = rf"(?<![0-9A-Za-z])(?=((?:[0-9]{{13,19}}|{GROUPED})(?![0-9A-Za-z]|[._%+-]*[A-Za-z0-9._%+-]*@)))"
+SHORTER = rf"(?<![0-9A-Za-z])(?=([0-9]{{4}}(?:(?: [0-9]{{4}}){{3}}|(?:-[0-9]{{4}}){{3}})(?![0-9A-Za-z])))"
+CARD = rf"(?<![0-9A-Za-z])[0-9](?:(?:[ -]{_OTHERS}(?!{PHONE}))?[0-9]){{12,18}}(?![0-9A-Za-z])"
 KINDS = {"email": EMAIL, "ip": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "abroad": ABROAD, "card": CARD}
-ANY = "|".join(KINDS.values())
+#: Stands around a card's number that has been replaced; a noncharacter of Unicode.
+_MARK = "\ufdd0"
+DONE = rf"{_MARK}[0-9 -]{{13,24}}{_MARK}"
+ANY = "|".join([DONE, *KINDS.values()])
 
 #: Days of the calendar's 400-year cycle: 146097 = 189 * 773.
 CYCLE, HIGH, LOW = 146097, 189, 773
@@ -232,14 +251,37 @@ def _found(value: Column, key: str) -> Column:
             lambda p: F.struct(F.when(p.isNotNull(), F.lit(kind)).alias("kind"), p.alias("to")),
         )
 
-    out = None
+    done = F.struct(F.lit("card").alias("kind"), F.translate(value, _MARK, "").alias("to"))
+    out = F.when(value.startswith(_MARK), done)
     for kind, pattern in KINDS.items():
-        hit = named(kind)
-        test = value.rlike(f"^(?:{pattern})$")
-        out = F.when(test, hit) if out is None else out.when(test, hit)
+        out = out.when(value.rlike(f"^(?:{pattern})$"), named(kind))
     return out
 
 
+def _cards_replaced(text: Column, key: str) -> Column:
+    """``text`` with the valid numbers in a card's grouping replaced, between marks."""
+    candidates = F.array_distinct(
+        F.concat(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in (CANDIDATE, SHORTER)])
+    )
+    valid = F.filter(
+        F.transform(candidates, lambda v: F.struct(v.alias("value"), _card(v, key).alias("to"))),
+        lambda c: c["to"].isNotNull(),
+    )
+
+    def replaced(cards: Column) -> Column:
+        return F.aggregate(
+            cards,
+            text,
+            lambda t, c: F.regexp_replace(
+                t,
+                F.concat(F.lit(f"(?<![0-9A-Za-z{_MARK}])"), c["value"], F.lit("(?![0-9A-Za-z])")),
+                F.concat(F.lit(_MARK), c["to"], F.lit(_MARK)),
+            ),
+        )
+
+    return bind(valid, lambda cards: F.when(F.size(cards) > 0, replaced(cards)).otherwise(text))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("_found", lambda f: f["hit"]["kind"] == kind)).cast("long")
 
@@ -254,19 +296,19 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     permutation: keep it secret, and the same for texts that are to stay linked.
     """
     found = F.transform(
-        F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY), F.lit(0)),
+        F.regexp_extract_all(F.coalesce(F.col("_marked"), F.lit("")), F.lit(ANY), F.lit(0)),
         lambda v: F.struct(v.alias("value"), _found(v, key).alias("hit")),
     )
     new = F.zip_with(
-        F.split("text", ANY, -1),
+        F.split("_marked", ANY, -1),
         F.concat(F.transform("_found", lambda f: F.coalesce(f["hit"]["to"], f["value"])), F.array(F.lit(""))),
         lambda piece, to: F.concat(piece, to),
     )
     counts = {f"n_{kind}": _count_of(kind) for kind in KINDS}
-    rows = docs.withColumn("_found", found)
+    rows = docs.withColumn("_marked", _cards_replaced(F.col("text"), key)).withColumn("_found", found)
     return rows.withColumns(
         {"text": F.when(F.size("_found") > 0, F.array_join(new, "")).otherwise(F.col("text")), **counts}
-    ).drop("_found")
+    ).drop("_found", "_marked")
 
 
 def pseudonym_rows(docs: DataFrame) -> DataFrame:

@@ -76,3 +76,24 @@ def test_edges(spark):
         (str(r["doc_id"]), str(r["text"])) for r in docs.collect()
     )
     assert P.pseudonymise(empty_documents(spark)).count() == 0
+
+
+def test_numbers_beside_a_value(spark):
+    card, phone = "4041894974608795", "+44 20 7946 0958"
+    alone = run(spark, [card, "4041-8949-7460-8795", phone, "2024-05-01", "988-555-2485", "123-45-6789"])
+    new, dashed, abroad, date, home, ssn = (alone[i]["text"] for i in range(6))
+    cases = [
+        (f"{card} 12 apples", f"{new} 12 apples"),
+        ("4041-8949-7460-8795 123", f"{dashed} 123"),
+        ("4041 8949 7460 8795 123", f"{dashed.replace('-', ' ')} 123"),
+        (f"7 {card}", f"7 {new}"),
+        ("1234 4041 8949 7460 8795", f"1234 {dashed.replace('-', ' ')}"),
+        (f"{card} {card}", f"{new} {new}"),
+        (f"{phone} 2024-05-01", f"{abroad} {date}"),
+        (f"{phone} 123-45-6789", f"{abroad} {ssn}"),
+        ("order 123 988-555-2485", f"order 123 {home}"),
+        (f"{card} 123-45-6789, 988-555-2485", f"{new} {ssn}, {home}"),
+    ]
+    out = run(spark, [a for a, _ in cases])
+    assert [out[i]["text"] for i in range(len(cases))] == [b for _, b in cases]
+    assert out[5]["n_card"] == 2 and out[6]["n_date"] == out[6]["n_abroad"] == 1
