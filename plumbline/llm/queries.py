@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, licenses, packing, pseudonyms, quality, simhash, substrings, templates, token_store, toxicity
+from plumbline.llm import (
+    chat,
+    licenses,
+    packing,
+    pseudonyms,
+    quality,
+    repair,
+    search,
+    simhash,
+    substrings,
+    templates,
+    token_store,
+    toxicity,
+    warc,
+)
 from plumbline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +66,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_shared_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_rows(table(spark, sf_dir, "conversations"))
+
+
+def op13_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_rows(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rans_token_files": op1_rans_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -63,9 +89,14 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_snapshot_collapse": op9_chat_snapshot_collapse,
     "op10_gated_recurrent_toxicity": op10_gated_recurrent_toxicity,
+    "op11_shared_ranked_search": op11_shared_ranked_search,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_seekable_warc": op13_seekable_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.QUALITY_SQL,
     "op9_chat_snapshot_collapse": chat.RENDER_SQL,
+    "op11_shared_ranked_search": search.SEARCH_SQL,
+    "op13_seekable_warc": warc.WARC_SQL,
 }
