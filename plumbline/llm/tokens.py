@@ -2,25 +2,28 @@
 
 The ids are those of the ``tokenizers`` library. Texts in prose repeat their
 words, and in a byte-level BPE a single space followed by other than white space
-always begins a token of its own. So a text is cut there, each distinct piece is
-encoded once by the library and kept, and the pieces' ids are joined. A text in
-which a piece begins or ends in white space is given to the library as a whole.
+always begins a token of its own. So the texts of a batch are cut there, and a
+piece that is a Latin word with full stops or commas behind it is cut again, as no
+token spans these. Each distinct part is encoded once by the library and kept in a
+pool of ids, and the ids of the texts are gathered from there, all in arrays. A text
+in which a piece begins or ends in white space is given to the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: Pieces kept per Python worker (some 200 bytes each); when full they are forgotten and encoded again.
-KEPT_PIECES = 1_000_000
-#: Longer pieces are encoded each time.
-LONGEST_KEPT = 64
+#: Parts kept per Python worker, and their characters; when full they are forgotten and encoded again.
+KEPT_PARTS = 1_000_000
+KEPT_CHARS = 32_000_000
 
-#: A Latin word with commas or full stops behind it: a token never spans the two parts.
-_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]+)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]*))?\Z")
+_LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
+#: A Latin word, full stops or commas, and perhaps a line break with another word: a token never spans two of these.
+_TAILED = rf"\A(?P<a>{_LETTERS})(?P<b>[.,]+)(?:(?P<c>\n)(?P<d>{_LETTERS})(?P<e>[.,]*))?\z"
+#: Pieces that begin or end in white space or control characters, or are empty.
+_SPACED = r"\A\z|\A[\pZ\x00-\x20\x7F-\xA0]|[\pZ\x00-\x20\x7F-\xA0]\z"
 
 
 def default_vocabulary() -> str:
@@ -29,95 +32,128 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that ``codes`` name, one behind the other."""
+    own = lengths[codes]
+    ends = np.cumsum(own)
+    shift = np.repeat(starts[codes] - (ends - own), own)
+    return ids[shift + np.arange(len(shift))]
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, keeping the ids of frequent pieces."""
+    """Encodes texts to little-endian unsigned 32-bit ids, keeping the ids of frequent parts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
-        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place = {"": 0}
+        self.chars = 0
+        self.ids = np.zeros(0, "<u4")
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _behind_space(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece with a space before it, of many pieces in one call."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.begins[ids]) * 4
-            if len(cuts) != len(some):
-                out += self._library([" " + p for p in some])
-                continue
-            raw, ends = ids.tobytes(), [*cuts[1:].tolist(), ids.nbytes]
-            out += [raw[a:b] for a, b in zip(cuts.tolist(), ends, strict=True)]
-        return out
-
-    def _tail(self, text: str) -> bytes:
-        if text not in self.tails:
-            self.tails[text] = self._library([text])[0]
-        return self.tails[text]
-
-    def _learn(self, new: set[str]) -> None:
-        """Keep the ids of pieces; a piece is a text between spaces, and stands behind one."""
-        split: dict[str, re.Match] = {}
-        behind: dict[str, None] = {}
-        lines: dict[str, None] = {}
-        for piece in new:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.pieces[piece] = None
-                continue
-            m = _TAILED.match(piece)
-            if not m:
-                behind[piece] = None
-                continue
-            split[piece] = m
-            if m[1] not in self.pieces:
-                behind[m[1]] = None
-            if m[3]:
-                lines[m[4]] = None
-        texts = list(behind)
-        self.pieces.update(zip(texts, self._behind_space(texts), strict=True))
-        firsts = dict(zip(lines, self._library(list(lines)), strict=True))
-        for piece, m in split.items():
-            out = self.pieces[m[1]] + self._tail(m[2])
-            if m[3]:
-                out += self._tail("\n") + firsts[m[4]] + (self._tail(m[5]) if m[5] else b"")
-            self.pieces[piece] = out
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _behind_space(self, parts: list[str]) -> list[np.ndarray]:
+        """The ids of parts that begin with a space, of many in one call: the ids and where each part's begin."""
+        ids = np.array(self.library.encode("".join(parts), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) == len(parts):
+            return [ids, np.diff(cuts, append=len(ids))]
+        own = self._library(parts)
+        return [np.concatenate(own), np.array([len(x) for x in own])]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put the ids of new parts into the pool."""
+        spaced = [p for p in parts if p[0] == " "]
+        others = [p for p in parts if p[0] != " "]
+        ids, lengths = [self.ids], [self.lengths]
+        for at in range(0, len(spaced), 2000):
+            some, own = self._behind_space(spaced[at : at + 2000])
+            ids.append(some)
+            lengths.append(own)
+        own = self._library(others)
+        ids += own
+        lengths.append(np.array([len(x) for x in own], np.int64))
+        self.place.update(zip(spaced + others, range(len(self.place), len(self.place) + len(parts)), strict=True))
+        self.chars += sum(map(len, parts))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _places(self, columns: list) -> np.ndarray:
+        """The pool's places of the parts in ``columns``, a row for each piece."""
+        coded = [c.dictionary_encode() for c in columns]
+        parts = [c.dictionary.to_pylist() for c in coded]
+        needed = set().union(*parts)
+        new = [p for p in needed if p not in self.place]
+        if len(self.place) + len(new) > KEPT_PARTS or self.chars > KEPT_CHARS:
+            self._forget()
+            new = [p for p in needed if p]
+        if new:
+            self._learn(new)
+        found = [np.fromiter(map(self.place.__getitem__, p), np.int64, len(p)) for p in parts]
+        return np.stack([f[c.indices.to_numpy()] for f, c in zip(found, coded, strict=True)], axis=1)
+
+    def _pieces(self, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces behind a space, one behind the other, and each piece's number of ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tailed = pc.extract_regex(pieces, _TAILED)
+        field = lambda n: pc.fill_null(pc.struct_field(tailed, n), "")
+        word = pc.if_else(pc.is_null(tailed), pieces, field("a"))
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        codes = self._places([pc.binary_join_element_wise(space, word, nothing), *(field(n) for n in "bcde")])
+        return _gathered(self.ids, self.starts, self.lengths, codes.ravel()), self.lengths[codes].sum(axis=1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without special tokens; a null text has none."""
-        cut = [(t or "").split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            new.update(parts[1:])
-        new -= self.pieces.keys()
-        if len(self.pieces) + len(new) > KEPT_PIECES:
-            self.pieces.clear()
-            new = set().union(*(parts[1:] for parts in cut))
-        if new:
-            self._learn(new)
-        firsts = self._library([parts[0] for parts in cut])
-        out, get = [], self.pieces.__getitem__
-        for text, first, parts in zip(texts, firsts, cut, strict=True):
-            if parts[0] and parts[0][-1].isspace():
-                out.append(self._library([text])[0])
-                continue
-            try:
-                out.append(first + b"".join(map(get, parts[1:])))
-            except TypeError:
-                out.append(self._library([text])[0])
-        for piece in [p for p in new if len(p) > LONGEST_KEPT]:
-            self.pieces.pop(piece, None)
-        return out
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        offsets = np.asarray(cut.offsets)
+        n_pieces = np.diff(offsets)
+        coded = cut.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        firsts = offsets[:-1] - offsets[0]
+        spaced = pc.match_substring_regex(distinct, _SPACED).to_numpy(zero_copy_only=False)
+
+        # A first piece stands behind no space: its ids are its own, and it may be empty or begin in white space.
+        inner = np.ones(len(codes), bool)
+        inner[firsts] = False
+        odd = spaced[codes] & inner
+        begin = [parts[0] for parts in (t.split(" ", 1) if t else [""] for t in texts)]
+        whole = np.logical_or.reduceat(odd, firsts) | np.array([b[-1:].isspace() for b in begin])
+        usable = inner & np.repeat(~whole, n_pieces)
+        used = np.zeros(len(distinct), bool)
+        used[codes[usable]] = True
+        ids, lengths = self._pieces(distinct.take(pa.array(np.flatnonzero(used)))) if used.any() else (self.ids[:0], np.zeros(0, np.int64))
+
+        own = self._library([t if w else b for t, b, w in zip(texts, begin, whole, strict=True)])
+        renumbered = np.cumsum(used) - 1
+        place = np.where(usable, renumbered[codes], 0)
+        place[firsts] = len(lengths) + np.arange(len(texts))
+        keep = usable.copy()
+        keep[firsts] = True
+        all_lengths = np.concatenate([lengths, [len(x) for x in own]]).astype(np.int64)
+        starts = np.cumsum(all_lengths) - all_lengths
+        flat = _gathered(np.concatenate([ids, *own]).astype("<u4"), starts, all_lengths, place[keep])
+        sizes = np.where(keep, all_lengths[place], 0)
+        ends = np.cumsum(np.add.reduceat(sizes, firsts)) * 4
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -130,7 +166,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded_batches(batches, path: str, budget: int = 4_000_000):
+def encoded_batches(batches, path: str, budget: int = 6_000_000):
     """(record batch rows, ids) from Arrow batches with ``text``, at most about ``budget`` characters at a time."""
     coder = encoder(path)
     for batch in batches:
