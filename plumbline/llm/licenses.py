@@ -98,11 +98,14 @@ class Words:
         at = np.cumsum([8, *(len(r) + 1 for r in raw)])
         self.first = np.searchsorted(self.begin, at)  # the first word of each text, and the end
         self.counts = np.diff(self.first)
+        self.code = self.hashed()
+
+    def hashed(self) -> np.ndarray:
         size = self.end - self.begin
         eight = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, strides=(1,))
         head = eight[self.begin] & _MASKS[np.minimum(size, 8)]
         tail = np.where(size > 8, eight[np.maximum(self.end - 8, 0)], np.uint64(0))
-        self.code = (head * _P1) ^ (tail * _P2) ^ (size.astype(np.uint64) * _P3)
+        return (head * _P1) ^ (tail * _P2) ^ (size.astype(np.uint64) * _P3)
 
     def text(self, a: int, b: int) -> list[bytes]:
         return [self.buffer[i:j] for i, j in zip(self.begin[a:b], self.end[a:b], strict=True)]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import bind
+from plumbline.llm.shared import bind, shielded
 
 ROUNDS = 10
 KEY = "plumbline-default-key"
@@ -51,6 +51,8 @@ CARD = rf"(?<![0-9A-Za-z])[0-9](?:(?:[ -]{_OTHERS}(?!{PHONE}))?[0-9]){{12,18}}(?
 KINDS = {"email": EMAIL, "ip": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "abroad": ABROAD, "card": CARD}
 #: Stands around a card's number that has been replaced; a noncharacter of Unicode.
 _MARK = "\ufdd0"
+#: Noncharacters that stand for a mark of the input, with ``_ESCAPE`` before them.
+_ESCAPE, _AS_MARK, _AS_ESCAPE = "\ufdd1", "\ufdd2", "\ufdd3"
 DONE = rf"{_MARK}[0-9 -]{{13,24}}{_MARK}"
 ANY = "|".join([DONE, *KINDS.values()])
 
@@ -286,6 +288,17 @@ def _count_of(kind: str) -> Column:
     return F.size(F.filter("_found", lambda f: f["hit"]["kind"] == kind)).cast("long")
 
 
+def _escaped(text: Column) -> Column:
+    """``text`` without ``_MARK``, so that a mark always is one of ours."""
+    whole = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _AS_ESCAPE)), F.lit(_MARK), F.lit(_ESCAPE + _AS_MARK))
+    return F.when(text.contains(_MARK) | text.contains(_ESCAPE), whole).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    whole = F.replace(F.replace(text, F.lit(_ESCAPE + _AS_MARK), F.lit(_MARK)), F.lit(_ESCAPE + _AS_ESCAPE), F.lit(_ESCAPE))
+    return F.when(text.contains(_ESCAPE), whole).otherwise(text)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` rewritten and a count ``n_<kind>`` of the values replaced.
 
@@ -295,6 +308,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     for columns named as the counts, which are replaced. ``key`` decides the
     permutation: keep it secret, and the same for texts that are to stay linked.
     """
+    return shielded(docs, ("_marked", "_found"), lambda rows: _pseudonymised(rows, key))
+
+
+def _pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     found = F.transform(
         F.regexp_extract_all(F.coalesce(F.col("_marked"), F.lit("")), F.lit(ANY), F.lit(0)),
         lambda v: F.struct(v.alias("value"), _found(v, key).alias("hit")),
@@ -305,10 +322,17 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         lambda piece, to: F.concat(piece, to),
     )
     counts = {f"n_{kind}": _count_of(kind) for kind in KINDS}
-    rows = docs.withColumn("_marked", _cards_replaced(F.col("text"), key)).withColumn("_found", found)
-    return rows.withColumns(
-        {"text": F.when(F.size("_found") > 0, F.array_join(new, "")).otherwise(F.col("text")), **counts}
-    ).drop("_found", "_marked")
+    rows = docs.withColumn("_marked", _cards_replaced(_escaped(F.col("text")), key)).withColumn("_found", found)
+    changed = _unescaped(F.array_join(new, ""))
+    return rows.withColumns({"text": F.when(F.size("_found") > 0, changed).otherwise(F.col("text")), **counts}).drop(
+        "_found", "_marked"
+    )
+
+
+def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with ``text`` rewritten and nothing added: columns named as the counts stay as they are."""
+    names = tuple(f"n_{kind}" for kind in KINDS)
+    return shielded(docs, names, lambda rows: pseudonymise(rows, key).select(rows.columns))
 
 
 def pseudonym_rows(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import bind, words_of
+from plumbline.llm.shared import bind, shielded, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -87,8 +87,19 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(WINDOW), lambda s, x: s + x).cast("long")
 
 
+HELPERS = ("_words", "_lines", "_windows", "_pairs", "_starts")
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_capitals", "n_exclamations", "n_stop_words", "n_lines", "n_dup_lines",
+    "n_bullet_lines", "n_ellipsis_lines", "n_repeat_words", "base_failed", "failed", "kept", "_kept",
+)
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the counted columns; a null text counts as one without words."""
+    return shielded(docs, HELPERS, _counted)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn("_words", words_of(text)).withColumn(
         "_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -150,10 +161,14 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The verdict is taken with a row number that never changes it: a filter on
     plain expressions would move below the projection and count everything again
-    for each rule.
+    for each rule. Columns named as the counts stay as they are.
     """
-    judged = judge(docs).withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
-    return judged.filter("_kept").select(docs.columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        judged = judge(rows).withColumn("_kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
+        return judged.filter("_kept").select(rows.columns)
+
+    return shielded(docs, HELPERS + RESULTS, kept)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -53,6 +53,14 @@ def ship(spark: SparkSession) -> None:
     sc._plumbline_shipped = True
 
 
+def shielded(docs: DataFrame, helpers: tuple[str, ...], work) -> DataFrame:
+    """``work(docs)``, whose helper columns have these names, with input columns of the same names put aside."""
+    clash = {c: f"{c}_of_input_{i}" for i, c in enumerate(docs.columns) if c.lower() in helpers}
+    if not clash:
+        return work(docs)
+    return work(docs.withColumnsRenamed(clash)).withColumnsRenamed({v: k for k, v in clash.items()})
+
+
 def words_of(text: Column) -> Column:
     """The maximal runs of other than white space."""
     return F.filter(F.split(text, SPACE), lambda x: x != "")

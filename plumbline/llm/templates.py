@@ -17,7 +17,7 @@ from plumbline.llm.shared import bind, written
 
 WINDOW = 5
 SIMILARITY = 0.8
-#: Aligned windows that make a passage of the item even if the item is longer: 13 words in a row.
+#: Windows in a row that make a passage of the item even if the item is longer: 13 words in a row.
 PASSAGE = 13 - WINDOW + 1
 #: A window with fewer words that are not slots must agree in its slot values too.
 LITERALS = 3
@@ -43,8 +43,8 @@ _SEP = "\u0001"
 
 def _tokens(text: Column) -> Column:
     """Letter and digit runs; a name within a sentence carries a mark, decimals are one token."""
-    flat = F.regexp_replace(F.translate(text, _MARK, " "), r"(?<=[0-9])[.,](?=[0-9])", "")
-    named = F.regexp_replace(flat, r"(?<=[\p{L}\p{N},;]\x20)(\p{Lu}\p{Ll}+)", _MARK + "$1")
+    flat = F.regexp_replace(F.translate(text, _MARK, " "), r"[.,](?<=[0-9][.,])(?=[0-9])", "")
+    named = F.regexp_replace(flat, r"(\p{Lu}(?<=[\p{L}\p{N},;]\x20\p{Lu})\p{Ll}+)", _MARK + "$1")
     return F.filter(F.split(named, rf"[^\p{{L}}\p{{N}}{_MARK}]+"), lambda x: x != "")
 
 
@@ -53,9 +53,8 @@ def _slot(token: Column) -> Column:
     low = F.lower(token)
     return (
         F.when(token.startswith(_MARK), F.lit("<name>"))
-        .when(token.rlike("^[0-9]"), F.lit("<number>"))
-        .when(low.isin(NUMBER_WORDS), F.lit("<number>"))
-        .when(low.isin(UNITS), F.lit("<unit>"))
+        .when((token >= "0") & (token < ":"), F.lit("<number>"))  # begins with a digit
+        .when(low.isin(NUMBER_WORDS + UNITS), F.when(low.isin(UNITS), F.lit("<unit>")).otherwise(F.lit("<number>")))
     )
 
 
@@ -89,41 +88,42 @@ def _windows(size: int) -> Column:
     """
     ps = F.col("_pairs")
 
+    def plain(h: Column, i: Column) -> Column:
+        return F.xxhash64(*(F.get(h, i + k) for k in range(-1, size - 1)))
+
     def window(h: Column, v: Column, i: Column) -> Column:
         slots = F.array_join(F.slice(v, i, size), _SEP)
 
         def told(x: Column) -> Column:
-            literals = size - F.when(x == "", 0).otherwise(F.length(x) - F.length(F.translate(x, _SEP, "")) + 1)
+            literals = size - (F.length(x) - F.length(F.translate(x, _SEP, "")) + 1)
             rich = literals < min(LITERALS, size)
-            plain = F.xxhash64(F.slice(h, i, size))
             return F.struct(
-                F.when(rich, F.xxhash64(plain, x)).otherwise(plain).alias("hash"), x.alias("slots"),
+                F.when(rich, F.xxhash64(plain(h, i), x)).otherwise(plain(h, i)).alias("hash"), x.alias("slots"),
                 rich.alias("rich"), (literals == 0).alias("bare"),
             )
 
         return bind(slots, told)
 
     def literal(h: Column, i: Column) -> Column:
-        return F.struct(
-            F.xxhash64(F.slice(h, i, size)).alias("hash"), F.lit("").alias("slots"),
-            F.lit(False).alias("rich"), F.lit(False).alias("bare"),
-        )
+        return F.struct(plain(h, i).alias("hash"), F.lit("").alias("slots"), F.lit(False).alias("rich"), F.lit(False).alias("bare"))
 
     parts = F.struct(
-        F.transform(ps, lambda p: F.xxhash64(p["t"])).alias("h"),
-        F.transform(ps, lambda p: p["v"]).alias("v"),
-        (F.size(F.filter(ps, lambda p: p["v"].isNotNull())) == 0).alias("none"),
+        F.transform(ps, lambda p: F.xxhash64(p["t"])).alias("h"), F.transform(ps, lambda p: p["v"]).alias("v")
     )
     places = F.sequence(F.lit(1), F.size(ps) - (size - 1))
-    cut = lambda b: F.transform(
-        places, lambda i: F.when(b["none"], literal(b["h"], i)).otherwise(window(b["h"], b["v"], i))
-    )
-    return F.when(F.size(ps) >= size, bind(parts, cut))
+
+    def at(b: Column, i: Column) -> Column:
+        # Most windows have no slot, and then neither values nor their number are looked at.
+        none = F.coalesce(*(F.get(b["v"], i + k) for k in range(-1, size - 1))).isNull()
+        return F.when(none, literal(b["h"], i)).otherwise(window(b["h"], b["v"], i))
+
+    return F.when(F.size(ps) >= size, bind(parts, lambda b: F.transform(places, lambda i: at(b, i))))
 
 
 def _exploded(rows: DataFrame, id_name: str, size: int, prefix: str, *more: str) -> DataFrame:
-    return rows.select(id_name, F.posexplode(_windows(size)).alias(f"{prefix}_at", "w"), *more).select(
-        id_name, f"{prefix}_at", F.col("w.hash").alias("hash"), F.col("w.slots").alias(f"{prefix}_slots"),
+    ids = [id_name, "_row"] if "_row" in rows.columns else [id_name]
+    return rows.select(*ids, F.posexplode(_windows(size)).alias(f"{prefix}_at", "w"), *more).select(
+        *ids, f"{prefix}_at", F.col("w.hash").alias("hash"), F.col("w.slots").alias(f"{prefix}_slots"),
         F.col("w.rich").alias(f"{prefix}_rich"), F.col("w.bare").alias(f"{prefix}_bare"), *more,
     )
 
@@ -148,6 +148,17 @@ def _item_windows(forms: DataFrame, size: int) -> DataFrame:
     return every.filter("(not _inside or item_at = 0) and not item_bare").drop("_inside", "item_bare")
 
 
+def _longest_run(places: Column) -> Column:
+    """The length of the longest run of consecutive numbers among distinct ones."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"] + 1, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.sort_array(places), start, step, lambda s: s["best"])
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and item whose templates share a window.
 
@@ -158,14 +169,18 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     those that meet several values), ``similarity`` (the share of the windows in
     the best passage), ``kind`` (exact, changed or partial) and ``leaked``: one
     alignment, or one passage of neighbouring alignments, has enough of the item's
-    windows and consistent slot values. Null texts have no windows, repeated rows
-    of a ``doc_id`` count together, an empty table on either side gives no rows,
-    and extra columns are not read. An item shorter than a window is one window of
+    windows, or ``PASSAGE`` of them in a row, and consistent slot values. Null texts have no windows, repeated rows
+    of a ``doc_id`` count together, rows without one each on their own, an empty
+    table on either side gives no rows, and extra columns are not read. Texts of any
+    length are read whole. An item shorter than a window is one window of
     its own length; an item of slots alone is never found.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     forms = _forms(items.select("item_id", _tokens(text).alias("_tokens")))
-    docs = docs.select("doc_id", _tokens(text).alias("_tokens")).select("doc_id", _pairs(F.col("_tokens")).alias("_pairs"))
+    own_row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    docs = docs.select("doc_id", own_row.alias("_row"), _tokens(text).alias("_tokens")).select(
+        "doc_id", "_row", _pairs(F.col("_tokens")).alias("_pairs")
+    )
     sizes = sorted(r[0] for r in forms.select(F.least(F.size("_pairs"), F.lit(WINDOW))).distinct().collect() if r[0])
     hits = totals = None
     for size in sizes or [WINDOW]:
@@ -181,7 +196,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.countDistinct("item_at").alias("_every"), F.size(F.collect_set(plain)).alias("_plain")
     )
     hits = written(hits, "template-hits")
-    key = ["doc_id", "item_id"]
+    key = ["doc_id", "_row", "item_id"]
     # An alignment is one shift; the shifts of a passage follow one another in steps of NEAR at most.
     shifts = Window.partitionBy(*key).orderBy("_shift")
     step = F.col("_shift") - F.lag("_shift").over(shifts)
@@ -205,6 +220,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy(*key, "g")
         .agg(
             F.size(F.collect_set("item_at")).alias("n_every"),
+            _longest_run(F.collect_set("item_at")).alias("n_row"),
             F.size(F.collect_set(plain)).alias("n_plain"),
             F.array_distinct(F.flatten(F.collect_set("_values"))).alias("_values"),
         )
@@ -227,23 +243,24 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.max("n_own").alias("_best"),
         F.bool_or("whole").alias("whole"),
         F.bool_or(F.col("whole") & F.col("same")).alias("same"),
-        F.bool_or((F.col("whole") | (F.col("n_every") >= PASSAGE)) & F.col("consistent")).alias("leaked"),
+        F.bool_or((F.col("whole") | (F.col("n_row") >= PASSAGE)) & F.col("consistent")).alias("leaked"),
     )
     pairs = hits.filter("item_slots <> ''").select(*key, F.explode(values).alias("p"))
     slots = (
         pairs.groupBy(*key, F.col("p.a").alias("a"))
         .agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
+        .groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_doc_row"), F.col("item_id").alias("_item"))
         .agg(
             F.count("*").alias("n_slots"),
             F.count_if((F.col("low") != F.col("a")) | (F.col("high") != F.col("a"))).alias("n_changed"),
             F.count_if(F.col("low") != F.col("high")).alias("n_conflicts"),
         )
     )
-    both = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item"))
+    both = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_row").eqNullSafe(F.col("_doc_row"))
+    both = both & F.col("item_id").eqNullSafe(F.col("_item"))
     out = aligned.join(slots, both, "left").fillna(0, ["n_slots", "n_changed", "n_conflicts"])
     return out.select(
-        *key, "n_windows", "n_aligned", "n_slots", "n_changed", "n_conflicts",
+        "doc_id", "item_id", "n_windows", "n_aligned", "n_slots", "n_changed", "n_conflicts",
         F.round(F.col("_best") / F.col("n_windows"), 6).alias("similarity"),
         F.when(~F.col("whole"), F.lit("partial")).when(F.col("same"), F.lit("exact")).otherwise(F.lit("changed")).alias("kind"),
         "leaked",

@@ -21,6 +21,10 @@ from plumbline.llm.shared import ship
 SAMPLE_PER_CLASS = 1500
 SAMPLE_WINDOWS = 64
 WINDOW, STRIDE = 32, 16
+#: Bytes of a word, or of each part of a longer one.
+PART = 16
+#: Bytes of a sampled text that go to the driver as they are; of a longer one, sampled windows go.
+EXCERPT = 64 * 1024
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY = 20_000
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 0.1
@@ -29,17 +33,51 @@ CHUNK = 4096
 BUDGET = 3_000_000
 
 
+class Parts(Words):
+    """Words of a batch of texts; a longer one is cut, between characters, into parts of ``PART`` bytes at most."""
+
+    def __init__(self, texts: list[str | None]):
+        super().__init__(texts)
+        size = self.end - self.begin
+        if not (size > PART).any():
+            return
+        step = PART - 3  # a cut moves back to the beginning of its character
+        n = np.where(size > PART, -(-size // step), 1)
+        ends = np.cumsum(n)
+        k = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        data = np.frombuffer(self.buffer, np.uint8)
+        begin = np.repeat(self.begin, n) + k * step
+        for _ in range(3):
+            begin = begin - ((k > 0) & (data[begin] & 0xC0 == 0x80))
+        self.end = np.where(k == np.repeat(n, n) - 1, np.repeat(self.end, n), np.append(begin[1:], 0))
+        self.begin = begin
+        self.first = np.concatenate([[0], ends])[self.first]
+        self.counts = np.diff(self.first)
+        self.code = self.hashed()
+
+
 def characters(words: Words, at: np.ndarray) -> np.ndarray:
-    """Up to 16 bytes of each word, its first eight and its last eight beyond them; 0 where it is shorter."""
+    """The bytes of each part of a word, 0 where it is shorter than ``PART``."""
     data = np.frombuffer(words.buffer, np.uint8)
-    begin, end = words.begin[at], words.end[at]
-    head = begin[:, None] + np.arange(8)
-    tail = np.maximum(end - 8, begin + 8)[:, None] + np.arange(8)
-    places = np.concatenate([head, tail], axis=1)
-    inside = places < end[:, None]
+    places = words.begin[at][:, None] + np.arange(PART)
+    inside = places < words.end[at][:, None]
     return np.where(inside, data[np.minimum(places, len(data) - 1)], 0)
 
 
+def excerpt(text: str | None, seed: int) -> str | None:
+    """A text of at most ``EXCERPT`` bytes, or that much of its windows: ``SAMPLE_WINDOWS`` at random."""
+    if text is None or len(text.encode("utf-8", "surrogatepass")) <= EXCERPT:
+        return text
+    parts = Parts([text])
+    _, begin, size = windows_of(parts.counts, parts.first[:-1])
+    chosen = np.sort(np.random.default_rng(seed).permutation(len(begin))[:SAMPLE_WINDOWS])
+    out, done = [], 0
+    for a, n in zip(begin[chosen].tolist(), size[chosen].tolist(), strict=True):
+        out += parts.text(max(a, done), a + n)
+        done = a + n
+    return b" ".join(out).decode("utf-8", "replace")
+
+
 def windows_of(counts: np.ndarray, first: np.ndarray):
     """(text, first word, words) of the overlapping windows of texts; a text without words has an empty one."""
     n = np.maximum(1, -(-np.maximum(counts - WINDOW, 0) // STRIDE) + 1)
@@ -147,7 +185,7 @@ class _Adam:
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """A model from labelled texts; without texts of both classes it scores everything alike."""
     rng = np.random.default_rng(seed)
-    words, y = Words(texts), np.array(labels, np.float32)
+    words, y = Parts(texts), np.array(labels, np.float32)
     owner = np.repeat(np.arange(len(texts)), words.counts)
     codes, some, place = np.unique(words.code, return_index=True, return_inverse=True)
     pairs = np.unique(place.astype(np.int64) * (len(texts) + 1) + owner)
@@ -222,7 +260,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             np.add.at(grads["word"], numbers[flat], d_x[:, :WORD_DIM])
             grads["word"][0] = 0
             grads["char"] = np.zeros_like(weights["char"])
-            np.add.at(grads["char"], chars[flat].reshape(-1), np.repeat(d_x[:, WORD_DIM:] / count, 16, axis=0))
+            np.add.at(grads["char"], chars[flat].reshape(-1), np.repeat(d_x[:, WORD_DIM:] / count, PART, axis=0))
             grads["char"][0] = 0
             adam.step(weights, grads, RATE * (0.5 if epoch >= EPOCHS // 2 else 1))
     return model
@@ -230,7 +268,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     """The score of each whole text: the highest of all its overlapping windows."""
-    words = Words(texts)
+    words = Parts(texts)
     codes, some, place = np.unique(words.code, return_index=True, return_inverse=True)
     gates = model.inputs(model.numbers(codes), characters(words, some)) if len(codes) else np.zeros((1, 2, 3 * HIDDEN))
     gates = gates.astype(np.float32)
@@ -255,10 +293,11 @@ def held_out(doc_id: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model of up to ``per_class`` labelled documents of each class, those with the least hash of doc_id.
 
-    Only ids, then these documents' texts, reach the driver. Labels that are null
+    Only ids, then an excerpt of one text of each, reach the driver. Labels that are null
     or belong to no document or to the held-out fifth teach nothing; a doc_id
-    with several labels has the highest.
+    with several labels has the highest, one with several texts the one of least hash.
     """
+    ship(docs.sparkSession)
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = []
@@ -268,8 +307,19 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     if not ids:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, toxic int")
-    rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    held = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            short = [excerpt(t, abs(i) if i is not None else 0) for i, t in zip(ids, texts, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(short, pa.string()), batch.column(2)], ["doc_id", "text", "toxic"])
+
+    least = held.withColumn("h", F.xxhash64("text")).groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("h", "text")).alias("text"))
+    rows = least.select("doc_id", "text", "toxic").mapInArrow(cut, "doc_id bigint, text string, toxic int").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -4,12 +4,13 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from edges import empty_documents, odd_documents
 from plumbline.llm import quality
 from plumbline.llm.tokens import Encoder, default_vocabulary
-from test_simhash import brute_components, brute_fingerprint
+from test_near_copies import brute, shingle_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,8 +45,8 @@ def test_quality_keeps_what_sql_keeps(made):
 def test_one_document_of_each_group_stays(made):
     rows = sorted(made[1][0].collect(), key=lambda r: r["doc_id"])
     ids = [r["doc_id"] for r in rows]
-    groups = brute_components(ids, [brute_fingerprint(r["text"]) for r in rows])
-    assert sorted(r["doc_id"] for r in made[1][1].collect()) == sorted(set(groups))
+    groups = brute([shingle_set(r["text"]) for r in rows], ids)
+    assert sorted(r["doc_id"] for r in made[1][1].collect()) == sorted(set(groups.values()))
 
 
 def test_passages_go_and_clean_documents_stay(made):
@@ -75,6 +76,19 @@ def test_personal_data_and_packing(made):
         assert sum(p["length"] for p in own) == len(ids)
 
 
+def test_clashing_columns_stay(spark):
+    """Columns named as the stages' helpers and counts, through the stages that keep the table's columns."""
+    names = ["_words", "_pairs", "_kept", "_found", "_marked", "n_card", "n_words", "kept", "component_id", "leaked"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = plain.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    odd = stages(spark, docs)
+    for mine, theirs in zip(odd[:-1], stages(spark, plain)[:-1], strict=True):
+        assert mine.columns == docs.columns
+        rows = mine.collect()
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in theirs.collect())
+
+
 def test_run_and_edges(spark, made):
     assert corpus_pipeline.run(spark, SF).count() == made[1][-1].count()
     docs = odd_documents(spark).withColumnRenamed("n_words", "n_chars")

@@ -97,3 +97,15 @@ def test_numbers_beside_a_value(spark):
     out = run(spark, [a for a, _ in cases])
     assert [out[i]["text"] for i in range(len(cases))] == [b for _, b in cases]
     assert out[5]["n_card"] == 2 and out[6]["n_date"] == out[6]["n_abroad"] == 1
+
+
+def test_marks_in_the_input(spark):
+    """Noncharacters that the operator uses itself, around a card's number and alone."""
+    texts = ["\ufdd0 4111111111111111 \ufdd0", "\ufdd04111111111111111\ufdd0", "\ufdd1\ufdd2 4111 1111 1111 1111 \ufdd1\ufdd3", "a \ufdd0 b \ufdd1 c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.pseudonymise(docs).collect():
+        old, new = texts[r["doc_id"]], r["text"]
+        digits = lambda t: "".join(c for c in t if c.isdigit())
+        assert r["n_card"] == bool(digits(old))
+        assert not digits(old) or digits(old) != digits(new)
+        assert [c for c in old if not c.isdigit()] == [c for c in new if not c.isdigit()]

@@ -1,3 +1,5 @@
+import random
+
 from edges import empty_documents, odd_documents
 from plumbline.llm import templates as T
 
@@ -100,3 +102,51 @@ def test_items_rich_in_slots(spark):
     items = [(1, "Two plus two"), (2, "Add 12 to 30"), (3, "12")]
     out = found(spark, [(1, "say two plus two here"), (2, "please add 12 to 30 now"), (3, "add 13 to 31"), (4, "12 men")], items)
     assert {k for k, r in out.items() if r["leaked"]} == {(1, 1), (2, 2)}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    item = "Alice bought 12 red apples for 5 dollars and gave 3 of them to Bob before lunch on a sunny market day"
+    words = item.split()
+    halves = [(None, " ".join(words[:11])), (None, " ".join(words[11:])), (None, item)]
+    docs = spark.createDataFrame(halves, "doc_id long, text string").repartition(3)
+    out = T.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(out) == 3 and [r["leaked"] for r in sorted(out, key=lambda r: r["n_aligned"])][-1]
+    assert sum(r["kind"] == "exact" for r in out) == 1
+
+
+def test_recall_of_changed_questions_and_false_hits(spark):
+    """Questions with all numbers, names and units changed are found; others of another wording are not."""
+    rng = random.Random(5)
+    names = ["Alice", "Bob", "Clara", "David", "Emma", "Frank", "Grace", "Henry"]
+    units = ["km", "miles", "hours", "dollars", "kg", "litres", "days", "metres"]
+    nouns = "farmer teacher river market garden engine village letter window bottle ticket basket wagon bridge school".split()
+    verbs = "carries counts sells paints repairs measures collects divides stores delivers".split()
+
+    def frame():
+        a, b, c, d = rng.sample(nouns, 4)
+        v, w, x = rng.sample(verbs, 3)
+        return (
+            f"{{n}} {v} {{k}} {{u}} from the {a} near the old {b} every week and then {{m}} {w} exactly {{j}} {{u}} more "
+            f"behind the {c} so how many does the {d} hold when somebody {x} what was left"
+        )
+
+    def filled(f):
+        n, m = rng.sample(names, 2)
+        return f.format(n=n, m=m, k=rng.randrange(2, 900), j=rng.randrange(2, 900), u=rng.choice(units))
+
+    def opening():
+        a, b, c, d = rng.sample(nouns, 4)
+        v, w = rng.sample(verbs, 2)
+        return f"{{n}} {v} {{k}} {{u}} from the {a} near the old {b} every week but nobody at this {c} {w} {{j}} {{u}} of {{m}} or any {d} today"
+
+    frames = [frame() for _ in range(150)]
+    items = [(i, filled(f)) for i, f in enumerate(frames[:100])]
+    changed = [(i, "Some words before. " + filled(f) + "? And words behind it.") for i, f in enumerate(frames[:100])]
+    others = [(1000 + i, filled(f)) for i, f in enumerate(frames[100:])]
+    others += [(2000 + i, filled(opening())) for i in range(50)]
+    out = found(spark, changed + others, items)
+    leaked = {k for k, r in out.items() if r["leaked"]}
+    assert len({(i, i) for i in range(100)} & leaked) >= 98
+    # The same sentence with seven other content words is near enough for some; one that shares its opening never is.
+    alike = {d for d, _ in leaked if 1000 <= d < 2000}
+    assert len(alike) <= 40 and not [d for d, _ in leaked if d >= 2000]

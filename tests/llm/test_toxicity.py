@@ -106,3 +106,24 @@ def test_edges(spark, model):
     assert len(rows) == docs.count() and len({r["score"] for r in rows}) == 1
     one = spark.createDataFrame([(4, 1), (6, 1), (7, 1)], "doc_id long, toxic int")
     assert {r["predicted"] for r in T.toxicity_rows(docs, one).collect()} == {1}
+
+
+def test_every_byte_of_a_long_word_is_read(model):
+    """Three words of equal length, beginning and end, one of which spells an insult in its middle."""
+    words = ["prefixed" + middle + "suffixed" for middle in ("scoundrel", "harmless1", "abcdefghi")]
+    assert len({float(x) for x in T.score_texts(model, words)}) == 3
+    parts = T.Parts(["日本語の長い文章には空白がありません" * 3, None, "short", "x" * 40])
+    raw = [b"".join(parts.text(a, b)) for a, b in zip(parts.first, parts.first[1:])]
+    assert raw == [("日本語の長い文章には空白がありません" * 3).encode(), b"", b"short", b"x" * 40]
+    assert max(parts.end - parts.begin) <= T.PART
+    for a, b in zip(parts.begin, parts.end):
+        parts.buffer[a:b].decode()
+
+
+def test_what_reaches_the_driver_is_bounded(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    short = T.excerpt(long, 3)
+    assert len(short) < T.EXCERPT and set(short.split()) <= set(long.split()) and short == T.excerpt(long, 3)
+    docs = spark.createDataFrame([(1, "a fool"), (1, "b fool"), (1, None), (2, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    T.fitted(docs.repartition(3), labels)
