@@ -30,11 +30,13 @@ class Analysis:
         name: str = "Dataset",
         config: Config | Mapping[str, Any] | None = None,
         as_of=None,
+        approx_distinct: bool = False,
     ):
         self.df = df
         self.name = name
         self.config = Config.of(config)
         self.as_of = as_of
+        self.approx_distinct = approx_distinct
         self.columns = describe_columns(df)
 
     def _family(self, *families: str):
@@ -50,7 +52,7 @@ class Analysis:
 
     @cached_property
     def _facts(self) -> DataFrame:
-        return P.column_facts(self.df, self.as_of, self._excluded, self.rows)
+        return P.column_facts(self.df, self.as_of, self._excluded, self.rows, self.approx_distinct)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -128,9 +130,14 @@ def analyze(
     name: str = "Dataset",
     config: Config | Mapping[str, Any] | None = None,
     as_of=None,
+    approx_distinct: bool = False,
 ) -> Analysis:
-    """Profile a table and find its quality issues."""
-    return Analysis(df, name, config, as_of)
+    """Profile a table and find its quality issues.
+
+    With ``approx_distinct`` no value is shuffled to be counted: distinct counts are
+    estimates, and entropy and spelling groups are left out.
+    """
+    return Analysis(df, name, config, as_of, approx_distinct)
 
 
 def quick_check(df: DataFrame, name: str = "Dataset", as_of=None) -> DataFrame:

@@ -12,7 +12,7 @@ from plumbline.operators.issues import issues_by_severity, issues_by_type
 from plumbline.operators.profile import QUARTILES, missing_overview, numeric_summary
 from plumbline.operators.structure import correlation_matrix
 from plumbline.plans.bins import double_array, with_position
-from plumbline.plans.frequency import value_counts
+from plumbline.plans.heavy import top_values
 from plumbline.plans.longform import melt
 from plumbline.plans.orderstats import order_statistics
 
@@ -207,23 +207,17 @@ def top_categories(df: DataFrame, columns: list[str] | None = None, limit: int =
     """``column, category, cnt, percentage, is_other``: the most frequent values per text column.
 
     With more than ``limit`` values, the top ``limit - 1`` and the rest as "Other".
-    The ranking keeps ``limit`` rows per task before its shuffle.
+    Texts are not shuffled, see :func:`plumbline.plans.heavy.top_values`.
     """
     infos = [c for c in describe_columns(df, columns) if c.family == "text"]
     if not infos:
         raise ValueError("the table has no such text column")
-    counts = value_counts(df, infos)
-    totals = counts.groupBy("key").agg(
-        F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("values")
-    )
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cnt"), "value"))
-    ranked = counts.withColumn("place", place).filter(F.col("place") <= limit)
-    # One row per text column on the broadcast side.
-    kept = ranked.join(F.broadcast(totals), "key").filter(
-        (F.col("values") <= limit) | (F.col("place") < limit)
-    )
+    ranked = top_values(df, infos, limit)
+    shown = F.sum("cnt").over(Window.partitionBy("key"))
+    # With all values shown there is no rest, else the last one joins it.
+    kept = ranked.withColumn("shown_rows", shown).filter((F.col("shown_rows") == F.col("n")) | (F.col("place") < limit))
     category = F.struct(F.col("value").alias("category"), "cnt", F.lit(False).alias("is_other"))
-    rolled = kept.groupBy("key", "n", "values").agg(
+    rolled = kept.groupBy("key", "n").agg(
         F.collect_list(category).alias("rows"), F.sum("cnt").alias("shown")
     )
     rest = F.struct(

@@ -92,3 +92,83 @@ def not_in_reference(df: DataFrame, column: str, allowed: DataFrame, allowed_col
     value = F.expr(clean(require(df, column)))
     keys = allowed.select(F.col(allowed_column).alias("__allowed")).distinct()
     return df.filter(value.isNotNull()).join(keys, F.col(column) == F.col("__allowed"), "left_anti")
+
+
+def _rule_columns(df: DataFrame, rules: DataFrame) -> tuple[dict[str, dict[str, str]], list[str]]:
+    """Tightest range and columns with an allowed set: a row per column of ``df``, whatever the number of rules."""
+    own = rules.filter(F.col("column").isin(df.columns))
+    number = F.expr("try_cast(get(args, 0) AS double)")
+    ranges = {}
+    found = own.groupBy("column").agg(
+        F.max(F.when(F.col("kind") == "min", number)).alias("min"),
+        F.min(F.when(F.col("kind") == "max", number)).alias("max"),
+        F.bool_or(F.col("kind") == "allowed").alias("allowed"),
+    )
+    allowed = []
+    for r in found.collect():
+        if r["min"] is not None or r["max"] is not None:
+            ranges[r["column"]] = {"min": r["min"], "max": r["max"]}
+        if r["allowed"]:
+            allowed.append(r["column"])
+    return ranges, sorted(allowed, key=df.columns.index)
+
+
+def _allowed_values(df: DataFrame, rules: DataFrame, column: str) -> DataFrame:
+    """The allowed values of a column in its own type, once each."""
+    kind = require(df, column).dtype
+    listed = rules.filter((F.col("column") == column) & (F.col("kind") == "allowed")).select(F.explode("args").alias("v"))
+    return listed.select(F.expr(f"try_cast(v AS {kind}) AS __allowed")).filter("__allowed IS NOT NULL").distinct()
+
+
+def _bad_values(df: DataFrame, rules: DataFrame, column: str) -> DataFrame:
+    """``__value, cnt``: present values that are not allowed; the table is counted by value before it meets the set."""
+    value = clean(require(df, column))
+    counts = df.selectExpr(f"{value} AS __value").filter("__value IS NOT NULL").groupBy("__value").agg(F.expr("count(1) AS cnt"))
+    return counts.join(_allowed_values(df, rules, column), F.col("__value") == F.col("__allowed"), "left_anti")
+
+
+def rule_table_report(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`constraint_report` for a rules table of any size, which never reaches the driver.
+
+    ``rules`` has ``column``, ``kind`` (min, max, allowed) and ``args``, an array of
+    strings. All min and max rules of a column hold, and a value is allowed if any
+    of its allowed rules names it. Rules for absent columns are skipped; arguments
+    that are not of the column's type allow nothing.
+    """
+    ranges, sets = _rule_columns(df, rules)
+    out = constraint_report(df, ranges)
+    for column in sets:
+        value = clean(require(df, column))
+        bad = _bad_values(df, rules, column).agg(F.coalesce(F.sum("cnt"), F.lit(0).cast("long")).alias("violations"))
+        found = df.agg(F.expr(f"count({value}) AS checked_count")).crossJoin(bad)  # a row each
+        out = out.unionByName(
+            found.select(
+                F.lit(column).alias("column"), F.lit("allowed").alias("constraint"), "checked_count", "violations",
+                F.expr(percentage("violations", "checked_count")).alias("violation_percentage"),
+            )
+        )
+    return out
+
+
+def rule_table_rows(df: DataFrame, rules: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` breaks a rule of a rules table of any size.
+
+    Values that are not allowed are found first, from counts; the frequent ones
+    among them, at most a thousand, are broadcast, and the rest joined by value
+    behind Spark's runtime filters, so a hot value is never one task.
+    """
+    ranges, sets = _rule_columns(df, rules)
+    value = F.expr(clean(require(df, column)))
+    out_of_range = F.lit(False)
+    if column in ranges:
+        ((_, _, _, out_of_range),) = _checks(df, {column: ranges[column]})
+    out_of_range = F.coalesce(out_of_range, F.lit(False))
+    if column not in sets:
+        return df.filter(out_of_range)
+    bad = _bad_values(df, rules, column)
+    frequent = F.col("cnt") >= max(1000, df.count() / 1000)
+    hot = bad.filter(frequent).select(F.col("__value").alias("__hot"))
+    marked = df.join(F.broadcast(hot), value == F.col("__hot"), "left").withColumn("__out", out_of_range)
+    settled = marked.filter("__out OR __hot IS NOT NULL").select(df.columns)
+    rest = marked.filter("NOT __out AND __hot IS NULL").select(df.columns)
+    return settled.unionByName(rest.join(bad.filter(~frequent), value == F.col("__value"), "left_semi"))

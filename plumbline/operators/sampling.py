@@ -10,6 +10,8 @@ fills about a third of the sample.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +20,22 @@ from plumbline.functions.columns import ident
 
 DRAW = "__draw"
 STRATUM = "__stratum"
+#: Rows of a sample that one task may sort; a larger one is cut by counted draws.
+IN_TASK = 100_000
+#: Cells in which draws are counted.
+CELLS = 4096
 
 
 def with_draw(df: DataFrame, seed: int) -> DataFrame:
     """``df`` with a draw in [0, 1) per row that stays when the table is split differently.
 
-    Parquet files number their rows, which costs nothing. For other tables the
-    copies of a row are numbered, which shuffles the table once: write it to
-    Parquet first to spare that.
+    A plain scan of Parquet files numbers its rows, which costs nothing. For other
+    tables, joins and exploded rows among them, the copies of a row are numbered,
+    which shuffles the table once: write it to Parquet first to spare that.
     """
     uniform = lambda h: F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
-    place = F.xxhash64(F.lit(seed), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
     if _has_places(df):
+        place = F.xxhash64(F.lit(seed), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
         return df.select("*", uniform(place).alias(DRAW))
     row = F.xxhash64(F.lit(seed), *[F.to_json(F.struct(F.col(ident(c)))) for c in df.columns])
     copy = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
@@ -37,16 +43,27 @@ def with_draw(df: DataFrame, seed: int) -> DataFrame:
     return numbered.select("*", uniform(F.xxhash64(F.lit(seed), "__row", "__copy")).alias(DRAW)).drop("__row", "__copy")
 
 
+#: Plan steps that give each row of a scan at most once, as they are named in a plan.
+ONE_TO_ONE = {"Project", "Filter", "SubqueryAlias", "View", "Sort", "Repartition", "RepartitionByExpression"}
+
+
 def _has_places(df: DataFrame) -> bool:
-    """True if all rows come from one scan of files that number their rows."""
+    """True if the rows are those of one scan of files that number their rows, each at most once.
+
+    A join or an exploded array gives a row's place to several rows, so the plan
+    may hold nothing but steps that keep or drop single rows above its scan.
+    """
     names = [p.lower().rsplit(".", 1)[-1] for p in df.inputFiles()[:1]]
     if names != ["parquet"]:
         return False
     try:
         df.select("_metadata.file_name", "_metadata.row_index")
-    except AnalysisException:
+        node = df._jdf.queryExecution().analyzed()
+        while node.children().size() == 1 and node.nodeName() in ONE_TO_ONE:
+            node = node.children().apply(0)
+    except (AnalysisException, AttributeError, NotImplementedError):
         return False
-    return True
+    return node.children().size() == 0
 
 
 def _enough(k: float) -> float:
@@ -54,12 +71,40 @@ def _enough(k: float) -> float:
     return k + 10 * k**0.5 + 50
 
 
+def _cut(drawn: DataFrame, n: int, share: float) -> tuple[float, int]:
+    """The ``n``-th smallest draw below ``share``, and how many rows of exactly that draw belong to the ``n``.
+
+    Draws are counted in ``CELLS`` equal cells, then in those of the cell that
+    holds the ``n``-th, until one draw is left: a few thousand counts reach the
+    driver each time, and no task sees more than its own rows.
+    """
+    lo, hi, left = 0.0, share, n
+    while True:
+        inside = drawn.filter((F.col(DRAW) >= lo) & (F.col(DRAW) < hi))
+        width = (hi - lo) / CELLS
+        cell = F.least(F.floor((F.col(DRAW) - lo) / width), F.lit(CELLS - 1))
+        found = inside.groupBy(cell.alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(DRAW).alias("low"), F.max(DRAW).alias("high")
+        )
+        for r in sorted(found.collect(), key=lambda r: r["cell"]):
+            if left <= r["n"]:
+                break
+            left -= r["n"]
+        else:
+            raise RuntimeError("too few rows were drawn: does the table differ between scans?")
+        if r["low"] == r["high"]:
+            return r["low"], left
+        lo, hi = r["low"], math.nextafter(r["high"], 2.0)
+
+
 def sample_rows(
     df: DataFrame, n: int = 1000, seed: int = 42, stratify_by: str | None = None, rows: int | None = None
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement, or all of them if there are no more.
 
-    With ``stratify_by``, every stratum gives its rounded share of ``n``.
+    With ``stratify_by``, every stratum gives its rounded share of ``n``. The rows
+    with the smallest draws are the sample: up to ``IN_TASK`` of them are found by
+    a top-n, more by a distributed cut, which no task holds.
     """
     rows = df.count() if rows is None else rows
     if rows <= n:
@@ -67,7 +112,13 @@ def sample_rows(
     if stratify_by and stratify_by in df.columns:
         return sample_stratified(df, stratify_by, n, seed, rows)
     share = min(1.0, _enough(n) / rows)
-    return with_draw(df, seed).filter(F.col(DRAW) < share).orderBy(DRAW).limit(n).drop(DRAW).persist()
+    drawn = with_draw(df, seed).filter(F.col(DRAW) < share)
+    if n <= IN_TASK:
+        return drawn.orderBy(DRAW).limit(n).drop(DRAW).persist()
+    at, ties = _cut(drawn, n, share)
+    below, level = drawn.filter(F.col(DRAW) < at), drawn.filter(F.col(DRAW) == at)
+    row = F.to_json(F.struct(*[F.col(ident(c)) for c in df.columns]))
+    return below.unionByName(level.orderBy(row).limit(ties)).drop(DRAW)
 
 
 def sample_stratified(df: DataFrame, by: str, n: int, seed: int = 42, rows: int | None = None) -> DataFrame:

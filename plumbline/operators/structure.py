@@ -20,6 +20,11 @@ from plumbline.functions.columns import (
     schema_frame,
 )
 from plumbline.plans.frequency import distinct_counts
+from plumbline.plans.longform import BATCH
+from plumbline.plans.products import block_sums, correlations
+
+#: With more columns than this, pairs come from products of blocks instead of a row per pair.
+EXPLODED_COLUMNS = 24
 
 # The name parts of identifier columns and the uniqueness they need.
 ID_NAME_PARTS = ("id", "code", "num", "no", "key", "index", "ref")
@@ -90,6 +95,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     if len(infos) < 2:
         return spark.createDataFrame([], "col1 string, col2 string, r double")
+    if len(infos) > EXPLODED_COLUMNS:
+        return wide_correlation(df, infos)
     means = df.agg(*[F.expr(f"avg({as_double(c)}) AS m{c.ordinal}") for c in infos]).collect()[0]
     centred = ", ".join(f"{as_double(c)} - {literal(means[f'm{c.ordinal}'] or 0.0)}" for c in infos)
     pairs = list(combinations(range(len(infos)), 2))
@@ -123,6 +130,17 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return names.join(F.broadcast(sums), "key", "left").select("col1", "col2", r.alias("r"))
 
 
+def wide_correlation(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
+    """:func:`correlation_pairs` of many columns, from products of blocks of columns."""
+    means: list[float] = []
+    for at in range(0, len(infos), BATCH):
+        row = df.agg(*[F.expr(f"avg({as_double(c)})") for c in infos[at : at + BATCH]]).first()
+        means += [m or 0.0 for m in row]
+    found = correlations(block_sums(df, [as_double(c) for c in infos], means), len(infos))
+    names = F.array(*[F.lit(c.name) for c in infos])
+    return found.select(names[F.col("a")].alias("col1"), names[F.col("b")].alias("col2"), "r")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The full square matrix as ``col1, col2, r``, for a heat map."""
     infos = numeric_columns(df, columns)
