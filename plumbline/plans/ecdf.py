@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ from plumbline.plans.longform import melt
 # Buckets of equal width a column is cut into, and parts an undecided one is cut into again.
 BUCKETS = 1 << 14
 PARTS = 1 << 6
+# Rows of an undecided part that one task may rank; a larger part is cut again, at most so often.
+IN_TASK = 2_000_000
+MAX_LEVELS = 40
+# Undecided parts that may be broadcast (some 60 bytes each).
+BROADCAST_PARTS = 200_000
 
 # A column whose ends are so many interquartile ranges away is laid out in roots, at most so often.
 LONG_TAIL = 64
@@ -26,7 +32,7 @@ ROOTS = "CASE roots WHEN 0 THEN abs(d) " + " ".join(
 ) + " END"
 
 IN_PART = (
-    "PARTITION BY key, bucket, part ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    "PARTITION BY key, path ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 )
 
 Entries = list[tuple[int, str, str]]  # key, reference value, current value (SQL text)
@@ -102,10 +108,11 @@ def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Total
     to a row per bucket and task. It gives the gap at every bucket's end, and bounds
     the gap inside a bucket by the rows it holds. Buckets whose bound exceeds the
     largest gap seen are cut again between the least and the largest value they
-    hold, and only what is still undecided then is looked at by value: the bulk
-    of the data is never shuffled, and no task holds a column. Values are counted
-    before they are ranked, so repeats do not pile up, and a bucket of one value
-    is decided.
+    hold, and again, until each undecided part holds ``IN_TASK`` rows at most; only
+    these are looked at by value. The bulk of the data is never shuffled. Values are
+    counted before they are ranked, so repeats do not pile up, and a bucket of one
+    value is decided. What an undecided part carries on is its offset, its least
+    value, its width and the largest gap so far.
     """
     n_ref, n_cur = _sizes(totals)
     shapes = (
@@ -131,28 +138,51 @@ def ks_distances(ref: DataFrame, cur: DataFrame, entries: Entries, totals: Total
     coarse = _gaps(long, "key", "bucket", "0", "0", n_ref, n_cur)
     coarse = coarse.selectExpr("*", "max(gap) OVER (PARTITION BY key) AS reached").persist()
     # At most BUCKETS rows per column.
-    undecided = _undecided(coarse).selectExpr(
-        "key", "bucket", "br AS start_r", "bc AS start_c", "low", f"{_width('low', 'high', PARTS)} AS fine", "reached"
-    )
-    inside = long.join(F.broadcast(undecided), ["key", "bucket"]).selectExpr(
-        "*", f"{_place('value', 'low', 'fine', PARTS)} AS part"
-    )
-    parts = _gaps(inside, "key, bucket, start_r, start_c, reached", "part", "start_r", "start_c", n_ref, n_cur)
-    parts = parts.selectExpr("* EXCEPT (reached)", "greatest(reached, max(gap) OVER (PARTITION BY key)) AS reached").persist()
-    # At most PARTS rows per undecided bucket.
-    open_parts = _undecided(parts).select("key", "bucket", "part", "br", "bc")
-    counted = _paired_counts(
-        inside.select("key", "bucket", "part", "value", "r", "c").join(F.broadcast(open_parts), ["key", "bucket", "part"]),
-        "key", "bucket", "part", "br", "bc",
+    state = _undecided(coarse).selectExpr(
+        "key", "cast(bucket AS string) AS path", "br AS start_r", "bc AS start_c", "low",
+        f"{_width('low', 'high', PARTS)} AS fine", "reached",
     )
-    fine = counted.selectExpr(
-        "*", f"sum(r) OVER ({IN_PART}) AS cr", f"sum(c) OVER ({IN_PART}) AS cc"
-    ).selectExpr("key", f"abs((br + cr) / {n_ref} - (bc + cc) / {n_cur}) AS d")
-    found = coarse.selectExpr("key", "gap AS d").unionAll(parts.selectExpr("key", "gap AS d")).unionAll(fine)
-    found = found.groupBy("key").agg(F.expr("max(d) AS d"))
+    rows = long.selectExpr("key", "value", "r", "c", "cast(bucket AS string) AS path")
+    found, open_parts = [coarse.selectExpr("key", "gap AS d")], None
+    for _ in range(MAX_LEVELS):
+        inside = rows.join(_small(state, open_parts), ["key", "path"]).selectExpr(
+            "*", f"{_place('value', 'low', 'fine', PARTS)} AS part"
+        )
+        parts = _gaps(inside, "key, path, start_r, start_c, reached", "part", "start_r", "start_c", n_ref, n_cur)
+        parts = parts.selectExpr(
+            "* EXCEPT (reached)", "greatest(reached, max(gap) OVER (PARTITION BY key)) AS reached"
+        ).persist()
+        found.append(parts.selectExpr("key", "gap AS d"))
+        left = _undecided(parts)
+        open_parts, largest = left.agg(F.count(F.lit(1)), F.max(F.col("r") + F.col("c"))).first()
+        if not open_parts:
+            break
+        rows = inside.selectExpr("key", "value", "r", "c", "concat(path, ',', part) AS path")
+        state = left.selectExpr(
+            "key", "concat(path, ',', part) AS path", "br AS start_r", "bc AS start_c", "low",
+            f"{_width('low', 'high', PARTS)} AS fine", "reached",
+        )
+        if largest <= IN_TASK:
+            break
+    if open_parts:
+        counted = _paired_counts(
+            rows.join(_small(state, open_parts), ["key", "path"]).select("key", "path", "start_r", "start_c", "value", "r", "c"),
+            "key", "path", "start_r", "start_c",
+        )
+        found.append(
+            counted.selectExpr(
+                "*", f"sum(r) OVER ({IN_PART}) AS cr", f"sum(c) OVER ({IN_PART}) AS cc"
+            ).selectExpr("key", f"abs((start_r + cr) / {n_ref} - (start_c + cc) / {n_cur}) AS d")
+        )
+    found = reduce(DataFrame.unionAll, found).groupBy("key").agg(F.expr("max(d) AS d"))
     return found.selectExpr("key", f"{n_ref} AS n_ref", f"{n_cur} AS n_cur", "d")
 
 
+def _small(state: DataFrame, rows: int | None) -> DataFrame:
+    """``state`` to be broadcast if it was counted and is small, or is a row per bucket."""
+    return F.broadcast(state) if rows is None or rows <= BROADCAST_PARTS else state
+
+
 def _width(lo: str, hi: str, parts: int) -> str:
     inside = f"{hi} - {lo} > 0 AND {hi} - {lo} < double('infinity') AND {parts} / ({hi} - {lo}) < double('infinity')"
     return f"CASE WHEN {inside} THEN {parts} / ({hi} - {lo}) ELSE 0D END"

@@ -166,7 +166,21 @@ def test_ks_looks_at_few_values(spark, monkeypatch, kind):
     monkeypatch.setattr(ecdf, "_paired_counts", lambda long, *w: seen.append(long) or count(long, *w))
     found = ecdf.ks_distances(*frames, [(0, "x", "x")], {0: (40_000, 40_000)}).collect()[0]["d"]
     assert found == pytest.approx(numpy_ks(left, right), abs=1e-12)
-    assert seen[-1].count() < 8_000
+    assert sum(rows.count() for rows in seen) < 8_000
+
+
+def test_ks_refines_a_cluster_until_parts_are_small(spark, monkeypatch):
+    """A third of the rows lies within a billionth of the range; no task ranks more than a few of them."""
+    monkeypatch.setattr(ecdf, "IN_TASK", 150)
+    rng = np.random.default_rng(9)
+    make = lambda: np.concatenate([rng.uniform(-1, 1, 4000), 0.3 + 1e-9 * rng.uniform(0, 1, 2000), 0.3 + 1e-13 * rng.normal(size=300)])
+    left, right = make(), make()
+    frames = [spark.createDataFrame([(float(x),) for x in v], "x double") for v in (left, right)]
+    seen, count = [], ecdf._paired_counts
+    monkeypatch.setattr(ecdf, "_paired_counts", lambda long, *w: seen.append(long) or count(long, *w))
+    found = ecdf.ks_distances(*frames, [(0, "x", "x")], {0: (6300, 6300)}).collect()[0]["d"]
+    assert found == pytest.approx(numpy_ks(left, right), abs=1e-12)
+    assert all(r["count"] <= 150 for rows in seen for r in rows.groupBy("key", "path").count().collect())
 
 
 def test_ks_with_infinities_and_extremes(column):
