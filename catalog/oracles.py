@@ -97,6 +97,9 @@ def _full(rel: str, columns: list[tuple[str, str, str]]) -> str:
         cells = [
             n if n in have else f"CAST(NULL AS {_TYPES.get(n, 'DOUBLE')}) AS {n}" for n in _ORDER
         ]
+        # The range of a bigint or decimal column in its own type.
+        exact = f"(SELECT CAST({{}}({name}) AS VARCHAR) FROM {_rel(rel)} x)" if dtype == "bigint" else "CAST(NULL AS VARCHAR)"
+        cells += [f"{exact.format('min')} AS min_exact", f"{exact.format('max')} AS max_exact"]
         parts.append(
             f"""SELECT "column", CAST({i} AS BIGINT) AS ordinal, '{dtype}' AS dtype,
   '{family}' AS family, {', '.join(cells)} FROM ({kind(rel, name)})"""
