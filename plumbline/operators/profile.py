@@ -189,8 +189,6 @@ def column_facts(
             count = approximate_distinct if approx_distinct else distinct_counts
             # One row per column.
             facts = facts.join(F.broadcast(count(df, numbers + dates).toDF("key", "n_distinct")), "key", "left")
-        if whole:
-            facts = facts.join(F.broadcast(exact_range(df, whole)), "key", "left")
         # A row per column: one partition, so that later reads are one task.
         return facts.repartition(1).persist()
 
@@ -199,7 +197,7 @@ def column_facts(
         entries = _numeric_entries(numbers, excluded)
         proposed, _ = proposed_statistics(df, entries, QUARTILES, rows, moments=True)
         facts = assemble(_named(proposed))
-        flags.append("missed")
+        flags += ["missed", "min", "max"]
     else:
         facts = assemble(None)
     if texts:
@@ -218,6 +216,18 @@ def column_facts(
                 "key", *kept, "coalesce(long_value, most_common) AS most_common"
             )
             facts = facts.persist()
+    if whole:
+        # Below 2^53 a double is the integer itself; only other ends are looked up again.
+        ends = {r["key"]: max(abs(r["min"]), abs(r["max"])) for r in found if r["min"] is not None}
+        beyond = [c for c in whole if c.dtype != "bigint" or ends.get(c.ordinal, 0) >= 2**53]
+        held = ", ".join(str(c.ordinal) for c in whole if c not in beyond) or "-1"
+        text = "CASE WHEN key IN ({}) THEN cast(cast({} AS bigint) AS string) END AS {}_exact"
+        facts = facts.selectExpr("*", *[text.format(held, e, e) for e in ("min", "max")])
+        if beyond:
+            looked = exact_range(df, beyond).toDF("key", "__low", "__high")  # a row per column
+            facts = facts.join(F.broadcast(looked), "key", "left").withColumns(
+                {"min_exact": F.expr("coalesce(__low, min_exact)"), "max_exact": F.expr("coalesce(__high, max_exact)")}
+            ).drop("__low", "__high")
     # Columns without any value have no row yet.
     absent = sorted({c.ordinal for c in infos} - {r["key"] for r in found})
     if absent:
