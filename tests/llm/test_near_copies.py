@@ -6,6 +6,7 @@ import numpy as np
 import corpus_pipeline
 from edges import empty_documents, odd_documents
 from plumbline.llm import near_copies as N
+from plumbline.llm.components import roots
 
 
 def shingle_set(text):
@@ -71,3 +72,29 @@ def test_edges(spark):
     assert N.near_copies(docs).count() == docs.count()
     assert N.keep_first(docs).columns == docs.columns
     assert N.near_copies(empty_documents(spark)).count() == 0
+
+
+def test_a_key_of_many_different_sets_leaves_a_batch_once():
+    import pyarrow as pa
+
+    keys = [[7] * N.BANDS, [7] * (N.BANDS - 1) + [9], [9] * N.BANDS, [5] * N.BANDS]
+    batch = pa.record_batch({"fp": pa.array([30, 10, 20, 40], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+    (out,) = N._batch_links([batch])
+    rows = sorted((r["to"] is not None, r["key"], r["fp"], r["to"] or 0) for r in out.to_pylist())
+    assert rows == [(False, 5, 40, 0), (False, 7, 10, 0), (False, 9, 10, 0), (True, 20, 20, 10), (True, 30, 30, 10)]
+    more = pa.record_batch({"key": pa.array([7, 8], pa.int64()), "fp": pa.array([50, 60], pa.int64()), "to": pa.array([None, 50], pa.int64())})
+    first = pa.record_batch({"key": pa.array([7], pa.int64()), "fp": pa.array([10], pa.int64()), "to": pa.array([None], pa.int64())})
+    links = [(r["a"], r["b"]) for b in N._key_links([first, more]) for r in b.to_pylist()]
+    assert sorted(links) == [(50, 10), (60, 50)]
+
+
+def test_components_with_hubs_and_chains(spark):
+    """Hubs above a thousandth of the edges meet their minimum in a broadcast, other nodes in a join."""
+    rng = random.Random(5)
+    edges = [(5000, 5001 + i) for i in range(900)] + [(20_000 + i, 4000) for i in range(700)]
+    edges += [(30_000 + i, 30_001 + i) for i in range(40)] + [(40_000 + 2 * i, 40_001 + 2 * i) for i in range(1500)]
+    rng.shuffle(edges)
+    found = {r["node"]: r["root"] for r in roots(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    want = {5001 + i: 5000 for i in range(900)} | {20_000 + i: 4000 for i in range(700)}
+    want |= {30_001 + i: 30_000 for i in range(40)} | {40_001 + 2 * i: 40_000 + 2 * i for i in range(1500)}
+    assert found == want
