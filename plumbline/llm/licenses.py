@@ -11,12 +11,12 @@ which counts once one of the template's mandatory phrases stands in the text.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from plumbline.llm.notices import TEMPLATES
 from plumbline.llm.shared import ship
 
 #: Phrases whose every place counts, and their labels.
@@ -29,54 +29,6 @@ SIMILARITY = 0.6
 #: Positions that an insertion, such as a name, may move words apart.
 DRIFT = 8
 
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    mandatory: tuple[str, ...]
-    text: str
-
-
-# Notices as they stand in files, and phrases that a file under the licence must hold.
-TEMPLATES = (
-    Template("gpl", ("gnu general public license",),
-             "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-             "as published by the free software foundation either version 3 of the license or at your option any later version"),
-    Template("gpl", ("gnu general public license",),
-             "this work is licensed under the gnu general public license version 3"),
-    Template("lgpl", ("gnu lesser general public license",),
-             "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
-             "as published by the free software foundation"),
-    Template("agpl", ("gnu affero general public license",),
-             "you can redistribute it and or modify it under the terms of the gnu affero general public license "
-             "as published by the free software foundation"),
-    Template("apache", ("apache license",),
-             "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-             "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to "
-             "in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
-    Template("apache", ("apache license",), "licensed under the apache license version 2 0"),
-    Template("mit", ("mit license",), "released under the mit license"),
-    Template("mit", ("permission is hereby granted free of charge", "the software is provided as is without warranty of any kind"),
-             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-             "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-             "distribute sublicense and or sell copies of the software"),
-    Template("bsd", ("redistribution and use in source and binary forms",),
-             "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
-             "conditions are met redistributions of source code must retain the above copyright notice"),
-    Template("isc", ("permission to use copy modify and or distribute this software",),
-             "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
-             "that the above copyright notice and this permission notice appear in all copies"),
-    Template("mpl", ("mozilla public license",),
-             "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
-             "this file you can obtain one at"),
-    Template("unlicense", ("released into the public domain",),
-             "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
-             "or distribute this software"),
-    Template("cc-by", ("cc by", "creative commons attribution"), "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial"), "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", ("cc by sa", "creative commons attribution sharealike"), "licensed under cc by sa 4 0"),
-)
-
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = np.zeros(256, bool)
@@ -174,27 +126,29 @@ class Index:
         self.first = np.searchsorted(self.word, np.arange(len(number) + 1))
 
     def candidates(self, words: Words, ids: np.ndarray):
-        """(text, template, share) of the best alignments: the weight of distinct template positions near one shift."""
+        """(texts, templates, shares) of each best alignment: the weight of distinct template positions near one shift."""
         at = np.flatnonzero(ids >= 0)
         degree = self.first[ids[at] + 1] - self.first[ids[at]]
         owner = np.repeat(np.arange(len(at)), degree)
         ends = np.cumsum(degree)
         posting = np.arange(len(owner)) - np.repeat(ends - degree, degree) + self.first[ids[at]][owner]
         text = np.searchsorted(words.first, at[owner], "right") - 1
-        shift = at[owner] - self.position[posting] + len(ids) + 1000
-        best: dict[tuple[int, int], float] = {}
+        shift = at[owner] - words.first[text] - self.position[posting]  # in the text, whatever else the batch holds
+        found = []
         for move in (0, DRIFT // 2):
             cell = (shift + move) // DRIFT
             rows = np.unique(np.stack([text, self.template[posting], cell, posting], 1), axis=0)
             if not len(rows):
                 continue
-            cuts = np.flatnonzero(np.any(np.diff(rows[:, :3], axis=0) != 0, axis=1)) + 1
-            begins = np.concatenate([[0], cuts])
-            share = np.add.reduceat(self.weight[rows[:, 3]], begins)
-            for i in np.flatnonzero(share >= SIMILARITY):
-                key = (int(rows[begins[i], 0]), int(rows[begins[i], 1]))
-                best[key] = max(best.get(key, 0.0), float(min(1.0, share[i])))
-        return best
+            begins = np.flatnonzero(np.concatenate([[True], np.any(np.diff(rows[:, :3], axis=0) != 0, axis=1)]))
+            found.append((*rows[begins, :2].T, np.minimum(1.0, np.add.reduceat(self.weight[rows[:, 3]], begins))))
+        if not found:
+            return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        text, template, share = (np.concatenate(parts) for parts in zip(*found, strict=True))
+        order = np.lexsort((-share, template, text))
+        text, template, share = text[order], template[order], share[order]
+        best = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(template) != 0)])
+        return text[best], template[best], share[best]
 
 
 def _count(batches):
@@ -232,8 +186,9 @@ def corpus_idf(docs: DataFrame) -> dict[str, float]:
 def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """One row per row of ``docs``: counts and places of base phrases, ``base_labels``, ``labels`` and ``score``.
 
-    ``score`` is 1 with a base phrase, else the best share of a template whose
-    mandatory phrase is there, else half the best share of one without. Null and
+    ``score`` is 1 with a base phrase, else the best share of a template that gives
+    its label, but at least half the best share of any. Of an SPDX expression the first
+    name counts. A text of any length is scanned whole. Null and
     empty texts have no words, null places, empty labels and a score of 0;
     repeated rows are scanned one by one; an empty table gives no rows; other
     columns are not read. Two passes over the texts without a shuffle of them.
@@ -261,16 +216,18 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
                     base[i].add(label)
             labels = [set(b) for b in base]
             score[n_base > 0] = 1.0
+            text, template, share = index.candidates(words, ids)
+            np.maximum.at(score, text, share / 2)
+            strong = share >= SIMILARITY
+            aligned = list(zip(text[strong].tolist(), template[strong].tolist(), share[strong].tolist(), strict=True))
             phrases = {
                 m: set((np.searchsorted(words.first, places(words, ids, m), "right") - 1).tolist())
-                for m in {m for t in TEMPLATES for m in t.mandatory}
+                for m in {m for _, t, _ in aligned for m in TEMPLATES[t].mandatory}
             }
-            for (i, t), share in index.candidates(words, ids).items():
+            for i, t, part in aligned:
                 if any(i in phrases[m] for m in TEMPLATES[t].mandatory):
                     labels[i].add(TEMPLATES[t].label)
-                    score[i] = max(score[i], share)
-                else:
-                    score[i] = max(score[i], share / 2)
+                    score[i] = max(score[i], part)
             none = n_base == 0
             yield pa.record_batch(
                 {

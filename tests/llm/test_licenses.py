@@ -1,3 +1,4 @@
+import random
 import re
 
 from edges import empty_documents, odd_documents
@@ -48,6 +49,84 @@ def test_templates(spark):
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in by.values())
 
 
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:"
+)
+NAMED = {
+    BSD: "bsd",
+    "3. Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.": "bsd-3",
+    "// SPDX-License-Identifier: MIT\nint main() {}": "mit",
+    "# SPDX-License-Identifier: GPL-2.0-only": "gpl",
+    "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0": "epl",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the License).": "cddl",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions:": "zlib",
+    "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to this work.": "cc0",
+    "Distributed under the Boost Software License, Version 1.0.": "boost",
+    "the SPDX license identifier is missing here": "",
+    "source code forms may be used with or without modification": "",
+}
+
+
+def test_notices_and_tags(spark):
+    texts = list(NAMED)
+    texts += ["lead word " * 400 + t + " more words" * 300 for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.scan(rows).collect():
+        want = NAMED[texts[r["doc_id"] % len(NAMED)]]
+        assert r["labels"] == want and r["base_labels"] == "", texts[r["doc_id"]]
+        assert r["score"] >= L.SIMILARITY if want else 0 < r["score"] < L.SIMILARITY
+
+
+def brute_shares(words, idf):
+    """Per template, the best weight of different indexed positions whose shifts lie in one window."""
+    out = {}
+    for t, template in enumerate(L.TEMPLATES):
+        parts = template.text.split()
+        rare = sorted(set(parts), key=lambda w: (-idf[w], w))[: L.RARE_WORDS]
+        total = sum(idf[w] for w in rare)
+        for move in (0, L.DRIFT // 2):
+            cells = {}
+            for p, w in enumerate(parts):
+                for at, v in enumerate(words):
+                    if w in rare and v == w:
+                        cells.setdefault((at - p + move) // L.DRIFT, set()).add(p)
+            for positions in cells.values():
+                share = sum(idf[parts[p]] / total / parts.count(parts[p]) for p in positions)
+                out[t] = max(out.get(t, 0.0), min(1.0, share))
+    return out
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(2)
+    names = L.vocabulary()[0]
+    idf = {w: rng.uniform(1, 9) for w in names}
+    texts = [t for t in TEXTS if len(t) < 2000]
+    for template in L.TEMPLATES:
+        parts = template.text.split()
+        for _ in range(3):  # words lost, put in and changed
+            kept = [w if rng.random() > 0.1 else rng.choice(["name", w + " of", ""]) for w in parts]
+            texts.append("x " * rng.randrange(9) + " ".join(kept[rng.randrange(3) :]))
+    index = L.Index(idf)
+    for text in texts:
+        words = L.Words([text])
+        ids = L.known(words)
+        _, templates, shares = index.candidates(words, ids)
+        want = brute_shares([w.decode() for w in words.text(0, len(ids))], idf)
+        assert {t: round(v, 9) for t, v in zip(templates.tolist(), shares.tolist())} == {t: round(v, 9) for t, v in want.items()}
+
+
+def test_batches_do_not_matter(spark):
+    texts = [t for t in NAMED for _ in range(2)] + TEXTS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = L.corpus_idf(docs)
+    assert sorted(L.scan(docs.repartition(9), idf).collect()) == sorted(L.scan(docs.coalesce(1), idf).collect())
+
+
 def test_weights_count_all_texts(spark):
     docs = spark.createDataFrame([(i, "the license" if i % 2 else "the gnu the") for i in range(40)], "doc_id long, text string")
     idf = L.corpus_idf(docs.repartition(5))
