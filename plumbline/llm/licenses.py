@@ -2,10 +2,10 @@
 
 The templates' words are counted over all texts first, so each has its inverse
 document frequency in this corpus. A template is indexed by its rarest words and
-their positions. A text's occurrences of such words are looked up, the postings
-are intersected by relative position (text position less template position), and
-an alignment that gathers enough of a template's weight makes it a candidate,
-which counts once one of the template's mandatory phrases stands in the text.
+their positions. A text's occurrences of the rarest of these are looked up, the
+postings are intersected by relative position (text position less template
+position), and an alignment that gathers enough of a template's weight makes it a
+candidate, which counts once one of its mandatory phrases stands in the text.
 """
 
 from __future__ import annotations
@@ -110,46 +110,70 @@ def idf_of(counts: dict[str, int], n_docs: int) -> dict[str, float]:
 
 
 class Index:
-    """Postings (template, position) of the rarest words of each template."""
+    """Postings (word, position) of the rarest words of each template, and of its anchors among these.
+
+    A template's anchors are its rarest words that together weigh more than 1 - SIMILARITY:
+    an alignment without any of them cannot gather enough.
+    """
 
     def __init__(self, idf: dict[str, float]):
         number = {w: i for i, w in enumerate(vocabulary()[0])}
-        rows = []
+        self.postings, anchors = [], []
         for t, template in enumerate(TEMPLATES):
             words = template.text.split()
             rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE_WORDS]
             total = sum(idf[w] for w in rare)
-            rows += [(number[w], t, p, idf[w] / total / words.count(w)) for p, w in enumerate(words) if w in rare]
-        rows.sort()
-        self.word, self.template, self.position = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        self.weight = np.array([r[3] for r in rows])
+            sums = np.cumsum([idf[w] / total for w in rare])
+            first = set(rare[: int(np.searchsorted(sums, 1 - SIMILARITY + 1e-9)) + 1])
+            places = [(number[w], p) for p, w in enumerate(words) if w in rare]
+            weight = np.array([idf[words[p]] / total / words.count(words[p]) for _, p in places])
+            self.postings.append((*np.array(places, np.int64).T, weight))
+            anchors += [(number[w], t, p) for p, w in enumerate(words) if w in first]
+        self.word, self.template, self.position = np.array(sorted(anchors), np.int64).T
         self.first = np.searchsorted(self.word, np.arange(len(number) + 1))
 
     def candidates(self, words: Words, ids: np.ndarray):
-        """(texts, templates, shares) of each best alignment: the weight of distinct template positions near one shift."""
-        at = np.flatnonzero(ids >= 0)
-        degree = self.first[ids[at] + 1] - self.first[ids[at]]
+        """(texts, templates, shares): each template's best alignment in each text that holds one of its anchors.
+
+        An alignment is a window of DRIFT shifts (place in the text less place in the template).
+        Anchors give the windows, and the other postings are looked up there.
+        """
+        degree = np.append(np.diff(self.first), 0)[ids]
+        at = np.flatnonzero(degree)
+        degree = degree[at]
         owner = np.repeat(np.arange(len(at)), degree)
         ends = np.cumsum(degree)
         posting = np.arange(len(owner)) - np.repeat(ends - degree, degree) + self.first[ids[at]][owner]
         text = np.searchsorted(words.first, at[owner], "right") - 1
-        shift = at[owner] - words.first[text] - self.position[posting]  # in the text, whatever else the batch holds
-        found = []
+        template, shift = self.template[posting], at[owner] - words.first[text] - self.position[posting]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for move in (0, DRIFT // 2):
-            cell = (shift + move) // DRIFT
-            rows = np.unique(np.stack([text, self.template[posting], cell, posting], 1), axis=0)
-            if not len(rows):
-                continue
-            begins = np.flatnonzero(np.concatenate([[True], np.any(np.diff(rows[:, :3], axis=0) != 0, axis=1)]))
-            found.append((*rows[begins, :2].T, np.minimum(1.0, np.add.reduceat(self.weight[rows[:, 3]], begins))))
-        if not found:
-            return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            begin = (shift + move) // DRIFT * DRIFT - move
+            for t in np.unique(template):
+                mine = template == t
+                for rows in _slices(np.unique(np.stack([text[mine], begin[mine]], 1), axis=0)):
+                    found.append((rows[:, 0], np.full(len(rows), t), self.shares(words, ids, t, *rows.T)))
         text, template, share = (np.concatenate(parts) for parts in zip(*found, strict=True))
         order = np.lexsort((-share, template, text))
         text, template, share = text[order], template[order], share[order]
-        best = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(template) != 0)])
+        best = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(template) != 0)])[: len(text)]
         return text[best], template[best], share[best]
 
+    def shares(self, words: Words, ids: np.ndarray, t: int, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The weight of a template's postings that stand at a shift of ``begin`` to ``begin + DRIFT - 1``."""
+        word, position, weight = self.postings[t]
+        low, high = words.first[text], words.first[text + 1]
+        there = np.zeros((len(text), len(word)), bool)
+        for k in range(DRIFT):
+            place = (low + begin + k)[:, None] + position
+            inside = (place >= low[:, None]) & (place < high[:, None])
+            there |= inside & (ids[np.clip(place, 0, len(ids) - 1)] == word)
+        return np.minimum(1.0, there @ weight)
+
+
+def _slices(rows: np.ndarray, size: int = 8192):
+    return (rows[a : a + size] for a in range(0, len(rows), size))
+
 
 def _count(batches):
     """How many texts hold each vocabulary word; number -1 counts all texts."""
@@ -187,7 +211,7 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """One row per row of ``docs``: counts and places of base phrases, ``base_labels``, ``labels`` and ``score``.
 
     ``score`` is 1 with a base phrase, else the best share of a template that gives
-    its label, but at least half the best share of any. Of an SPDX expression the first
+    its label, but at least half the best share of any alignment with an anchor. Of an SPDX expression the first
     name counts. A text of any length is scanned whole. Null and
     empty texts have no words, null places, empty labels and a score of 0;
     repeated rows are scanned one by one; an empty table gives no rows; other

@@ -82,13 +82,14 @@ def test_notices_and_tags(spark):
         assert r["score"] >= L.SIMILARITY if want else 0 < r["score"] < L.SIMILARITY
 
 
-def brute_shares(words, idf):
-    """Per template, the best weight of different indexed positions whose shifts lie in one window."""
+def brute_shares(words, idf, anchored=True):
+    """Per template, the best weight of different indexed positions whose shifts lie in one window, with an anchor there."""
     out = {}
     for t, template in enumerate(L.TEMPLATES):
         parts = template.text.split()
         rare = sorted(set(parts), key=lambda w: (-idf[w], w))[: L.RARE_WORDS]
         total = sum(idf[w] for w in rare)
+        anchors = {w for k, w in enumerate(rare) if sum(idf[v] for v in rare[:k]) <= (1 - L.SIMILARITY + 1e-9) * total}
         for move in (0, L.DRIFT // 2):
             cells = {}
             for p, w in enumerate(parts):
@@ -96,6 +97,8 @@ def brute_shares(words, idf):
                     if w in rare and v == w:
                         cells.setdefault((at - p + move) // L.DRIFT, set()).add(p)
             for positions in cells.values():
+                if anchored and not any(parts[p] in anchors for p in positions):
+                    continue
                 share = sum(idf[parts[p]] / total / parts.count(parts[p]) for p in positions)
                 out[t] = max(out.get(t, 0.0), min(1.0, share))
     return out
@@ -118,6 +121,8 @@ def test_alignment_against_brute_force():
         _, templates, shares = index.candidates(words, ids)
         want = brute_shares([w.decode() for w in words.text(0, len(ids))], idf)
         assert {t: round(v, 9) for t, v in zip(templates.tolist(), shares.tolist())} == {t: round(v, 9) for t, v in want.items()}
+        strong = {t for t, v in brute_shares([w.decode() for w in words.text(0, len(ids))], idf, False).items() if v >= L.SIMILARITY}
+        assert strong == {t for t, v in want.items() if v >= L.SIMILARITY}
 
 
 def test_batches_do_not_matter(spark):
