@@ -28,6 +28,10 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 #: Shards up to this size are searched node by node, larger ones with numpy.
 SMALL_SHARD = 24
+#: Fingerprints that one tree holds; the pieces of a larger shard are half as large and meet in pairs.
+SHARD = 50_000
+#: Open (query, node) places of a search at once, at most so many for the root's level.
+OPEN_PLACES = 1 << 22
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -147,6 +151,7 @@ def _large_links(fps, radius: int) -> list[tuple[int, int]]:
     import numpy as np
 
     tree, unseen, out = Tree(fps), np.ones(len(fps), bool), []
+    step = max(1, min(512, OPEN_PLACES // len(fps)))
     for seed in range(len(fps)):
         if not unseen[seed]:
             continue
@@ -154,18 +159,20 @@ def _large_links(fps, radius: int) -> list[tuple[int, int]]:
         layer = np.array([seed])
         while len(layer):
             fresh = []
-            for at in range(0, len(layer), 512):
-                _, hit = tree.search(fps[layer[at : at + 512]], radius)
+            for at in range(0, len(layer), step):
+                if not unseen.any():
+                    break
+                _, hit = tree.search(fps[layer[at : at + step]], radius)
                 hit = np.unique(hit[unseen[hit]])
                 unseen[hit] = False
                 fresh.append(hit)
-            layer = np.concatenate(fresh)
+            layer = np.concatenate([*fresh, np.zeros(0, np.int64)])
             out += [(seed, int(k)) for k in layer]
     return out
 
 
 def _shard_links(batches, radius: int = RADIUS):
-    """Links of the shards in sorted (pair, value) order; only one shard is held at a time."""
+    """Links of the shards in sorted (pair, value, i, j) order; only one shard, or two pieces of one, is held at a time."""
     import numpy as np
     import pyarrow as pa
 
@@ -178,15 +185,15 @@ def _shard_links(batches, radius: int = RADIUS):
 
     held: tuple | None = None
     for batch in batches:
-        pair, value, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        *names, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         fp = fp.view(np.uint64)
         out: list[tuple[int, int]] = []
         if not len(fp):
             continue
-        cuts = np.flatnonzero((np.diff(pair) != 0) | (np.diff(value) != 0)) + 1
+        cuts = np.flatnonzero(np.any([np.diff(name) != 0 for name in names], axis=0)) + 1
         bounds = [0, *cuts.tolist(), len(fp)]
         for a, b in zip(bounds, bounds[1:]):
-            key = (int(pair[a]), int(value[a]))
+            key = tuple(int(name[a]) for name in names)
             if held and held[0] == key:
                 held = (key, [*held[1], fp[a:b]], [*held[2], rep[a:b]])
                 continue
@@ -199,8 +206,12 @@ def _shard_links(batches, radius: int = RADIUS):
         yield pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) between the ``rep`` of distinct ``fp`` that join all within the radius."""
+def dealt_to_shards(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(``pair``, ``value``, ``i``, ``j``, ``fp``, ``rep``): each ``fp`` in its shards, or in all pairs of pieces it belongs to.
+
+    The large shards are met by a plain join: how many there are grows with the
+    input, so Spark broadcasts them only where their size allows it.
+    """
     cut = lambda i: F.shiftrightunsigned("fp", BLOCKS[i][0]).bitwiseAND((1 << BLOCKS[i][1]) - 1)
     keys = F.array(
         *[
@@ -208,9 +219,22 @@ def near_links(distinct: DataFrame) -> DataFrame:
             for k, (i, j) in enumerate(PAIRS)
         ]
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharded = distinct.select(F.explode(keys).alias("k"), "fp", "rep").select("k.pair", "k.value", "fp", "rep")
-    ordered = sharded.repartition(n, "pair", "value").sortWithinPartitions("pair", "value")
+    large = sharded.groupBy("pair", "value").agg(F.count("*").alias("n")).filter(F.col("n") > shard)
+    large = large.select("pair", "value", F.ceil(2 * F.col("n") / shard).cast("int").alias("pieces"))
+    dealt = sharded.join(large, ["pair", "value"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(fp), pieces) AS int)"))
+    others = F.expr("filter(sequence(0, pieces - 1), k -> k <> own)")
+    dealt = dealt.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    return dealt.withColumn("own", F.coalesce("own", F.lit(0))).select(
+        "pair", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep"
+    )
+
+
+def near_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Links (``a``, ``b``) between the ``rep`` of distinct ``fp`` that join all within the radius."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt_to_shards(distinct, shard)
+    ordered = dealt.repartition(n, "pair", "value", "i", "j").sortWithinPartitions("pair", "value", "i", "j")
     return ordered.mapInArrow(_shard_links, "a bigint, b bigint")
 
 

@@ -71,6 +71,42 @@ def test_links_give_the_components(spark):
     assert len(simhash._small_links(small, 4)) == len(small) - len(set(brute_components(ids[:20], small)))
 
 
+def hot_shard(rng, members=400, singles=60):
+    """Fingerprints of which most differ from one in a few of the bits above the first two blocks, so one shard holds them."""
+    c = rng.getrandbits(64)
+    out = [rng.getrandbits(64) for _ in range(singles)]
+    for _ in range(members):
+        x = c
+        for b in rng.sample(range(22, 64), rng.randint(0, 9)):
+            x ^= 1 << b
+        out.append(x)
+    return sorted(set(out))
+
+
+def test_large_shards_meet_in_pieces(spark):
+    rng = random.Random(12)
+    fps = hot_shard(rng)
+    ids = list(range(len(fps)))
+    rng.shuffle(ids)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame(list(zip(signed, ids)), "fp long, rep long").repartition(3)
+    dealt = simhash.dealt_to_shards(frame, shard=90)
+    sizes = [r["count"] for r in dealt.groupBy("pair", "value", "i", "j").count().collect()]
+    assert max(sizes) < 2 * 90 and sum(sizes) > 15 * len(fps)
+    found = dict(components.roots(simhash.near_links(frame, shard=90)).collect())
+    expected = brute_components(ids, fps)
+    assert [found.get(i, i) for i in ids] == expected and 1 < len(set(expected)) < len(ids)
+
+
+def test_large_links_stop_when_all_are_seen():
+    fps = np.array(hot_shard(random.Random(5), 300, 0), np.uint64)
+    linked = [(b, a) for a, b in simhash._large_links(fps, 4)]
+    group = dict(linked)
+    assert len(group) == len(linked)
+    label = [group.get(i, i) for i in range(len(fps))]
+    assert label == brute_components(list(range(len(fps))), fps.tolist())
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
