@@ -52,7 +52,7 @@ class Analysis:
 
     @cached_property
     def _facts(self) -> DataFrame:
-        return P.column_facts(self.df, self.as_of, self._excluded, self.rows, self.approx_distinct)
+        return P.column_facts(self.df, self.as_of, self._excluded, self.approx_distinct)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -117,12 +117,12 @@ class Analysis:
 
     def problem_rows(self, column: str, issue_type: str = "all") -> DataFrame:
         """The rows of the table that are missing, outliers, or either, in one column."""
-        return R.problem_rows(self.df, column, issue_type, self.config, rows=self.rows)
+        return R.problem_rows(self.df, column, issue_type, self.config)
 
     def any_problem_rows(self) -> DataFrame:
         """The rows with a problem in any column that has an issue."""
         hit = [r["column"] for r in self.issues.select("column").distinct().collect()]
-        return R.any_problem_rows(self.df, hit, self.config, rows=self.rows)
+        return R.any_problem_rows(self.df, hit, self.config)
 
 
 def analyze(

@@ -86,7 +86,7 @@ def distribution_stats(df: DataFrame, columns: list[str] | None = None) -> DataF
             "column string, ordinal int, n long, bins int, min double, max double, mean double, "
             "median double, skew double, skew_class string",
         )
-    stats = numeric_summary(df, infos, df.count())
+    stats = numeric_summary(df, infos)
     names = F.create_map(*[F.lit(x) for c in infos for x in (c.ordinal, c.name)])
     size = F.abs("skew")
     skew_class = (
@@ -161,7 +161,7 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if not infos:
         return _nothing(df, schema)
     entries = [(c.ordinal, as_double(c)) for c in infos]
-    stats = order_statistics(df, entries, QUARTILES, df.count()).toDF("key", "n", "q1", "median", "q3")
+    stats = order_statistics(df, entries, QUARTILES).toDF("key", "n", "q1", "median", "q3")
     by_key = {r["key"]: r for r in stats.collect()}  # one row per column
     bounds = {
         k: (r["q1"] - BOX_FENCE * (r["q3"] - r["q1"]), r["q3"] + BOX_FENCE * (r["q3"] - r["q1"]))

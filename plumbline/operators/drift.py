@@ -63,8 +63,7 @@ def decile_edges(ref: DataFrame, pairs: list[Pair], totals: Totals) -> dict[int,
     edges = {a.ordinal: [0.0, 0.5, 1.0] for a, _ in pairs if a.family == "boolean"}
     numbers = [(a.ordinal, as_double(a)) for a, _ in pairs if a.family == "numeric"]
     if numbers:
-        rows = max(totals[k][0] for k, _ in numbers)
-        for key, values in quantiles(ref, numbers, DECILES, rows).items():
+        for key, values in quantiles(ref, numbers, DECILES).items():
             distinct = sorted(set(values))
             edges[key] = distinct if len(distinct) > 1 else [distinct[0] - 1, distinct[0] + 1]
     return edges

@@ -78,10 +78,10 @@ def _named(stats: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, infos: list[ColumnInfo], rows: int, excluded=None) -> DataFrame:
+def numeric_summary(df: DataFrame, infos: list[ColumnInfo], excluded=None) -> DataFrame:
     """Exact moments and quartiles of the numeric and boolean columns, by ``key``."""
     entries = _numeric_entries(infos, excluded)
-    return _named(order_statistics(df, entries, QUARTILES, rows, moments=True))
+    return _named(order_statistics(df, entries, QUARTILES, moments=True))
 
 
 def _rows(df: DataFrame, aggs: list[str], cells: list[str]) -> DataFrame:
@@ -154,7 +154,6 @@ def column_facts(
     df: DataFrame,
     as_of=None,
     excluded: dict[str, list] | None = None,
-    rows: int | None = None,
     approx_distinct: bool = False,
 ) -> DataFrame:
     """The statistics of every column by ``key``: one query, cached, a row per column.
@@ -167,7 +166,6 @@ def column_facts(
     quantile bracket that missed its rank, and a long text mode.
     """
     infos = describe_columns(df)
-    rows = df.count() if rows is None else rows
     by_family: dict[str, list[ColumnInfo]] = {}
     for c in infos:
         by_family.setdefault(c.family, []).append(c)
@@ -195,7 +193,7 @@ def column_facts(
     flags = ["key"]
     if numbers:
         entries = _numeric_entries(numbers, excluded)
-        proposed, _ = proposed_statistics(df, entries, QUARTILES, rows, moments=True)
+        proposed, _ = proposed_statistics(df, entries, QUARTILES, moments=True)
         facts = assemble(_named(proposed))
         flags += ["missed", "min", "max"]
     else:
@@ -205,7 +203,7 @@ def column_facts(
     found = facts.select(*flags).collect()
     if numbers and any(r["missed"] for r in found):
         facts.unpersist()
-        facts = assemble(numeric_summary(df, numbers, rows, excluded))
+        facts = assemble(numeric_summary(df, numbers, excluded))
         found = facts.select(*[f for f in flags if f != "missed"]).collect()
     if texts:
         heads = {r["key"]: (r["most_common"], r["most_common_count"]) for r in found if r["mode_long"]}
@@ -253,7 +251,7 @@ def profile(
     infos = describe_columns(df)
     rows = df.count() if rows is None else rows
     if facts is None:
-        facts = column_facts(df, as_of, excluded, rows, approx_distinct)
+        facts = column_facts(df, as_of, excluded, approx_distinct)
     have = set(facts.columns)
     names = ", ".join(
         f"{c.ordinal}, struct({literal(c.name)}, {literal(c.dtype)}, {literal(c.family)})" for c in infos

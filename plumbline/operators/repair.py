@@ -16,7 +16,7 @@ from plumbline.plans.orderstats import quantiles
 def fit_medians(ref: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the named numeric columns."""
     infos = numeric_columns(ref, columns)
-    found = quantiles(ref, [(c.ordinal, as_double(c)) for c in infos], (0.5,), ref.count())
+    found = quantiles(ref, [(c.ordinal, as_double(c)) for c in infos], (0.5,))
     return {c.name: found[c.ordinal][0] for c in infos if c.ordinal in found}
 
 

@@ -30,9 +30,7 @@ def is_missing(info: ColumnInfo) -> Column:
     return (col.isNull() | F.isnan(col)) if isinstance(info.type, FLOATING) else col.isNull()
 
 
-def column_fences(
-    df: DataFrame, infos: list[ColumnInfo], config: Config, rows: int | None = None
-) -> dict[int, tuple[float, float]]:
+def column_fences(df: DataFrame, infos: list[ColumnInfo], config: Config) -> dict[int, tuple[float, float]]:
     """IQR fences per numeric column, excluded values left out, as driver numbers."""
     infos = [c for c in infos if c.family == "numeric"]
     if not infos:
@@ -40,9 +38,8 @@ def column_fences(
     entries = []
     for info in infos:
         entries.append((info.ordinal, without(as_double(info), config.excluded(info.name))))
-    rows = df.count() if rows is None else rows
     k = config.outlier_threshold
-    found = quantiles(df, entries, (0.25, 0.75), rows)
+    found = quantiles(df, entries, (0.25, 0.75))
     return {i: (q1 - k * (q3 - q1), q3 + k * (q3 - q1)) for i, (q1, q3) in found.items()}
 
 
@@ -72,12 +69,11 @@ def problem_rows(
     column: str,
     issue_type: str = "all",
     config: Config | dict | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Rows whose ``column`` is missing, an outlier, or either. No row-count floor applies."""
     config = Config.of(config)
     info = require(df, column)
-    fences = column_fences(df, [info], config, rows) if issue_type in ("outliers", "all") else {}
+    fences = column_fences(df, [info], config) if issue_type in ("outliers", "all") else {}
     return df.filter(_predicate(info, issue_type, fences, config))
 
 
@@ -85,7 +81,6 @@ def any_problem_rows(
     df: DataFrame,
     columns: list[str],
     config: Config | dict | None = None,
-    rows: int | None = None,
     tag: str | None = None,
 ) -> DataFrame:
     """Rows with a problem in any of ``columns``: one pass, one predicate.
@@ -94,7 +89,7 @@ def any_problem_rows(
     """
     config = Config.of(config)
     infos = describe_columns(df, columns)
-    fences = column_fences(df, infos, config, rows)
+    fences = column_fences(df, infos, config)
     tests = [(c.name, _predicate(c, "all", fences, config)) for c in infos]
     if not tests:
         return df.limit(0)

@@ -1,11 +1,13 @@
 """Exact quantiles and moments without sorting or shuffling a column.
 
-A sample proposes, per column, a few narrow brackets that should hold the
-wanted ranks. One pass then counts: rows outside the brackets collapse, before
-the shuffle, to one cell per gap; only the distinct values inside a bracket
-travel. The cell counts give every rank exactly, so the sample decides how much
-is shuffled and never what the answer is. A bracket that misses its rank, or
-holds too many rows to rank in one place, is narrowed and counted again.
+One pass over all rows keeps a mergeable quantile sketch per column, whose
+values just below and just above the wanted ranks are narrow brackets that should
+hold them. A second pass counts: rows outside the brackets collapse, before the
+shuffle, to one cell per gap; only the distinct values inside a bracket travel.
+The cell counts give every rank exactly, so the sketch decides how much is
+shuffled and never what the answer is. A bracket that misses its rank, or holds
+too many rows to rank in one place, is narrowed and counted again; that begins at
+some hundred million rows.
 
 What reaches the driver is a fixed number of values per column.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +25,18 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import literal
 from plumbline.functions.stats import lerp
 from plumbline.plans.bins import double_array, with_position
-from plumbline.plans.longform import melt
+from plumbline.plans.longform import BATCH, melt
 
 INF = float("inf")
 
-# Rows the proposing sample aims at, and the grid its quantiles are read on.
-SAMPLE_ROWS = 50_000
-GRID = 100
-# Accuracy of the sketch over the sample; its error widens the brackets.
-SKETCH = 2_000
+# Size of a quantile sketch; columns of up to so many values need no brackets.
+SKETCH_K = 4096
+# Half-width of a bracket in rank errors of the sketch that hold 99 times in 100.
+WIDTH = 2.0
+# Groups of tasks whose sketches are merged first, so that no task merges those of all.
+SLOTS = 64
 # Rows that may lie strictly inside a bracket before it is narrowed first.
 BRACKET_ROWS = 4_000_000
-# Half-width of a bracket in standard errors of a sample quantile.
-SIGMAS = 5.0
 # Rounds after which narrowing or recounting fails: the input differs between scans.
 MAX_ROUNDS = 12
 
@@ -75,35 +77,52 @@ class Entry:
         return merged
 
 
-def _sample_grid(
-    df: DataFrame, probes: list[tuple[int, str]], fraction: float, points: int, seed: int
+def _rank_error() -> float:
+    """Half-width of a bracket as a share of the rows: the published error of a sketch of this size, widened."""
+    return WIDTH * 2.296 / SKETCH_K**0.9021
+
+
+def _sketched(
+    df: DataFrame, probes: Sequence[tuple[int, str, Sequence[float]]]
 ) -> dict[int, tuple[int, list[float]]]:
-    """Size of the sample and its quantile grid, per probe."""
-    source = df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
-    grid = double_array([i / points for i in range(points + 1)])
-    found = (
-        melt(source, probes)
-        .filter("value IS NOT NULL")
-        .groupBy("key")
-        .agg(
-            F.expr("count(value) AS k"),
-            F.expr(f"percentile_approx(value, {grid}, {max(SKETCH, 20 * points)}) AS grid"),
+    """Number of present values and estimated quantiles at the given ranks, per probe that has a value.
+
+    One job that reads all rows once and shuffles a sketch per probe and task.
+    """
+    parts = []
+    for start in range(0, len(probes), BATCH):
+        batch = list(enumerate(probes[start : start + BATCH]))
+        values = [f"{value} AS v{j}" for j, (_, value, _) in batch]
+        sketches = [F.expr(f"kll_sketch_agg_double(v{j}, {SKETCH_K}) AS s{j}") for j, _ in batch]
+        merged = (
+            df.selectExpr(*values, f"spark_partition_id() % {SLOTS} AS slot")
+            .groupBy("slot")
+            .agg(*sketches)
+            .agg(*[F.expr(f"kll_merge_agg_double(s{j}) AS s{j}") for j, _ in batch])
+            .selectExpr("*", *[f"coalesce(kll_sketch_get_n_double(s{j}), 0L) AS n{j}" for j, _ in batch])
         )
-    )
-    return {r["key"]: (r["k"], r["grid"]) for r in found.collect()}
+        cells = [
+            f"struct({key} AS key, n{j} AS n, CASE WHEN n{j} > 0 THEN "
+            f"kll_sketch_get_quantile_double(s{j}, {double_array(ranks)}) END AS found)"
+            for j, (key, _, ranks) in batch
+        ]
+        parts.append(merged.selectExpr(f"inline(array({', '.join(cells)}))"))
+    rows = reduce(DataFrame.unionAll, parts).filter("n > 0").collect()
+    return {r["key"]: (r["n"], r["found"]) for r in rows}
+
 
+def _around(p: float, error: float) -> tuple[float, float]:
+    return max(p - error, 0.0), min(p + error, 1.0)
 
-def _propose(iv: Interval, k: int, grid: list[float], p: float, rows: float) -> None:
-    """Shrink an interval holding ``rows`` rows to the grid values around quantile ``p``."""
-    points = len(grid) - 1
-    error = SIGMAS * math.sqrt(max(p * (1 - p), 1 / k) / k) + 2 / k + 1 / SKETCH
-    left, right = math.floor((p - error) * points), math.ceil((p + error) * points)
-    lo, hi = max(left, 0), min(right, points)
-    if left >= 0:
-        iv.lo = grid[lo]
-    if right <= points:
-        iv.hi = grid[hi]
-    iv.interior = rows * (hi - lo) / points
+
+def _propose(iv: Interval, lo: float, hi: float, p: float, error: float, rows: float) -> None:
+    """Shrink an interval holding ``rows`` rows to the estimates around rank ``p``."""
+    left, right = _around(p, error)
+    if left > 0:
+        iv.lo = lo
+    if right < 1:
+        iv.hi = hi
+    iv.interior = rows * (right - left)
 
 
 def _with_region(df: DataFrame, entries: list[Entry]) -> DataFrame:
@@ -200,29 +219,29 @@ def _locate(df: DataFrame, entries: list[Entry], probs: Sequence[float]) -> None
                     below += count
 
 
-def _narrow(df: DataFrame, entries: list[Entry], seed: int) -> None:
-    """Sample inside the intervals that are too full and shrink them."""
-    slots = [iv for e in entries for iv in e.intervals if iv.too_full]
-    owners = [e for e in entries for iv in e.intervals if iv.too_full]
+def _narrow(df: DataFrame, entries: list[Entry]) -> None:
+    """Sketch the inside of the intervals that are too full and shrink them."""
+    full = [(e, iv) for e in entries for iv in e.intervals if iv.too_full]
+    errors = [_rank_error() if iv.interior > SKETCH_K else 2 / iv.interior for _, iv in full]
     probes = []
-    for j, (e, iv) in enumerate(zip(owners, slots)):
+    for j, ((e, iv), error) in enumerate(zip(full, errors)):
         inside = f"{e.value} > {literal(iv.lo)} AND {e.value} < {literal(iv.hi)}"
-        probes.append((j, f"CASE WHEN {inside} THEN {e.value} END"))
-    fraction = min(1.0, 1.05 * SAMPLE_ROWS / min(iv.interior for iv in slots))
-    for j, (k, grid) in _sample_grid(df, probes, fraction, GRID, seed).items():
-        _propose(slots[j], k, grid, slots[j].position, slots[j].interior)
+        probes.append((j, f"CASE WHEN {inside} THEN {e.value} END", _around(iv.position, error)))
+    for j, (n, (lo, hi)) in _sketched(df, probes).items():
+        iv = full[j][1]
+        _propose(iv, lo, hi, iv.position, errors[j], n)
 
 
-def _shrink(df: DataFrame, entries: list[Entry], probs: Sequence[float], seed: int) -> None:
+def _shrink(df: DataFrame, entries: list[Entry], probs: Sequence[float]) -> None:
     """Narrow until every interval is small enough to rank in one window."""
-    for round_no in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS):
         full = [e for e in entries if any(iv.too_full for iv in e.intervals)]
         if not full:
             return
         _locate(df, full, probs)
         full = [e for e in full if any(iv.too_full for iv in e.intervals)]
         if full:
-            _narrow(df, full, seed + round_no)
+            _narrow(df, full)
     if any(iv.too_full for e in entries for iv in e.intervals):
         raise RuntimeError("the intervals cannot be narrowed: does the table differ between scans?")
 
@@ -231,27 +250,26 @@ def proposed_statistics(
     df: DataFrame,
     columns: Sequence[tuple[int, str]],
     probs: Sequence[float],
-    rows: int,
     moments: bool = False,
 ) -> tuple[DataFrame, list[Entry]]:
-    """The statistics as a lazy frame, from brackets a sample proposes.
+    """The statistics as a lazy frame, from brackets that sketches propose.
 
     ``missed`` marks the columns where a bracket missed a rank; the others are
     exact.
     """
     entries = [Entry(k, v) for k, v in columns]
-    fraction = min(1.0, 1.05 * SAMPLE_ROWS / max(rows, 1))
-    grids = _sample_grid(df, list(columns), fraction, GRID, seed=17)
+    error = _rank_error()
+    ranks = [0.5] + [r for p in probs for r in _around(p, error)]
+    found = _sketched(df, [(k, v, ranks) for k, v in columns])
     for e in entries:
-        # Unseen in the sample means at most a handful of rows per sampled one.
-        unseen = 0.0 if fraction >= 1 else 20 / fraction
-        e.intervals = [Interval(interior=unseen) for _ in range(2 * len(probs))]
-        if e.key in grids:
-            k, grid = grids[e.key]
-            e.shift = grid[GRID // 2]
-            for i, iv in enumerate(e.intervals):
-                _propose(iv, k, grid, probs[i // 2], k / fraction)
-    _shrink(df, entries, probs, seed=100)
+        n, (middle, *ends) = found.get(e.key, (0, [0.0, *ranks[1:]]))
+        e.shift = middle
+        e.intervals = [Interval(interior=n) for _ in range(2 * len(probs))]
+        if n > SKETCH_K:
+            for i, p in enumerate(probs):
+                for iv in e.intervals[2 * i : 2 * i + 2]:
+                    _propose(iv, ends[2 * i], ends[2 * i + 1], p, error, n)
+    _shrink(df, entries, probs)
     return _counted(df, entries, probs, moments), entries
 
 
@@ -270,18 +288,16 @@ def order_statistics(
     df: DataFrame,
     columns: Sequence[tuple[int, str]],
     probs: Sequence[float],
-    rows: int,
     moments: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles ``q0, q1, ...`` per column.
 
-    ``columns`` pairs a key with the SQL text of a double; ``rows`` is the row count
-    of ``df``. The result has one row per key that has any value, with the
+    ``columns`` pairs a key with the SQL text of a double. The result has one row per key that has any value, with the
     count ``n`` and, if ``moments``, the sums of powers of ``x - shift``, the
     shift, minimum, maximum and zero count. It is cached: it holds as many rows
     as there are columns.
     """
-    frame, pending = proposed_statistics(df, columns, probs, rows, moments)
+    frame, pending = proposed_statistics(df, columns, probs, moments)
     done: list[DataFrame] = []
     for round_no in range(MAX_ROUNDS):
         part = frame.persist()
@@ -293,7 +309,7 @@ def order_statistics(
         if round_no + 1 == MAX_ROUNDS:
             raise RuntimeError(f"{len(pending)} columns keep missing a rank: does the table differ between scans?")
         _locate(df, pending, probs)
-        _shrink(df, pending, probs, seed=1000 * (round_no + 1))
+        _shrink(df, pending, probs)
         frame = _counted(df, pending, probs, moments)
     out = done[0]
     for part in done[1:]:
@@ -302,8 +318,8 @@ def order_statistics(
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[tuple[int, str]], probs: Sequence[float], rows: int
+    df: DataFrame, columns: Sequence[tuple[int, str]], probs: Sequence[float]
 ) -> dict[int, list[float]]:
     """The same as driver values, for use as literals (fences, edges, medians)."""
-    found = order_statistics(df, columns, probs, rows).collect()
+    found = order_statistics(df, columns, probs).collect()
     return {r["key"]: [r[f"q{i}"] for i in range(len(probs))] for r in found}

@@ -56,8 +56,7 @@ def reference_bins(ref: DataFrame, columns: Sequence[str], bins: int = 10) -> di
     from plumbline.plans.orderstats import quantiles
 
     infos = numeric_columns(ref, list(columns))
-    rows = ref.count()
-    found = quantiles(ref, [(c.ordinal, as_double(c)) for c in infos], [i / bins for i in range(bins + 1)], rows)
+    found = quantiles(ref, [(c.ordinal, as_double(c)) for c in infos], [i / bins for i in range(bins + 1)])
     edges = {c.name: sorted(set(found[c.ordinal])) for c in infos if c.ordinal in found}
     edges = {n: e if len(e) > 1 else [e[0] - 1, e[0] + 1] for n, e in edges.items()}
     by_name = {c.name: c for c in infos}

@@ -46,7 +46,7 @@ PAIRS = {
 def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
     """By value at once (0), and pruned by coarse to narrow buckets."""
     if buckets:
-        monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 400)
+        monkeypatch.setattr(orderstats, "SKETCH_K", 40)
         monkeypatch.setattr(ecdf, "BUCKETS", buckets)
     left, right = PAIRS[kind](np.random.default_rng(42))
     ref, cur = column(list(map(float, left))), column(list(map(float, right)))
@@ -59,7 +59,7 @@ def test_numeric_against_numpy(column, monkeypatch, kind, buckets):
 
 
 def test_table_uses_brackets_and_buckets(column, monkeypatch):
-    monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(orderstats, "SKETCH_K", 30)
     monkeypatch.setattr(ecdf, "PARTS", 2)
     left, right = PAIRS["heavy"](np.random.default_rng(3))
     row = drift.drift_table(column(list(map(float, left))), column(list(map(float, right)))).collect()[0]

@@ -93,9 +93,9 @@ def test_ranks_that_keep_missing_fail(spark, monkeypatch):
     df = spark.range(4000).selectExpr("cast(id AS double) AS x")
     monkeypatch.setattr(orderstats, "BRACKET_ROWS", 1)
     monkeypatch.setattr(orderstats, "MAX_ROUNDS", 1)
-    monkeypatch.setattr(orderstats, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(orderstats, "SKETCH_K", 8)
     with pytest.raises(RuntimeError, match="differ between scans"):
-        orderstats.order_statistics(df, [(0, "x")], (0.5,), 4000).collect()
+        orderstats.order_statistics(df, [(0, "x")], (0.5,)).collect()
 
 
 def test_samples_do_not_depend_on_the_split(spark, tmp_path):
