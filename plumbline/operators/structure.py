@@ -20,7 +20,6 @@ from plumbline.functions.columns import (
     schema_frame,
 )
 from plumbline.plans.frequency import distinct_counts
-from plumbline.plans.longform import BATCH
 from plumbline.plans.products import block_sums, correlations
 
 #: With more columns than this, pairs come from products of blocks instead of a row per pair.
@@ -132,11 +131,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 def wide_correlation(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     """:func:`correlation_pairs` of many columns, from products of blocks of columns."""
-    means: list[float] = []
-    for at in range(0, len(infos), BATCH):
-        row = df.agg(*[F.expr(f"avg({as_double(c)})") for c in infos[at : at + BATCH]]).first()
-        means += [m or 0.0 for m in row]
-    found = correlations(block_sums(df, [as_double(c) for c in infos], means), len(infos))
+    found = correlations(block_sums(df, [as_double(c) for c in infos]), len(infos))
     names = F.array(*[F.lit(c.name) for c in infos])
     return found.select(names[F.col("a")].alias("col1"), names[F.col("b")].alias("col2"), "r")
 
