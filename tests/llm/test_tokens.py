@@ -115,3 +115,18 @@ def test_packing(spark, coder):
         assert at <= packing.WINDOW
     assert sum(r["length"] for r in packing.packed_rows(docs).filter("doc_id = 3").collect()) == 2 * 4
     assert packing.packed_rows(empty_documents(spark)).count() == 0
+
+
+def test_a_full_pool_keeps_the_parts_at_hand(monkeypatch):
+    from plumbline.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 120)
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    first = ["first " + " ".join(f"old{i}" for i in range(100))]
+    second = ["then " + " ".join([*(f"old{i}." for i in range(0, 100, 2)), *(f"new{i}," for i in range(60))])]
+    learned, learn = [], coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda parts: learned.append(set(parts)) or learn(parts))
+    for texts in (first, second, first):
+        want = [np.array(coder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert coder.encode(texts) == want
+    assert len(learned) == 3 and not learned[0] & learned[1]
