@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage works on all rows its predecessor kept.
 
 Quality rules drop what they reject, the first document of each group of near
-copies (five-word Jaccard of 0.8 or more) stays, decontamination drops documents
+copies (by SimHash and MinHash keys, then five-word Jaccard of 0.8 or more) stays, decontamination drops documents
 with benchmark passages, personal numbers become pseudonyms, and what is left is
 packed into sequences.
 """
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies by their whole shingle sets; SimHash alone, as in op6, leaves most of those below 0.95."""
+    """Candidates from op6's fingerprint trees, and from keys for what four bits miss; whole shingle sets decide."""
     return near_copies.keep_first(docs)
 
 

@@ -12,7 +12,7 @@ from plumbline.llm.shared import written
 HUB_PARTS = 1000
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
+def with_least(edges: DataFrame, total: int) -> DataFrame:
     """(``a``, ``b``, ``m``): each edge with the least ``b`` of its ``a``; edges of hubs are not shuffled by their node."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     hubs = least.filter(F.col("n") * HUB_PARTS > total).selectExpr("a", "m AS hub")
@@ -24,13 +24,13 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of its neighbours and itself."""
     both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-    links = _with_least(both, total).filter("b > a")
+    links = with_least(both, total).filter("b > a")
     return links.selectExpr("b AS a", "least(a, m) AS b").filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; edges come as (larger, smaller)."""
-    moved = _with_least(edges, total).selectExpr("b AS a", "m AS b")
+    moved = with_least(edges, total).selectExpr("b AS a", "m AS b")
     own = edges.groupBy("a").agg(F.min("b").alias("b"))
     return moved.unionByName(own).filter("a <> b").distinct()
 

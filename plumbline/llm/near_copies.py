@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of their five-word shingles.
+"""Near copies by SimHash and by the Jaccard similarity of their five-word shingles.
 
-Candidates share one of 64 keys, each made of five of 320 MinHash values: two
-texts with a similarity of 0.8 share none with a probability of 9e-12, nearer
-ones with less. The rows of a key are linked to its least text only, in each
+Candidates are, first, sets whose SimHash fingerprints differ in at most four of 64
+bits, found in the sharded BK-trees of ``simhash``; that misses most pairs below
+0.95. So sets are candidates also if they share one of 64 keys, each made of five
+of 320 MinHash values: two texts with a similarity of 0.8 share none with a
+probability of 9e-12, nearer ones with less. The rows of a key are linked to its least text only, in each
 batch before the shuffle and then over all, so a large group gives as many links
 as rows. The components of these links hold all near copies together; inside
 each the similarity is counted over the whole shingle sets, and only links of
@@ -14,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import roots
+from plumbline.llm.components import roots, with_least
 from plumbline.llm.shared import ship, written
-from plumbline.llm.simhash import SEED, shingles
+from plumbline.llm.simhash import SEED, majority, near_links, shingles, votes
 
 SHINGLE = 5
 BANDS, ROWS = 64, 5
@@ -61,9 +63,10 @@ def key_maker():
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``fp``, ``n``, ``keys``) of each row: equal shingle sets have equal ``fp``.
+    """(``doc_id``, ``fp``, ``n``, ``sim``, ``keys``) of each row: equal shingle sets have equal ``fp``.
 
-    ``keys`` is null without shingles or doc_id, and where the task has given those of the same set.
+    ``sim`` is the set's SimHash. It and ``keys`` are null without shingles or doc_id, and where
+    the task has given those of the same set.
     """
     ship(docs.sparkSession)
 
@@ -74,7 +77,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         seen, of = set(), key_maker()
         for batch in batches:
-            ids, fps, sizes, keys = batch.column("doc_id"), [], [], []
+            ids, fps, sizes, sims, keys = batch.column("doc_id"), [], [], [], []
             for doc_id, text in zip(ids.to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = hashes(text)
                 fp = xxhash.xxh64_intdigest(found.tobytes(), SEED)
@@ -83,18 +86,27 @@ def sketches(docs: DataFrame) -> DataFrame:
                     seen.add(fp)
                 fps.append(fp)
                 sizes.append(len(found))
+                sims.append(_signed(majority(votes(found), len(found))) if new else None)
                 keys.append(of(found) if new else None)
             yield pa.record_batch(
                 {
                     "doc_id": ids,
                     "fp": pa.array(np.array(fps, np.uint64).view(np.int64)),
                     "n": pa.array(sizes, pa.int64()),
+                    "sim": pa.array(sims, pa.int64()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
     rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text")
-    return rows.mapInArrow(sketched, "doc_id bigint, fp bigint, n bigint, keys array<bigint>")
+    return rows.mapInArrow(sketched, "doc_id bigint, fp bigint, n bigint, sim bigint, keys array<bigint>")
+
+
+def sim_links(sets: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) that join all sets ``fp`` whose SimHash ``sim`` differ in at most ``simhash.RADIUS`` bits."""
+    same = with_least(sets.selectExpr("sim AS a", "fp AS b"), sets.count())
+    distinct = written(sets.groupBy(F.col("sim").alias("fp")).agg(F.min(sets["fp"]).alias("rep")), "distinct-fingerprints")
+    return same.filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(near_links(distinct))
 
 
 def _batch_links(batches):
@@ -218,8 +230,11 @@ def _verified(batches):
 def _print(found) -> int:
     import xxhash
 
-    fp = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-    return fp - (1 << 64) if fp >> 63 else fp
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -235,7 +250,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = rows.filter("keys IS NOT NULL").select("fp", "keys")
     keyed = keyed.mapInArrow(_batch_links, "key bigint, fp bigint, to bigint")
     sorted_ = keyed.repartition(n, "key").sortWithinPartitions("key", "fp")
-    found = roots(sorted_.mapInArrow(_key_links, "a bigint, b bigint"))
+    by_keys = sorted_.mapInArrow(_key_links, "a bigint, b bigint")
+    found = roots(sim_links(rows.filter("sim IS NOT NULL").select("fp", "sim")).unionByName(by_keys))
     members = found.selectExpr("node AS fp", "root").unionByName(found.selectExpr("root AS fp", "root").distinct())
     members = members.join(distinct, "fp")
     pieces = members.groupBy("root").agg(F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))

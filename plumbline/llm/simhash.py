@@ -50,6 +50,21 @@ def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
     return [joined[a:b] for a, b in zip(begins, ends[size - 1 :], strict=True)]
 
 
+def votes(hashes):
+    """For each of 64 positions the hashes that have the bit set."""
+    import numpy as np
+
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(counts, n: int) -> int:
+    """The fingerprint of ``n`` hashes by their votes: the bits set in over half of them."""
+    import numpy as np
+
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit fingerprint of a whole text; zero without words."""
     import numpy as np
@@ -58,12 +73,10 @@ def fingerprint(text: str | None) -> int:
     digest, found = xxhash.xxh64_intdigest, shingles(text)
     if not found:
         return 0
-    votes = np.zeros(64, np.int64)
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(found), 1 << 16):
-        hashes = np.array([digest(s, SEED) for s in found[at : at + (1 << 16)]], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(found), bitorder="little").tobytes(), "little")
+        counts += votes(np.array([digest(s, SEED) for s in found[at : at + (1 << 16)]], np.uint64))
+    return majority(counts, len(found))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

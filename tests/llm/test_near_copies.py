@@ -7,6 +7,7 @@ import corpus_pipeline
 from edges import empty_documents, odd_documents
 from plumbline.llm import near_copies as N
 from plumbline.llm.components import roots
+from plumbline.llm.simhash import near_links
 
 
 def shingle_set(text):
@@ -98,3 +99,33 @@ def test_components_with_hubs_and_chains(spark):
     want = {5001 + i: 5000 for i in range(900)} | {20_000 + i: 4000 for i in range(700)}
     want |= {30_001 + i: 30_000 for i in range(40)} | {40_001 + 2 * i: 40_000 + 2 * i for i in range(1500)}
     assert found == want
+
+
+def test_candidates_come_from_simhash_trees(spark, monkeypatch):
+    """Links of equal and of near fingerprints, and the stage asks for them."""
+    rng, texts = random.Random(8), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(900)}" for _ in range(400)]
+        for k in range(4):
+            texts.append(" ".join([*base, *(f"x{rng.randrange(900)}" for _ in range(k))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = N.sketches(docs).filter("sim IS NOT NULL").select("fp", "sim").distinct()
+    sims = {r["fp"]: r["sim"] % (1 << 64) for r in rows.collect()}
+    fps = sorted(sims)
+    assert all(v == N.majority(N.votes(h := N.hashes(t)), len(h)) for t in texts for v in [sims[N._print(N.hashes(t))]])
+    label = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if (sims[a] ^ sims[b]).bit_count() <= 4 and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {f: new if x == old else x for f, x in label.items()}
+    assert len(set(label.values())) < len(fps)
+    found = {r["node"]: r["root"] for r in roots(N.sim_links(rows)).collect()}
+    assert {f: found.get(f, f) for f in fps} == label
+
+    same = spark.createDataFrame([(7, 5), (9, 5), (8, 5), (3, -1)], "fp long, sim long")
+    assert {r["node"]: r["root"] for r in roots(N.sim_links(same)).collect()} == {8: 7, 9: 7}
+    asked = []
+    monkeypatch.setattr(N, "near_links", lambda distinct: asked.append(1) or near_links(distinct))
+    corpus_pipeline.simhash_near_dedup(spark, docs.limit(4), "").count()
+    assert asked
