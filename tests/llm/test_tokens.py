@@ -130,3 +130,39 @@ def test_a_full_pool_keeps_the_parts_at_hand(monkeypatch):
         want = [np.array(coder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert coder.encode(texts) == want
     assert len(learned) == 3 and not learned[0] & learned[1]
+
+
+def test_cuts_at_marks_and_line_breaks_give_the_library_ids(coder):
+    random.seed(4)
+    parts = ["Wort", "é", "x9", ".", ";", "!", "'ll", "#*", ")", "\n", "\n", " ", " ", " ", "\x01", "\x85", " ", "<|endoftext|>", "日本", "7"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 20))) for _ in range(6000)]
+    texts += [" ", "\n", "\x01", " one", "one ", "\none two", "a\n\nb c", "a\n b", "one.\nTwo three,\nFour 3.14 a.b.c"]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(coder, text), repr(text)
+
+
+def test_parts_seen_often_outlast_a_full_pool(monkeypatch):
+    from plumbline.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 300)
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    often = "start " + " ".join("oft" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(100))
+    learned, learn = [], coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda parts: learned.extend(parts) or learn(parts))
+    for texts in ([often], [often], *(["start " + " ".join(f"rare{n}x{i}" for i in range(150))] for n in range(2)), [often]):
+        want = [np.array(coder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert coder.encode(texts) == want
+    assert len(learned) == len(set(learned)) == 101 + 300 and len(coder.place) < 300
+
+
+def test_few_texts_reach_the_library(coder, monkeypatch):
+    """Words behind a line break are encoded together; texts given as a whole come alone, as the library holds much a token."""
+    calls, library = [], coder._library
+    monkeypatch.setattr(coder, "_library", lambda texts: calls.append(list(texts)) or library(texts))
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)]
+    text = "Alone " + " ".join(f"{a}zq{b}.\nNeu{a}{b}vx" for a, b in zip(letters, reversed(letters), strict=True))
+    texts = [text, *("two  spaces " * 50 for _ in range(5))]
+    for ids, text in zip(coder.encode(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(coder, text)
+    assert sum(map(len, calls)) < 20
+    assert max(sum(map(len, c)) for c in calls if any("  " in t for t in c)) <= 600
