@@ -17,8 +17,9 @@ from plumbline.llm.shared import bind, written
 
 WINDOW = 5
 SIMILARITY = 0.8
-#: Windows in a row that make a passage of the item even if the item is longer: 13 words in a row.
-PASSAGE = 13 - WINDOW + 1
+#: Words in a row that make a passage of the item even if the item is longer: the same ones, or so many besides slots.
+WORDS = 13
+PASSAGE = WORDS - WINDOW + 1
 #: A window with fewer words that are not slots must agree in its slot values too.
 LITERALS = 3
 #: Alignments that differ by at most so many words belong to one passage.
@@ -144,8 +145,11 @@ def _forms(items: DataFrame) -> DataFrame:
 def _item_windows(forms: DataFrame, size: int) -> DataFrame:
     """Windows of the items that use ``size``: all as long as a window, and one of an item that is shorter."""
     own = forms.filter(F.size("_pairs") >= size if size == WINDOW else F.size("_pairs") == size)
-    every = _exploded(own, "item_id", size, "item", "_inside")
-    return every.filter("(not _inside or item_at = 0) and not item_bare").drop("_inside", "item_bare")
+    every = _exploded(own, "item_id", size, "item", "_inside", "_pairs")
+    every = every.filter("(not _inside or item_at = 0) and not item_bare")
+    words = F.filter(F.slice("_pairs", F.col("item_at") + 1, size), lambda p: p["v"].isNull())
+    last = F.get("_pairs", F.col("item_at") + size - 1)["v"].isNull().cast("int")
+    return every.withColumns({"item_words": F.size(words), "item_last": last}).drop("_inside", "item_bare", "_pairs")
 
 
 def _longest_run(places: Column) -> Column:
@@ -159,6 +163,18 @@ def _longest_run(places: Column) -> Column:
     return F.aggregate(F.sort_array(places), start, step, lambda s: s["best"])
 
 
+def _most_words(windows: Column) -> Column:
+    """The most literal words in a run of windows, given their (place, literal words, whether the last word is one)."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        more = F.when(x["at"] == s["last"], s["run"]).when(x["at"] == s["last"] + 1, s["run"] + x["more"])
+        run = F.coalesce(more, x["words"])
+        return F.struct(x["at"].alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.sort_array(windows), start, step, lambda s: s["best"])
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and item whose templates share a window.
 
@@ -169,7 +185,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     those that meet several values), ``similarity`` (the share of the windows in
     the best passage), ``kind`` (exact, changed or partial) and ``leaked``: one
     alignment, or one passage of neighbouring alignments, has enough of the item's
-    windows, or ``PASSAGE`` of them in a row, and consistent slot values. Null texts have no windows, repeated rows
+    windows, or ``WORDS`` words in a row whose slot values are the item's or that are no slots, and
+    consistent slot values. Null texts have no windows, repeated rows
     of a ``doc_id`` count together, rows without one each on their own, an empty
     table on either side gives no rows, and extra columns are not read. Texts of any
     length are read whole. An item shorter than a window is one window of
@@ -216,11 +233,16 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     judged = (
         placed.withColumn("_single", single)
-        .select(*key, "item_at", "item_rich", values.alias("_values"), F.explode(groups).alias("g"))
+        .select(
+            *key, "item_at", "item_rich", values.alias("_values"), F.explode(groups).alias("g"),
+            F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_at")).alias("_same_at"),
+            F.struct(F.col("item_at").alias("at"), F.col("item_words").alias("words"), F.col("item_last").alias("more")).alias("_words"),
+        )
         .groupBy(*key, "g")
         .agg(
             F.size(F.collect_set("item_at")).alias("n_every"),
-            _longest_run(F.collect_set("item_at")).alias("n_row"),
+            _longest_run(F.collect_set("_same_at")).alias("n_row"),
+            _most_words(F.collect_set("_words")).alias("n_words"),
             F.size(F.collect_set(plain)).alias("n_plain"),
             F.array_distinct(F.flatten(F.collect_set("_values"))).alias("_values"),
         )
@@ -243,7 +265,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.max("n_own").alias("_best"),
         F.bool_or("whole").alias("whole"),
         F.bool_or(F.col("whole") & F.col("same")).alias("same"),
-        F.bool_or((F.col("whole") | (F.col("n_row") >= PASSAGE)) & F.col("consistent")).alias("leaked"),
+        F.bool_or((F.col("whole") | (F.col("n_row") >= PASSAGE) | (F.col("n_words") >= WORDS)) & F.col("consistent")).alias("leaked"),
     )
     pairs = hits.filter("item_slots <> ''").select(*key, F.explode(values).alias("p"))
     slots = (

@@ -150,3 +150,15 @@ def test_recall_of_changed_questions_and_false_hits(spark):
     # The same sentence with seven other content words is near enough for some; one that shares its opening never is.
     alike = {d for d, _ in leaked if 1000 <= d < 2000}
     assert len(alike) <= 40 and not [d for d, _ in leaked if d >= 2000]
+
+
+def test_a_passage_needs_thirteen_words_besides_changed_slots(spark):
+    tail = " and then somebody counts everything again behind the river so that nobody there forgets what was left over at last"
+    item = [(1, "Frank carries 544 days from the school near the old garden every week" + tail)]
+    same = "Frank carries 544 days from the school near the old garden every week but nobody asks"
+    other = "Frank carries 806 dollars from the school near the old garden every week but nobody asks"
+    longer = "Frank carries 806 dollars from the school near the old garden every month and then somebody but nobody asks"
+    shorter = "Frank carries 806 dollars from the school near the old garden every month and then but nobody asks"
+    out = found(spark, [(1, same), (2, other), (3, longer), (4, shorter)], item)
+    assert [out[k, 1]["leaked"] for k in (1, 2, 3, 4)] == [True, False, True, False]
+    assert {out[k, 1]["kind"] for k in (1, 2, 3, 4)} == {"partial"}
