@@ -38,7 +38,7 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 def roots(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``): each node that has an edge in ``a``, ``b`` and is not the least of its component.
 
-    Rounds until nothing changes, each written to the shared folder. A node of
+    Rounds until nothing changes, each step written to the shared folder. A node of
     high degree meets its minimum in a broadcast, so its rows stay where they are.
     """
     current = written(
@@ -50,4 +50,6 @@ def roots(edges: DataFrame) -> DataFrame:
         if now == seen or now[0] == 0:
             return current.selectExpr("a AS node", "b AS root")
         seen = now
-        current = written(_small_star(_large_star(current, now[0]), now[0]), "edges")
+        # Each step reads its edges many times, so a plan of both together is many times as long.
+        large = written(_large_star(current, now[0]), "large-star")
+        current = written(_small_star(large, now[0]), "edges")

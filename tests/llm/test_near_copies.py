@@ -129,3 +129,18 @@ def test_candidates_come_from_simhash_trees(spark, monkeypatch):
     monkeypatch.setattr(N, "near_links", lambda distinct: asked.append(1) or near_links(distinct))
     corpus_pipeline.simhash_near_dedup(spark, docs.limit(4), "").count()
     assert asked
+
+
+def test_a_star_step_has_a_short_plan(spark, monkeypatch):
+    from plumbline.llm import components
+
+    scans, write = [], components.written
+
+    def counted(df, name, *more):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df, name, *more)
+
+    monkeypatch.setattr(components, "written", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 12)], "a long, b long")
+    assert {r["root"] for r in roots(edges).collect()} == {1}
+    assert len(scans) > 2 and 0 < max(scans) <= 12, scans
